@@ -52,7 +52,7 @@ def class_metrics(
     if not by:
         spine = table.sparkSession.createDataFrame(
             [(m, c, 0, 0, 0) for m in models for c in classes],
-            "model string, class string, tp bigint, n_pred bigint, n_real bigint",
+            "model string, label string, tp bigint, n_pred bigint, n_real bigint",
         )
         cells = cells.unionByName(spine)
     totals = cells.where(F.col("label").isin(*classes)).groupBy(*by, "model", "label").agg(
@@ -110,7 +110,10 @@ def balanced_accuracy_by(
 
 
 def compare_models(scores: DataFrame, base: str, digits: int = 1) -> DataFrame:
-    """Scores of all models with the gain of ``base`` over each of them, in points."""
-    reference = scores.where(F.col("model") == base)
-    ba = reference.select("balanced_accuracy_pct").scalar()
-    return scores.withColumn("gain_points", round_binary(ba - F.col("balanced_accuracy_pct"), digits))
+    """Scores of all models with the gain of ``base`` over each of them, in points.
+
+    The window spans the score table, which has one row per model.
+    """
+    all_models = Window.partitionBy()
+    own = F.max(F.when(F.col("model") == base, F.col("balanced_accuracy_pct"))).over(all_models)
+    return scores.withColumn("gain_points", round_binary(own - F.col("balanced_accuracy_pct"), digits))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,10 @@ EXACT_SILHOUETTE_ROWS = 20_000
 
 def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns centred and divided by their population deviation (a constant column only centred)."""
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    return df.withColumns({
-        c: (F.col(c) - stats.select(f"m_{c}").scalar())
-        / F.coalesce(F.nullif(stats.select(f"s_{c}").scalar(), F.lit(0.0)), F.lit(1.0))
-        for c in columns
-    })
+    moments = lambda c: F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c)
+    stats = df.agg(F.struct(*[moments(c) for c in columns])).scalar()
+    scale = lambda sd: F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+    return df.withColumns({c: (F.col(c) - stats[c]["mean"]) / scale(stats[c]["sd"]) for c in columns})
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -38,9 +37,23 @@ def fill_zero_float(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in columns})
 
 
+@contextmanager
+def persisted(df: DataFrame):
+    """Keep an estimator's input (memory, then disk) while it iterates; lost blocks are recomputed."""
+    already = df.is_cached
+    if not already:
+        df = df.persist()
+    try:
+        yield df
+    finally:
+        if not already:
+            df.unpersist()
+
+
 def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42) -> KMeansModel:
-    """Best of several k-means runs by within-cluster cost. ``df`` should be persisted by the caller."""
-    runs = (KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(df) for i in range(restarts))
+    """Best of several k-means runs by within-cluster cost."""
+    with persisted(df.select("features")) as points:
+        runs = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points) for i in range(restarts)]
     return min(runs, key=lambda m: m.summary.trainingCost)
 
 
@@ -79,23 +92,21 @@ def silhouette(df: DataFrame, exact_rows: int = EXACT_SILHOUETTE_ROWS) -> tuple[
 
 
 def k_sweep(df: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette per k. ``df`` needs a ``features`` vector; it is persisted for the sweep."""
-    points = df.select("features").persist()
-    try:
-        rows = []
+    """Inertia and silhouette per k. ``df`` needs a ``features`` vector."""
+    rows = []
+    with persisted(df.select("features")) as points:
         for k in ks:
-            model = fit_kmeans(points, k, restarts, max_iter, seed)
+            runs = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points) for i in range(restarts)]
+            model = min(runs, key=lambda m: m.summary.trainingCost)
             score, measure = silhouette(model.transform(points))
             rows.append((k, model.summary.trainingCost, float(score), measure))
-    finally:
-        points.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, distance string")
 
 
 def order_clusters(df: DataFrame, by: str, cluster: str = "cluster") -> DataFrame:
     """Renumber arbitrary cluster labels by the cluster mean of ``by``, lowest first."""
     means = df.groupBy(cluster).agg(F.avg(by).alias("_m"))
-    ranked = means.groupBy(F.lit(0)).agg(F.sort_array(F.collect_list(F.struct("_m", cluster))).alias("_o"))
+    ranked = means.agg(F.sort_array(F.collect_list(F.struct("_m", cluster))).alias("_o"))
     order = ranked.select(F.posexplode("_o").alias("_new", "e")).select("_new", F.col(f"e.{cluster}").alias(cluster))
     return df.join(order, cluster).withColumn(cluster, F.col("_new")).drop("_new")
 
@@ -126,11 +137,16 @@ def class_name(prediction: str = "prediction"):
 
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:
-    """Adds ``weight`` = rows / (classes x rows of the class)."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    classes = counts.agg(F.count(F.lit(1))).scalar()
-    return df.join(counts.withColumn("weight", total / (classes * F.col("_n"))).drop("_n"), target)
+    """Adds ``weight`` = rows / (classes x rows of the class).
+
+    The class counts, one entry per class, come from a scalar subquery.
+    """
+    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    table = counts.agg(F.struct(
+        F.map_from_entries(F.collect_list(F.struct(target, "n"))).alias("n"),
+        (F.sum("n") / F.count(F.lit(1))).alias("even"),
+    )).scalar()
+    return df.withColumn("weight", table["even"] / F.element_at(table["n"], F.col(target)))
 
 
 def fit_forest(
@@ -143,7 +159,8 @@ def fit_forest(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", seed=seed,
         maxBins=bins, maxMemoryInMB=memory_mb,
     )
-    return forest.fit(assemble(rows, columns).select("features", "label", "weight"))
+    with persisted(assemble(rows, columns).select("features", "label", "weight")) as training:
+        return forest.fit(training)
 
 
 def predict_state(model: RandomForestClassificationModel, rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -32,11 +32,11 @@ def parse_matches(lines: DataFrame, column: str = "value") -> DataFrame:
     """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped."""
     line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     parts = lines.select(F.split(line, "\t").alias("p")).where(F.size("p") == 3)
-    goals = parts.select("p", F.split(F.trim(F.col("p")[1]), "-").alias("g")).where(F.size("g") == 2)
-    whole = lambda c: F.trim(c).try_cast("int")
+    item = lambda c, i: F.trim(F.get(c, F.lit(i)))
+    goals = parts.select("p", F.split(item(F.col("p"), 1), "-").alias("g")).where(F.size("g") == 2)
     return goals.select(
-        F.trim(F.col("p")[0]).alias("home"), whole(F.col("g")[0]).alias("home_goals"),
-        F.trim(F.col("p")[2]).alias("away"), whole(F.col("g")[1]).alias("away_goals"),
+        item(F.col("p"), 0).alias("home"), item(F.col("g"), 0).try_cast("int").alias("home_goals"),
+        item(F.col("p"), 2).alias("away"), item(F.col("g"), 1).try_cast("int").alias("away_goals"),
     ).na.drop(subset=["home_goals", "away_goals"])
 
 

@@ -170,7 +170,7 @@ paid as (
 # ---------------------------------------------------------------- stations
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Events as raw station readings: every column text, times cut to five minutes."""
-    seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000000")
+    seconds = F.expr("(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) + 500000) div 1000000")
     bikes = F.pmod(F.floor("value"), F.lit(13)).cast("int")
     as_text = lambda c: c.cast("string")
     return table(spark, sf, "events").select(
@@ -221,7 +221,7 @@ SHORT_HISTORY_KEYS = ["station_id", "weekday", "hour", "half"]
 STATION_SQL = """
 readings as (
   select (user_id % 10)::varchar as station_id,
-         ((epoch_us(ts) // 1000000) // 300 * 300)::varchar as last_reported,
+         ((epoch_us(ts) + 500000) // 1000000 // 300 * 300)::varchar as last_reported,
          event_id::varchar as last_updated,
          (floor(value)::bigint % 13)::varchar as num_bikes_available,
          (12 - floor(value)::bigint % 13)::varchar as num_docks_available,

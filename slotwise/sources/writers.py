@@ -10,11 +10,18 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_per_group(df: DataFrame, path: str, group: str, folder: str = "group", spread: int = 1) -> None:
-    """CSV export split by group value without blanks; ``spread`` files per group for large ones."""
+def write_per_group(
+    df: DataFrame, path: str, group: str, folder: str = "group", files_per_group: int | None = None
+) -> None:
+    """CSV export with one folder per group value, blanks removed from its name.
+
+    Every task writes its own share of each group. ``files_per_group`` gathers a group
+    into that many files first; rows are dealt out by their hash.
+    """
     named = df.withColumn(folder, F.replace(F.col(group), F.lit(" "), F.lit("")))
-    salt = F.floor(F.rand(seed=42) * spread)
-    named.repartition(folder, salt).write.mode("overwrite").option("header", True).option("escape", '"').partitionBy(folder).csv(path)
+    if files_per_group:
+        named = named.repartition(folder, F.pmod(F.xxhash64(*df.columns), F.lit(files_per_group)))
+    named.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy(folder).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
