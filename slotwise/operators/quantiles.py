@@ -1,8 +1,10 @@
 """Exact quantiles without gathering a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here the
-distinct values are counted first, cut into ranges by an approximate sketch, and
-only the few ranges that contain a wanted rank are sorted.
+``percentile`` keeps every distinct value of a group in one buffer. Here a sketch
+first brackets each wanted rank between two values; a second pass counts what lies
+below the bracket and keeps only the values inside it, a fraction of about
+``4 / accuracy`` of the group, and those are ranked exactly. Groups of up to
+``accuracy`` rows are kept whole.
 """
 
 from __future__ import annotations
@@ -11,60 +13,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-RANGES = 64
+ACCURACY = 5_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values: one column per entry of ``probs``."""
     group = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cut_points = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*group).agg(F.percentile_approx("_v", cut_points, 20 * ranges).alias("_cuts"))
-    ranged = counts.join(cuts, group).select(
-        *group, "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
-    )
+    rows = base.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
 
-    # Rows before each range, and the zero-based ranks each probability needs.
-    by_group = Window.partitionBy(*group)
-    sizes = (
-        ranged.groupBy(*group, "_range")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_before", F.sum("_size").over(by_group.orderBy("_range")) - F.col("_size"))
-        .withColumn("_total", F.sum("_size").over(by_group))
+    margin = 2.0 / accuracy
+    ends = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = rows.groupBy(*group).agg(
+        F.percentile_approx("_v", ends, accuracy).alias("_ends"), F.count(F.lit(1)).alias("_total")
     )
-    position = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
-    ranks = F.array_distinct(F.array(*[f(position[name]) for name in probs for f in (F.floor, F.ceil)]))
-    wanted = sizes.withColumn(
-        "_ranks",
-        F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))),
-    ).where(F.size("_ranks") > 0)
+    names = [f"_e{i}" for i in range(len(ends))]
+    brackets = sketch.select(*group, "_total", *[F.get("_ends", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
-    in_range = Window.partitionBy(*group, "_range").orderBy("_v")
-    hits = (
-        ranged.join(wanted.select(*group, "_range", "_before", "_total", "_ranks"), [*group, "_range"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(in_range))
-        .select(
-            *group, "_v", "_total",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
-            ).alias("_rank"),
-        )
+    # Rows outside all brackets only count for the region between two bracket ends they
+    # fall in; rows inside keep their value. Region and value together follow the order.
+    v = F.col("_v")
+    inside = F.col("_total") <= accuracy
+    region = F.lit(0)
+    for low, high in zip(names[::2], names[1::2]):
+        inside = inside | v.between(F.col(low), F.col(high))
+        region = region + (v > F.col(low)).cast("int") + (v > F.col(high)).cast("int")
+    counts = (
+        rows.join(brackets, group)
+        .select(*group, "_total", region.alias("_region"), F.when(inside, v).alias("_kept"))
+        .groupBy(*group, "_region", "_kept").agg(F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
     )
-    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
-    found = hits.groupBy(*group).agg(
-        F.first("_total").alias("_total"),
-        *[at(f(position[name])).alias(f"_{edge}_{name}")
-          for name in probs for edge, f in (("lo", F.floor), ("hi", F.ceil))],
+    running = Window.partitionBy(*group).orderBy("_region", F.asc_nulls_first("_kept"))
+    ranked = counts.withColumn("_end", F.sum("_n").over(running)).withColumn("_start", F.col("_end") - F.col("_n"))
+
+    position = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
+    at = lambda rank: F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_kept")))
+    found = ranked.groupBy(*group).agg(
+        F.max("_total").alias("_total"),
+        *[at(f(position[name])).alias(f"_{edge}_{name}") for name in probs
+          for edge, f in (("lo", F.floor), ("hi", F.ceil))],
     )
     columns = []
     for name in probs:
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((low + (high - low) * (position[name] - F.floor(position[name]))).alias(name))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        share = position[name] - F.floor(position[name])
+        missed = F.raise_error(F.lit(f"quantile {name} fell outside its bracket")).cast("double")
+        columns.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * share).alias(name))
     return found.select(*keys, *columns)

@@ -28,16 +28,17 @@ def split_convertible(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("item", F.explode(column)).withColumn("number", text.to_float_or_null(F.col("item")))
 
 
+# Two names and a score of two whole numbers, in three tab-separated fields.
+MATCH_LINE = r"^\s*(\S[^\t]*)\t[^\S\t]*(\+?[0-9]{1,18})[^\S\t]*-[^\S\t]*(\+?[0-9]{1,18})[^\S\t]*\t([^\t]*\S)\s*\z"
+
+
 def parse_matches(lines: DataFrame, column: str = "value") -> DataFrame:
     """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped."""
-    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
-    parts = lines.select(F.split(line, "\t").alias("p")).where(F.size("p") == 3)
-    item = lambda c, i: F.trim(F.get(c, F.lit(i)))
-    goals = parts.select("p", F.split(item(F.col("p"), 1), "-").alias("g")).where(F.size("g") == 2)
-    return goals.select(
-        item(F.col("p"), 0).alias("home"), item(F.col("g"), 0).try_cast("int").alias("home_goals"),
-        item(F.col("p"), 2).alias("away"), item(F.col("g"), 1).try_cast("int").alias("away_goals"),
-    ).na.drop(subset=["home_goals", "away_goals"])
+    field = lambda i: F.trim(F.regexp_extract(column, MATCH_LINE, i))
+    return lines.where(F.col(column).rlike(MATCH_LINE)).select(
+        field(1).alias("home"), field(2).cast("bigint").alias("home_goals"),
+        field(4).alias("away"), field(3).cast("bigint").alias("away_goals"),
+    )
 
 
 def team_rows(matches: DataFrame) -> DataFrame:

@@ -88,45 +88,46 @@ def with_delta(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def enrich(readings: DataFrame, stations: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
-    """Local time parts, season and station attributes; readings of unknown stations are dropped."""
+def localize(readings: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+    """UTC and local time of each reading, with the local day and hour."""
     local = readings.withColumn("ts_utc", dates.epoch_to_utc(F.col("last_reported"))).withColumn(
         "ts_local", dates.utc_to_local(F.col("ts_utc"), zone)
     )
-    month = F.month("ts_local")
-    parts = local.withColumns({
-        "day": F.to_date("ts_local"),
-        "year": F.year("ts_local"),
-        "month": month,
-        "day_of_month": F.dayofmonth("ts_local"),
-        "weekday": dates.iso_weekday(F.col("ts_local")),
-        "hour": F.hour("ts_local"),
-        "minute": F.minute("ts_local"),
-        "second": F.second("ts_local"),
-        "season": dates.season_number(month),
-        "season_name": dates.season_name(month),
+    return local.withColumns({"day": F.to_date("ts_local"), "hour": F.hour("ts_local")})
+
+
+def with_calendar(df: DataFrame) -> DataFrame:
+    """Year, month, day, ISO weekday and season of the column ``day``."""
+    month = F.month("day")
+    return df.withColumns({
+        "year": F.year("day"), "month": month, "day_of_month": F.dayofmonth("day"),
+        "weekday": dates.iso_weekday(F.col("day")),
+        "season": dates.season_number(month), "season_name": dates.season_name(month),
     })
-    return parts.join(stations.select(*STATION), "station_id")
 
 
-# ---------------------------------------------------------------- trips
-TRIP_KEYS = [
-    "station_id", "day", "year", "month", "day_of_month", "weekday", "hour",
-    "season", "season_name", "lat", "lon", "district_id", "district",
-]
+def enrich(readings: DataFrame, stations: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Local time parts, season and station attributes; readings of unknown stations are dropped."""
+    parts = with_calendar(localize(readings, zone))
+    clock = parts.withColumns({"minute": F.minute("ts_local"), "second": F.second("ts_local")})
+    return clock.join(stations.select(*STATION), "station_id")
 
 
-def trips(enriched: DataFrame, max_gap: int | None = None) -> DataFrame:
-    """Bikes that left a station, per station and hour.
+# ---------------------------------------------------------------- trips
+def trips(deltas: DataFrame, stations: DataFrame, max_gap: int | None = None, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Bikes that left a station, per station and local hour, with calendar and station attributes.
 
     A drop counts in the hour of the later reading, whatever the gap, unless
-    ``max_gap`` seconds is given. The first reading of a station adds nothing.
+    ``max_gap`` seconds is given. The first reading of a station adds nothing. The
+    sums are formed on the three key columns; everything that depends on them is
+    attached to the result.
     """
     drop = F.col("delta_bikes") < 0
     if max_gap is not None:
         drop = drop & (F.col("seconds_since_prev") <= max_gap)
     left = F.sum(F.when(drop, -F.col("delta_bikes")).otherwise(0))
-    return enriched.groupBy(*TRIP_KEYS).agg(left.alias("trips"))
+    hourly = localize(deltas, zone).groupBy("station_id", "day", "hour").agg(left.alias("trips"))
+    return with_calendar(hourly).join(stations.select(*STATION), "station_id")
 
 
 def trip_totals(
@@ -182,12 +183,16 @@ def half_hour_slots(enriched: DataFrame, from_year: int = 2022) -> DataFrame:
     )
 
 
-def calendar_bounds(enriched: DataFrame) -> tuple[Column, Column]:
-    """First and last half hour of the local days covered, as scalar subqueries."""
-    ends = enriched.agg(F.min("ts_local").alias("lo"), F.max("ts_local").alias("hi"))
-    first = F.date_trunc("day", ends.select("lo").scalar()).cast("timestamp_ntz")
-    last = F.date_trunc("day", ends.select("hi").scalar()).cast("timestamp_ntz")
-    return first, last + F.expr("interval 23 hours 30 minutes")
+def calendar_bounds(raw: DataFrame, zone: str = LOCAL_ZONE) -> tuple[Column, Column]:
+    """First and last half hour of the local days the valid raw readings cover, as scalar subqueries.
+
+    Straight from the raw rows: duplicates do not move the ends, so the subquery
+    is one scan with a partial aggregate.
+    """
+    seconds = F.col("last_reported").try_cast("bigint")
+    ends = valid_readings(raw).agg(F.struct(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))).scalar()
+    midnight = lambda t: F.to_date(dates.epoch_to_local(t, zone)).cast("timestamp_ntz")
+    return midnight(ends["lo"]), midnight(ends["hi"]) + F.expr("interval 23 hours 30 minutes")
 
 
 def with_slots(df: DataFrame, first: Column, last: Column) -> DataFrame:

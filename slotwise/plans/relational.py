@@ -193,7 +193,7 @@ def _(s, sf):
  on h.station_id = c.station_id and h.day = c.day and h.hour = c.hour and h.half = c.half""")
 def _(s, sf):
     rows = R.located(s, sf)
-    frame = TS.with_slots(R.stations(s, sf).select("station_id"), *TS.calendar_bounds(rows))
+    frame = TS.with_slots(R.stations(s, sf).select("station_id"), *R.bounds(s, sf))
     joined = frame.join(TS.half_hour_slots(rows), TS.SLOT, "left")
     return joined.select("station_id", F.col("day").cast("string"), "hour", "half", F.col("min_bikes").isNotNull().alias("measured"))
 

@@ -208,9 +208,13 @@ def located(spark: SparkSession, sf: str) -> DataFrame:
     return ts.enrich(cleaned(spark, sf), stations(spark, sf))
 
 
+def bounds(spark: SparkSession, sf: str):
+    return ts.calendar_bounds(readings(spark, sf))
+
+
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = located(spark, sf)
-    return ts.dense_grid(ts.half_hour_slots(rows), stations(spark, sf), *ts.calendar_bounds(rows))
+    return ts.dense_grid(ts.half_hour_slots(rows), stations(spark, sf), *bounds(spark, sf))
 
 
 TRAIN_END = date(2024, 1, 21)

@@ -46,7 +46,7 @@ def _(s, sf):
 
 
 def trips(s, sf) -> DataFrame:
-    return TS.trips(R.enriched(s, sf))
+    return TS.trips(TS.with_delta(R.cleaned(s, sf)), R.stations(s, sf))
 
 
 @query("ts_trips", TRIPS_SQL + "select station_id, day::varchar as day, hour::int as hour, district, trips from trips")
@@ -103,7 +103,7 @@ def _(s, sf):
 
 @query("ts_calendar", GRID + "select day::varchar as day, hour::int as hour, half from calendar")
 def _(s, sf):
-    first, last = TS.calendar_bounds(R.located(s, sf))
+    first, last = R.bounds(s, sf)
     one = s.range(1).select()
     return with_text(TS.with_slots(one, first, last), "day")
 
@@ -119,8 +119,7 @@ def _(s, sf):
 
 @query("join_cross", GRID + "select station_id, district, day::varchar as day, hour::int as hour, half from stations cross join calendar")
 def _(s, sf):
-    bounds = TS.calendar_bounds(R.located(s, sf))
-    return with_text(TS.with_slots(R.stations(s, sf).select("station_id", "district"), *bounds), "day")
+    return with_text(TS.with_slots(R.stations(s, sf).select("station_id", "district"), *R.bounds(s, sf)), "day")
 
 
 MEASURED = "count(*) filter (where state != 'sense_mesures')"

@@ -301,8 +301,8 @@ def match_lines(s, sf) -> DataFrame:
         .join(T(s, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
     )
-    goals = F.format_string(
-        "%d-%d", F.pmod(7 * F.col("l_partkey") + 3 * F.col("l_linenumber"), F.lit(6)), F.pmod(5 * F.col("l_partkey") + 2 * F.col("l_orderkey"), F.lit(5)))
+    goals = F.concat_ws(
+        "-", F.pmod(7 * F.col("l_partkey") + 3 * F.col("l_linenumber"), F.lit(6)), F.pmod(5 * F.col("l_partkey") + 2 * F.col("l_orderkey"), F.lit(5)))
     good = F.concat_ws("\t", "home", goals, "away")
     return rows.select(F.when(F.pmod(F.col("l_orderkey"), F.lit(5)) == 0, F.concat_ws(" ", "home", goals)).otherwise(good).alias("value"))
 
