@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +25,23 @@ def point(lon: Column, lat: Column) -> Column:
 
 
 # ---------------------------------------------------------------- projection
+# Inverse transverse Mercator series in the third flattening.
+_N = FLATTENING / (2 - FLATTENING)
+RADIUS = SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
 def utm_to_geographic(easting: Column, northing: Column, meridian: float = CENTRAL_MERIDIAN) -> Column:
-    """UTM north metres -> struct(lon, lat) in degrees (inverse transverse Mercator series)."""
-    n = FLATTENING / (2 - FLATTENING)
-    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = northing / (SCALE * radius), (easting - FALSE_EASTING) / (SCALE * radius)
+    """UTM north metres -> struct(lon, lat) in degrees."""
+    xi, eta = northing / (SCALE * RADIUS), (easting - FALSE_EASTING) / (SCALE * RADIUS)
     xi_c, eta_c = xi, eta
-    for j, b in enumerate(beta, start=1):
+    for j, b in enumerate(BETA, start=1):
         xi_c = xi_c - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta_c = eta_c - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     conformal = F.asin(F.sin(xi_c) / F.cosh(eta_c))
     lat = conformal
-    for j, d in enumerate(delta, start=1):
+    for j, d in enumerate(DELTA, start=1):
         lat = lat + F.lit(d) * F.sin(2 * j * conformal)
     lon = F.lit(meridian) + F.degrees(F.atan2(F.sinh(eta_c), F.cos(xi_c)))
     return point(lon, F.degrees(lat))

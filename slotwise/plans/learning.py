@@ -55,25 +55,25 @@ def _(s, sf):
     return rows.select("id", F.format_string("POINT (%.3f %.3f)", "p.lon", "p.lat").alias("wkt"))
 
 
-# The SQL uses the classic footpoint-latitude series, the operator a conformal-latitude series.
-FOOT = f"""with c as (select 6378137.0::double as a, 1 / 298.257222101::double as f), k as (select *, f * (2 - f) as e2, f * (2 - f) / (1 - f * (2 - f)) as ep2,
-  (1 - sqrt(1 - f * (2 - f))) / (1 + sqrt(1 - f * (2 - f))) as e1 from c),
-p as (select c_custkey as id, 400000.0::double + c_custkey * 7 % 100000 as x, 4570000.0::double + c_custkey * 13 % 50000 as y from customer),
-m as (select id, x, a, e2, ep2, e1, y / 0.9996::double / (a * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256)) as mu from p, k),
-b as (select *, mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * mu) + (151 * e1 ** 3 / 96) * sin(6 * mu) + (1097 * e1 ** 4 / 512) * sin(8 * mu) as phi from m),
-q as (select *, ep2 * cos(phi) ** 2 as c1, tan(phi) ** 2 as t1, a / sqrt(1 - e2 * sin(phi) ** 2) as n1, a * (1 - e2) / (1 - e2 * sin(phi) ** 2) ** 1.5 as r1 from b),
-d as (select *, (x - 500000) / (n1 * 0.9996::double) as d from q)
-select id, round(degrees(phi - (n1 * tan(phi) / r1) * (d ** 2 / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 ** 2 - 9 * ep2) * d ** 4 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 ** 2 - 252 * ep2 - 3 * c1 ** 2) * d ** 6 / 720)), 6) as lat,
- round(3 + degrees((d - (1 + 2 * t1 + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 ** 2 + 8 * ep2 + 24 * t1 ** 2) * d ** 5 / 120) / cos(phi)), 6) as lon from d"""
+def _series(sign: str, factors, term: str) -> str:
+    return " ".join(f"{sign} {b!r}::double * {term.format(2 * j)}" for j, b in enumerate(factors, start=1))
 
 
-@query("geo_reproject", FOOT)
+_SPHERE = f"({geo.SCALE}::double * {geo.RADIUS!r}::double)"
+INVERSE_SQL = f"""with p as (select c_custkey as id, 400000.0::double + c_custkey * 7 % 100000 as x, 4570000.0::double + c_custkey * 13 % 50000 as y from customer),
+a as (select id, y / {_SPHERE} as xi, (x - 500000) / {_SPHERE} as eta from p),
+b as (select id, xi {_series('-', geo.BETA, 'sin({0} * xi) * cosh({0} * eta)')} as xi, eta {_series('-', geo.BETA, 'cos({0} * xi) * sinh({0} * eta)')} as eta from a),
+c as (select *, asin(sin(xi) / cosh(eta)) as chi from b)
+select id, round(degrees(chi {_series('+', geo.DELTA, 'sin({0} * chi)')}), 7) as lat, round(3 + degrees(atan2(sinh(eta), cos(xi))), 7) as lon from c"""
+
+
+@query("geo_reproject", INVERSE_SQL)
 def _(s, sf):
     key = F.col("c_custkey")
     ring = F.array(F.array(F.struct(
         (400000.0 + F.pmod(key * 7, F.lit(100000))).alias("x"), (4570000.0 + F.pmod(key * 13, F.lit(50000))).alias("y"))))
     rows = T(s, sf, "customer").select(key.alias("id"), F.get(F.get(geo.reproject_rings(ring), F.lit(0)), F.lit(0)).alias("p"))
-    return rounded(rows.select("id", "p.lat", "p.lon"), "lat", "lon")
+    return rounded(rows.select("id", "p.lat", "p.lon"), "lat", "lon", digits=7)
 
 
 LOCATED_SQL = f"with {POINTS_SQL}, reg as (select id, lon, lat, n_name, c_mktsegment from pts join customer on c_custkey = id join nation on n_nationkey = c_nationkey) "

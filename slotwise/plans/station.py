@@ -179,7 +179,7 @@ base as (
 """
 BANDS = [("lab", a, a + 2) for a in range(6, 24, 2)] + [("fest", a, min(a + 4, 24)) for a in range(6, 24, 4)]
 NAB_COLUMNS = [f"nab_{k}_h{a:02d}_{b % 24:02d}" for k, a, b in BANDS]
-NAB_SELECT = ", ".join(f"round(avg({k}) filter (where hour >= {a} and hour < {b}), 6) as {n}" for (k, a, b), n in zip(BANDS, NAB_COLUMNS))
+NAB_SELECT = ", ".join(f"round(avg({k}) filter (where hour >= {a} and hour < {b}), 10) as {n}" for (k, a, b), n in zip(BANDS, NAB_COLUMNS))
 VAR_COLUMNS = {
     "sd_nab": "stddev_samp(nab)", "mean_nab": "avg(nab)",
     "sd_nab_morning": "stddev_samp(nab) filter (where am)", "sd_nab_evening": "stddev_samp(nab) filter (where pm)",
@@ -192,34 +192,34 @@ VAR_COLUMNS = {
     "share_full_peak": "count(*) filter (where state = 'plena' and (am or pm))::double / nullif(count(*) filter (where am or pm), 0)",
     "mean_nab_morning": "avg(nab) filter (where am)", "mean_nab_evening": "avg(nab) filter (where pm)",
 }
-VAR_SELECT = ", ".join(f"round({e}, 6) as {c}" for c, e in VAR_COLUMNS.items())
+VAR_SELECT = ", ".join(f"round({e}, 10) as {c}" for c, e in VAR_COLUMNS.items())
 
 
 def train_years(s, sf) -> DataFrame:
     return FT.years(R.grid(s, sf), 2022, 2024)
 
 
-@query("ft_structure", GRID + "select station_id, lat, lon, district, round(avg(avg_capacity), 6) as mean_capacity from grid where year(day) between 2022 and 2024 group by all")
+@query("ft_structure", GRID + "select station_id, lat, lon, district, round(avg(avg_capacity), 10) as mean_capacity from grid where year(day) between 2022 and 2024 group by all")
 def _(s, sf):
-    return rounded(FT.structure(train_years(s, sf)), "mean_capacity")
+    return rounded(FT.structure(train_years(s, sf)), "mean_capacity", digits=10)
 
 
 @query("ft_nab_profile", FEATURES_SQL + f"select station_id, {NAB_SELECT} from prof group by 1")
 def _(s, sf):
-    return rounded(FT.fill_profile(train_years(s, sf)), *NAB_COLUMNS)
+    return rounded(FT.fill_profile(train_years(s, sf)), *NAB_COLUMNS, digits=10)
 
 
 @query("ft_variability", FEATURES_SQL + f"select station_id, {VAR_SELECT} from base group by 1")
 def _(s, sf):
-    return rounded(FT.variability(train_years(s, sf)), *VAR_COLUMNS)
+    return rounded(FT.variability(train_years(s, sf)), *VAR_COLUMNS, digits=10)
 
 
-@query("ft_join", FEATURES_SQL + f""", a as (select station_id, lat, lon, district, round(avg(avg_capacity), 6) as mean_capacity from grid group by all),
+@query("ft_join", FEATURES_SQL + f""", a as (select station_id, lat, lon, district, round(avg(avg_capacity), 10) as mean_capacity from grid group by all),
  b as (select station_id, {NAB_SELECT} from prof group by 1), c as (select station_id, {VAR_SELECT} from base group by 1)
  select a.*, b.* exclude (station_id), c.* exclude (station_id) from a left join b using (station_id) left join c using (station_id)""")
 def _(s, sf):
     features = FT.station_features(train_years(s, sf))
-    return rounded(features, *FT.feature_columns(features))
+    return rounded(features, *FT.feature_columns(features), digits=10)
 
 
 # ---------------------------------------------------------------- baselines
