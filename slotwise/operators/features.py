@@ -54,40 +54,51 @@ def fill_profile(grid: DataFrame) -> DataFrame:
     ])
 
 
-def variability(grid: DataFrame) -> DataFrame:
-    """Spread, peak-hour level, range and state shares; shares are over all slots, measured or not."""
+def _variability_rows(grid: DataFrame) -> DataFrame:
     workday = ~is_weekend(F.col("day"))
-    morning = workday & F.col("hour").between(*MORNING_PEAK)
-    evening = workday & F.col("hour").between(*EVENING_PEAK)
-    rows = grid.select(
-        "station_id", "state", fill_level().alias("nab"),
-        ratio(F.col("max_bikes") - F.col("min_bikes"), F.col("avg_capacity")).alias("bike_range"),
-        ratio(F.col("max_docks") - F.col("min_docks"), F.col("avg_capacity")).alias("dock_range"),
-        morning.alias("morning"), evening.alias("evening"),
-    )
+    return grid.withColumns({
+        "nab": fill_level(),
+        "bike_range": ratio(F.col("max_bikes") - F.col("min_bikes"), F.col("avg_capacity")),
+        "dock_range": ratio(F.col("max_docks") - F.col("min_docks"), F.col("avg_capacity")),
+        "morning": workday & F.col("hour").between(*MORNING_PEAK),
+        "evening": workday & F.col("hour").between(*EVENING_PEAK),
+    })
+
+
+def _variability_aggregates() -> list[Column]:
     nab, peak = F.col("nab"), F.col("morning") | F.col("evening")
-    share = lambda state: F.avg((F.col("state") == state).cast("double"))
-    peak_share = lambda state: F.avg(F.when(peak, (F.col("state") == state).cast("double")))
-    return rows.groupBy("station_id").agg(
+    in_state = lambda state: (F.col("state") == state).cast("double")
+    morning, evening = F.when(F.col("morning"), nab), F.when(F.col("evening"), nab)
+    return [
         F.stddev_samp(nab).alias("sd_nab"),
         F.avg(nab).alias("mean_nab"),
-        F.stddev_samp(F.when(F.col("morning"), nab)).alias("sd_nab_morning"),
-        F.stddev_samp(F.when(F.col("evening"), nab)).alias("sd_nab_evening"),
+        F.stddev_samp(morning).alias("sd_nab_morning"),
+        F.stddev_samp(evening).alias("sd_nab_evening"),
         F.avg("bike_range").alias("mean_bike_range"),
         F.avg("dock_range").alias("mean_dock_range"),
-        share(EMPTY).alias("share_empty"),
-        share(FULL).alias("share_full"),
-        share(BOTH_EXTREMES).alias("share_extremes"),
-        peak_share(EMPTY).alias("share_empty_peak"),
-        peak_share(FULL).alias("share_full_peak"),
-        F.avg(F.when(F.col("morning"), nab)).alias("mean_nab_morning"),
-        F.avg(F.when(F.col("evening"), nab)).alias("mean_nab_evening"),
-    )
+        F.avg(in_state(EMPTY)).alias("share_empty"),
+        F.avg(in_state(FULL)).alias("share_full"),
+        F.avg(in_state(BOTH_EXTREMES)).alias("share_extremes"),
+        F.avg(F.when(peak, in_state(EMPTY))).alias("share_empty_peak"),
+        F.avg(F.when(peak, in_state(FULL))).alias("share_full_peak"),
+        F.avg(morning).alias("mean_nab_morning"),
+        F.avg(evening).alias("mean_nab_evening"),
+    ]
+
+
+def variability(grid: DataFrame) -> DataFrame:
+    """Spread, peak-hour level, range and state shares; shares are over all slots, measured or not."""
+    return _variability_rows(grid).groupBy("station_id").agg(*_variability_aggregates())
 
 
 def station_features(grid: DataFrame) -> DataFrame:
-    """Ids plus 28 features per station."""
-    return structure(grid).join(fill_profile(grid), "station_id", "left").join(variability(grid), "station_id", "left")
+    """Ids plus 28 features per station. Capacity and variability come from one pass, the profile from another."""
+    direct = _variability_rows(grid).groupBy(*STRUCTURE_KEYS).agg(
+        F.avg("avg_capacity").alias("mean_capacity"), *_variability_aggregates()
+    )
+    profile = fill_profile(grid)
+    order = [*STRUCTURE_KEYS, "mean_capacity", *profile.columns[1:], *direct.columns[len(STRUCTURE_KEYS) + 1:]]
+    return direct.join(profile, "station_id", "left").select(*order)
 
 
 def feature_columns(features: DataFrame) -> list[str]:
@@ -155,9 +166,9 @@ def model_table(grid: DataFrame, profile: DataFrame, clusters: DataFrame, period
     lagged = with_lags(grid).where(
         F.col("prev_bikes").isNotNull() & F.col("delta_bikes").isNotNull() & period
     )
-    overall = profile.agg(*[F.avg(c).alias(c) for c in PROFILE_VALUES])
+    overall = profile.agg(F.struct(*[F.avg(c).alias(c) for c in PROFILE_VALUES])).scalar()
     joined = lagged.join(profile, PROFILE_KEYS, "left").join(
         clusters.select("station_id", "cluster"), "station_id", "left"
     )
-    filled = {c: F.coalesce(F.col(c).cast("double"), overall.select(c).scalar()) for c in PROFILE_VALUES}
+    filled = {c: F.coalesce(F.col(c).cast("double"), overall[c]) for c in PROFILE_VALUES}
     return joined.withColumns({**filled, "cluster": F.coalesce("cluster", F.lit(-1))})

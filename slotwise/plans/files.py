@@ -172,6 +172,6 @@ def _(s, sf):
 
 @query("ts_half_hour_stream", R.GRID + "select station_id, count(*) as n_slots, min(min_bikes) as min_bikes, max(max_docks) as max_docks from slots group by 1")
 def _(s, sf):
-    slots = replay_half_hours(R.located(s, sf), shared_folder(s, "stream"))
+    slots = replay_half_hours(R.cleaned(s, sf), shared_folder(s, "stream"))
     return slots.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n_slots"), F.min("min_bikes").alias("min_bikes"), F.max("max_docks").alias("max_docks"))

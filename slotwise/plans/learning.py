@@ -165,7 +165,7 @@ def embedding_points(s, sf) -> DataFrame:
 @query("ml_k_sweep")
 def _(s, sf):
     """Inertia and silhouette per k over all embeddings; results depend on the k-means library."""
-    return ml.k_sweep(embedding_points(s, sf), range(2, 6), restarts=1, max_iter=50)
+    return ml.k_sweep(embedding_points(s, sf), range(2, 13), restarts=1, max_iter=20)
 
 
 def clustered(s, sf) -> DataFrame:
@@ -220,26 +220,28 @@ def _(s, sf):
     return rounded(rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")), "weight")
 
 
-def forest(s, sf):
-    return ml.fit_forest(ST.model_rows(s, sf, train=True), FT.MODEL_FEATURES, trees=20, depth=8, min_leaf=5)
+def fit_and_predict(s, sf):
+    """Forest with fewer, shallower trees than the default, and its predictions of the test period."""
+    train, test = ST.model_tables(s, sf)
+    model = ml.fit_forest(train, FT.MODEL_FEATURES, trees=20, depth=8, min_leaf=5)
+    return model, ml.predict_state(model, test, FT.MODEL_FEATURES)
 
 
 @query("ml_random_forest")
 def _(s, sf):
-    """Predicted states of the test period by the balanced forest (fewer, shallower trees than the default)."""
-    predicted = ml.predict_state(forest(s, sf), ST.model_rows(s, sf, train=False), FT.MODEL_FEATURES)
-    return with_text(predicted.select(*TS.SLOT, "state", "rf_pred"), "day")
+    """Predicted states of the test period by the class-balanced forest."""
+    return with_text(fit_and_predict(s, sf)[1].select(*TS.SLOT, "state", "rf_pred"), "day")
 
 
 @query("ml_importance")
 def _(s, sf):
-    return ml.importances(s, forest(s, sf), FT.MODEL_FEATURES)
+    return ml.importances(s, fit_and_predict(s, sf)[0], FT.MODEL_FEATURES)
 
 
 @query("ev_model_comparison")
 def _(s, sf):
     """Forest against both baselines on the rows all three predict."""
-    predicted = ml.predict_state(forest(s, sf), ST.model_rows(s, sf, train=False), FT.MODEL_FEATURES)
+    predicted = fit_and_predict(s, sf)[1]
     table = ST.evaluation(s, sf).select(*TS.SLOT, "real", "sn7_pred", "ha_pred")
     rows = E.common_rows(predicted.select(*TS.SLOT, "rf_pred"), table, TS.SLOT, ["sn7_pred", "ha_pred"])
     models = {"rf": "rf_pred", "sn7": "sn7_pred", "ha": "ha_pred"}

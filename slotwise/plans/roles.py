@@ -184,9 +184,9 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stations(spark: SparkSession, sf: str) -> DataFrame:
-    """Station dimension: the stations seen, on a diagonal, in three districts."""
-    ids = readings(spark, sf).select(F.col("station_id").try_cast("int").alias("station_id")).distinct()
+def stations_of(raw: DataFrame) -> DataFrame:
+    """Station dimension: the stations seen in the readings, on a diagonal, in three districts."""
+    ids = raw.select(F.col("station_id").try_cast("int").alias("station_id")).distinct()
     step = F.col("station_id") * 0.005
     district = F.pmod(F.col("station_id"), F.lit(3))
     return ids.select(
@@ -195,17 +195,28 @@ def stations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stations(spark: SparkSession, sf: str) -> DataFrame:
+    return stations_of(readings(spark, sf))
+
+
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return ts.clean(readings(spark, sf))
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.enrich(ts.with_delta(cleaned(spark, sf)), stations(spark, sf))
+    raw = readings(spark, sf)
+    return ts.enrich(ts.with_delta(ts.clean(raw)), stations_of(raw))
 
 
 def located(spark: SparkSession, sf: str) -> DataFrame:
     """Enriched readings without the lag, for stages that do not use it."""
-    return ts.enrich(cleaned(spark, sf), stations(spark, sf))
+    raw = readings(spark, sf)
+    return ts.enrich(ts.clean(raw), stations_of(raw))
+
+
+def trips(spark: SparkSession, sf: str) -> DataFrame:
+    raw = readings(spark, sf)
+    return ts.trips(ts.with_delta(ts.clean(raw)), stations_of(raw))
 
 
 def bounds(spark: SparkSession, sf: str):
@@ -213,8 +224,10 @@ def bounds(spark: SparkSession, sf: str):
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = located(spark, sf)
-    return ts.dense_grid(ts.half_hour_slots(rows), stations(spark, sf), *bounds(spark, sf))
+    raw = readings(spark, sf)
+    dimension = stations_of(raw)
+    slots = ts.half_hour_slots(ts.enrich(ts.clean(raw), dimension))
+    return ts.dense_grid(slots, dimension, *ts.calendar_bounds(raw))
 
 
 TRAIN_END = date(2024, 1, 21)

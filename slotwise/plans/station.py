@@ -11,7 +11,10 @@ from slotwise.functions import dates
 from slotwise.operators import baselines as B, evaluation as E, features as FT, quality as Q, timeseries as TS
 from slotwise.plans import roles as R
 from slotwise.plans.registry import query, rounded, with_double, with_text
+from slotwise.plans.tables import station_tables
 from slotwise.plans.tabular import _case_sql
+from slotwise.session import shared_folder
+from slotwise.sources.readers import table_sizes
 
 STATION, GRID = R.STATION, R.GRID
 TRIPS_SQL = STATION + """, trips as (select station_id, day, year, month, day_of_month, weekday, hour, lat, lon, district_id, district,
@@ -25,9 +28,9 @@ def _(s, sf):
     return R.cleaned(s, sf).drop("day_chunk")
 
 
-@query("dq_dedup_latest", STATION + "select station_id, last_reported, bikes, docks from clean where last_reported % 1800 = 0")
+@query("dq_dedup_latest", STATION + "select c.station_id, c.last_reported, c.bikes, c.docks from clean c")
 def _(s, sf):
-    return R.cleaned(s, sf).where(F.col("last_reported") % 1800 == 0).drop("day_chunk")
+    return R.cleaned(s, sf).select("station_id", "last_reported", "bikes", "docks")
 
 
 @query("ts_delta", STATION + "select station_id, last_reported, bikes, docks, prev_reported::double as prev_reported, delta_bikes::double as delta_bikes from delta")
@@ -46,7 +49,7 @@ def _(s, sf):
 
 
 def trips(s, sf) -> DataFrame:
-    return TS.trips(TS.with_delta(R.cleaned(s, sf)), R.stations(s, sf))
+    return R.trips(s, sf)
 
 
 @query("ts_trips", TRIPS_SQL + "select station_id, day::varchar as day, hour::int as hour, district, trips from trips")
@@ -282,8 +285,9 @@ def _(s, sf):
 
 
 def evaluation(s, sf) -> DataFrame:
-    history = B.historical_mode(train_rows(s, sf), R.SHORT_HISTORY_KEYS)
-    return B.evaluation_table(R.grid(s, sf), history, R.TEST_START, R.TEST_END, R.SHORT_HISTORY_KEYS)
+    grid = R.grid(s, sf)
+    history = B.historical_mode(grid.where(F.col("day") <= R.TRAIN_END), R.SHORT_HISTORY_KEYS)
+    return B.evaluation_table(grid, history, R.TEST_START, R.TEST_END, R.SHORT_HISTORY_KEYS)
 
 
 @query("bl_eval_table", EVAL_SQL + "select station_id, district, day::varchar as day, hour::int as hour, half, day_type, real, sn7_pred, ha_pred from ev")
@@ -396,15 +400,22 @@ def _(s, sf):
 
 
 def station_clusters(s, sf) -> DataFrame:
-    """A cluster number for two stations in three, so the default is exercised."""
-    ids = R.stations(s, sf).select("station_id")
-    return ids.where(F.col("station_id") % 3 != 2).withColumn("cluster", F.pmod(F.col("station_id"), F.lit(2)))
+    """Cluster numbers, unknown for one station in three, so the default is exercised."""
+    station = F.col("station_id")
+    known = F.when(F.pmod(station, F.lit(3)) != 2, F.pmod(station, F.lit(2)))
+    return R.stations(s, sf).select("station_id", known.alias("cluster"))
+
+
+def model_tables(s, sf) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of the next-state model."""
+    grid, clusters = R.grid(s, sf), station_clusters(s, sf)
+    training = F.col("day") <= R.TRAIN_END
+    profile = FT.slot_profile(grid.where(training))
+    return tuple(FT.model_table(grid, profile, clusters, period) for period in (training, F.col("day") >= R.TEST_START))
 
 
 def model_rows(s, sf, train: bool) -> DataFrame:
-    profile = FT.slot_profile(train_rows(s, sf))
-    period = F.col("day") <= R.TRAIN_END if train else F.col("day") >= R.TEST_START
-    return FT.model_table(R.grid(s, sf), profile, station_clusters(s, sf), period)
+    return model_tables(s, sf)[0 if train else 1]
 
 
 OVERALL_SQL = ", ".join(f"(select avg({c}) from pf) as g_{c}" for c in RF_VALUES)
@@ -430,12 +441,20 @@ query("rf_features_train", MODEL_SQL + f"l.day <= date '{R.TRAIN_END}'")(_model_
 query("rf_features_test", MODEL_SQL + f"l.day >= date '{R.TEST_START}'")(_model_query(False))
 
 
-@query("join_cross_scalar", PROFILE_RF_SQL + ", g as (select " + ", ".join(f"avg({c}) as g_{c}" for c in RF_VALUES) + """ from pf)
- select s.station_id, round(coalesce(p.m, g_nab_mean), 4) as nab_mean from stations s cross join g left join (select station_id, avg(nab_mean) as m from pf where hour = 3 and weekend = 1 and half = 1 group by 1) p using (station_id)""")
+@query("join_cross_scalar", PROFILE_RF_SQL + """, g as (select avg(nab_mean) as overall from pf)
+ select station_id, hour::int as hour, half, weekend, round(nab_mean::double - overall, 5) as above_overall from pf cross join g""")
 def _(s, sf):
     profile = FT.slot_profile(train_rows(s, sf))
     overall = profile.agg(F.avg("nab_mean")).scalar()
-    one = profile.where((F.col("hour") == 3) & (F.col("weekend") == 1) & (F.col("half") == 1))
-    means = one.groupBy("station_id").agg(F.avg("nab_mean").alias("m"))
-    joined = R.stations(s, sf).select("station_id").join(means, "station_id", "left")
-    return rounded(joined.select("station_id", F.coalesce("m", overall).alias("nab_mean")), "nab_mean", digits=4)
+    rows = profile.withColumns({"above_overall": F.col("nab_mean").cast("double") - overall, "weekend": F.col("weekend").cast("int")})
+    return rounded(rows.select("station_id", "hour", "half", "weekend", "above_overall"), "above_overall", digits=5)
+
+
+@query("sink_station_tables", EVAL_SQL + """select 'readings' as name, (select count(*) from clean) as n union all select 'trips', (select count(*) from (select distinct station_id, day, hour from enriched))
+ union all select 'slots', (select count(*) from slots) union all select 'grid', (select count(*) from grid)
+ union all select 'features', (select count(*) from stations) union all select 'history', (select count(*) from ha) union all select 'evaluation', (select count(*) from ev)""")
+def _(s, sf):
+    """All tables of the chain, each written once and read by the stages after it."""
+    raw = R.readings(s, sf)
+    written = station_tables(raw, R.stations_of(raw), shared_folder(s, "chain"), R.TRAIN_END, R.TEST_START, R.TEST_END, R.SHORT_HISTORY_KEYS)
+    return table_sizes(written).select(F.col("table_name").alias("name"), F.col("n_rows").alias("n"))
