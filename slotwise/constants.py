@@ -81,3 +81,12 @@ WEEKEND_BANDS = ((6, 10), (10, 14), (14, 18), (18, 22), (22, 24))
 MORNING_PEAK, EVENING_PEAK = (7, 9), (17, 19)
 DEFAULT_CAPACITY = 20.0
 MAX_NULL_FEATURES = 10
+
+# --- fixed values: names of the five published station groups, by their published number
+CLUSTER_NAMES = {
+    0: "Perifèric Baix Ús",
+    1: "Central Alta Ocupació",
+    2: "Origen Commuter Matí",
+    3: "Ús Mixt Equilibrat",
+    4: "Residencial Entrada Tarda",
+}

@@ -14,7 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from slotwise.constants import MODEL_CLASSES
+from slotwise.constants import CLUSTER_NAMES, MODEL_CLASSES
+from slotwise.functions.dates import lookup
+from slotwise.functions.numbers import minmax_norm
 from slotwise.operators.grouping import modal_value
 
 EXACT_SILHOUETTE_ROWS = 20_000
@@ -116,6 +118,19 @@ def cluster_means(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
+def name_clusters(df: DataFrame, names: dict[int, str] = CLUSTER_NAMES, cluster: str = "cluster") -> DataFrame:
+    """Adds ``cluster_name``. Numbers are only comparable to the names after a stable ordering."""
+    return df.withColumn("cluster_name", lookup(F.col(cluster), names))
+
+
+def scaled_centres(centres: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Centres with each column scaled to 0..1 over the clusters, 0.5 where all agree."""
+    ends = centres.agg(F.struct(*[
+        F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns
+    ])).scalar()
+    return centres.withColumns({c: minmax_norm(F.col(c), ends[c]["lo"], ends[c]["hi"]) for c in columns})
+
+
 def cluster_summary(df: DataFrame, columns: Sequence[str], district: str, cluster: str = "cluster") -> DataFrame:
     """Size, most frequent district and feature means per cluster."""
     return cluster_means(df, columns, cluster).join(modal_value(df, [cluster], district, "top_district"), cluster)

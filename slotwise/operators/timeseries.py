@@ -1,7 +1,6 @@
 """Station readings -> clean readings -> trips and the dense half-hour grid.
 
-Column flow: raw text readings -> ``station_id, day_chunk, last_reported, bikes,
-docks`` -> deltas -> local time parts and district -> trips / half-hour slots.
+Column flow: raw text readings -> ``station_id, last_reported, bikes, docks`` -> deltas -> local time parts and district -> trips / half-hour slots.
 """
 
 from __future__ import annotations
@@ -37,9 +36,8 @@ def valid_readings(raw: DataFrame) -> DataFrame:
 def clean(raw: DataFrame) -> DataFrame:
     """Valid rows, one per (station, time): the one with the latest update.
 
-    The rows are partitioned once by (station, UTC day); de-duplication and the
-    lag window both reuse that partitioning, and a busy station is spread over
-    its days.
+    Copies of a reading are reduced before the shuffle, and the key includes the
+    time, so neither a busy station nor a much repeated reading fills one task.
     """
     typed = valid_readings(raw).select(
         F.col("station_id").try_cast("int").alias("station_id"),
@@ -48,34 +46,30 @@ def clean(raw: DataFrame) -> DataFrame:
         F.col("num_docks_available").try_cast("int").alias("docks"),
         F.col("last_updated").try_cast("bigint").alias("updated"),
     )
-    chunked = typed.withColumn("day_chunk", F.floor(F.col("last_reported") / SECONDS_PER_DAY).cast("int"))
     reading = F.struct("bikes", "docks")
     order = F.when(F.col("updated").isNotNull(), F.struct("updated", "bikes", "docks"))
-    latest = (
-        chunked.repartition("station_id", "day_chunk")
-        .groupBy("station_id", "day_chunk", "last_reported")
-        .agg(F.max_by(reading, order).alias("r"))
-    )
-    return latest.select("station_id", "day_chunk", "last_reported", "r.bikes", "r.docks")
+    latest = typed.groupBy("station_id", "last_reported").agg(F.max_by(reading, order).alias("r"))
+    return latest.select("station_id", "last_reported", "r.bikes", "r.docks")
 
 
 def with_delta(cleaned: DataFrame) -> DataFrame:
     """Previous reading of the station, seconds since it and change in bikes.
 
-    Lags run inside (station, day); the first reading of a day takes its
-    predecessor from a small table of last readings per day, so the history of
-    one station never has to fit in one task.
+    Lags run inside (station, UTC day), which holds at most one reading per
+    second; the first reading of a day takes its predecessor from a small table of
+    last readings per day, so the history of one station is never in one task.
     """
+    chunked = cleaned.withColumn("day_chunk", F.floor(F.col("last_reported") / SECONDS_PER_DAY).cast("int"))
     within = Window.partitionBy("station_id", "day_chunk").orderBy("last_reported")
     previous = F.struct(F.col("last_reported").alias("t"), F.col("bikes").alias("b"))
     across = Window.partitionBy("station_id").orderBy("day_chunk")
     carried = (
-        cleaned.groupBy("station_id", "day_chunk")
+        chunked.groupBy("station_id", "day_chunk")
         .agg(F.max_by(previous, "last_reported").alias("tail"))
         .select("station_id", "day_chunk", F.lag("tail").over(across).alias("carry"))
     )
     return (
-        cleaned.withColumn("prev", F.lag(previous).over(within))
+        chunked.withColumn("prev", F.lag(previous).over(within))
         .join(carried, ["station_id", "day_chunk"], "left")
         .withColumn("prev", F.coalesce("prev", "carry"))
         .select(

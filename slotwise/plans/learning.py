@@ -183,9 +183,9 @@ def _(s, sf):
 
 @query("ml_centroids")
 def _(s, sf):
-    """Mean of the first coordinates per cluster, in original units."""
+    """Mean of the first coordinates per named cluster, in original units."""
     rows = clustered(s, sf).withColumns({f"x{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(3)})
-    return rounded(ml.cluster_means(rows, ["x0", "x1", "x2"]), "x0", "x1", "x2")
+    return rounded(ml.name_clusters(ml.cluster_means(rows, ["x0", "x1", "x2"])), "x0", "x1", "x2")
 
 
 @query("ml_cluster_district")
@@ -199,6 +199,24 @@ def _(s, sf):
     return rounded(ml.cluster_means(rows, ["x0", "x1"], "label").withColumnRenamed("label", "cluster"), "x0", "x1")
 
 
+@query("ml_scaled_centres", """with c as (select label as cluster, count(*) as n, avg(embedding[1]::double) as x0, avg(embedding[2]::double) as x1 from embeddings group by 1)
+ select cluster, n, round((x0 - (select min(x0) from c)) / ((select max(x0) from c) - (select min(x0) from c)), 6) as x0,
+  round((x1 - (select min(x1) from c)) / ((select max(x1) from c) - (select min(x1) from c)), 6) as x1 from c""")
+def _(s, sf):
+    rows = T(s, sf, "embeddings").withColumns({f"x{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(2)})
+    centres = ml.cluster_means(rows.withColumnRenamed("label", "cluster"), ["x0", "x1"])
+    return rounded(ml.scaled_centres(centres, ["x0", "x1"]), "x0", "x1")
+
+
+@query("ml_cluster_summary", """select label as cluster, count(*) as n, round(avg(embedding[1]::double), 6) as x0,
+ (select arg_min(p, (-k, p)) from (select 'part ' || (vec_id % 4) as p, count(*) as k from embeddings e2 where e2.label = e.label group by 1)) as top_district from embeddings e group by label""")
+def _(s, sf):
+    rows = T(s, sf, "embeddings").select(
+        F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).cast("double").alias("x0"),
+        F.concat(F.lit("part "), F.pmod(F.col("vec_id"), F.lit(4)).cast("string")).alias("district"))
+    return rounded(ml.cluster_summary(rows, ["x0"], "district"), "x0")
+
+
 # ---------------------------------------------------------------- classifier
 @query("ml_sample")
 def _(s, sf):

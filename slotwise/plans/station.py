@@ -25,7 +25,7 @@ TRIPS_SQL = STATION + """, trips as (select station_id, day, year, month, day_of
 # ---------------------------------------------------------------- readings and trips
 @query("ts_clean", STATION + "select * from clean")
 def _(s, sf):
-    return R.cleaned(s, sf).drop("day_chunk")
+    return R.cleaned(s, sf)
 
 
 @query("dq_dedup_latest", STATION + "select c.station_id, c.last_reported, c.bikes, c.docks from clean c")

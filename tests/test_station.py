@@ -53,7 +53,6 @@ def test_delta_equals_one_plain_window_on_a_hot_station(spark):
     rows = spark.range(3000).select(
         F.lit(7).alias("station_id"), (F.lit(base) + F.col("id") * 977).alias("last_reported"),
         F.pmod(F.hash("id"), F.lit(20)).alias("bikes"), F.lit(1).alias("docks"))
-    rows = rows.withColumn("day_chunk", F.floor(F.col("last_reported") / 86400).cast("int"))
     got = TS.with_delta(rows).select("last_reported", "delta_bikes")
     from pyspark.sql import Window
     w = Window.partitionBy("station_id").orderBy("last_reported")
