@@ -24,7 +24,8 @@ def nearest_neighbour_routes(edges: DataFrame) -> DataFrame:
     maps = neighbours.groupBy("matrix").agg(
         F.map_from_entries(F.collect_list(F.struct("src", "near"))).alias("near")
     )
-    starts = maps.withColumn("origin", F.explode(F.map_keys("near"))).repartition("matrix", "origin")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = maps.withColumn("origin", F.explode(F.map_keys("near"))).repartition(parts, "matrix", "origin")
 
     def step(state, _):
         here = F.element_at(state["route"], -1)

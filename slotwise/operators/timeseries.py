@@ -190,18 +190,21 @@ def calendar_bounds(raw: DataFrame, zone: str = LOCAL_ZONE) -> tuple[Column, Col
 
 
 def with_slots(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Each row once per half hour from ``first`` to ``last``, both included.
+    """Each row once per half hour from ``first`` to ``last``, both included and on the half hour.
 
-    Each row expands itself, so a stations x slots grid needs no join. The series is
-    zone-less: hours that daylight saving skips are present.
+    Each row expands itself, so a stations x slots grid needs no join. Rows are
+    expanded to days and dealt out before the 48 slots of a day are added: the
+    few station rows would otherwise sit in one partition that writes the whole grid.
+    The series is zone-less: hours that daylight saving skips are present.
     """
-    step = F.expr("interval 30 minutes")
-    slots = df.withColumn("slot", F.explode(F.sequence(first, last, step)))
-    return slots.select(
-        *df.columns,
-        F.to_date("slot").alias("day"),
-        F.hour("slot").alias("hour"),
-        F.when(F.minute("slot") == 0, 0).otherwise(1).alias("half"),
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each_day = F.sequence(F.to_date(first), F.to_date(last), F.expr("interval 1 day"))
+    days = df.withColumn("day", F.explode(each_day)).repartition(parts, *df.columns, "day")
+    slots = days.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    zero = F.lit(0)
+    start = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, F.col("slot") * 30, zero)
+    return slots.where(start.between(first, last)).select(
+        *df.columns, "day", F.floor(F.col("slot") / 2).cast("int").alias("hour"), (F.col("slot") % 2).alias("half")
     )
 
 

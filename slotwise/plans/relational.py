@@ -188,7 +188,7 @@ def _(s, sf):
     return R.employees(s, sf).join(increments(s), "group_name", "left").select("id", "group_name", "increment")
 
 
-@query("join_left_multi_key", R.GRID + """select c.station_id, c.day::varchar as day, c.hour, c.half, h.min_bikes is not null as measured
+@query("join_left_multi_key", R.GRID + """select c.station_id, c.day::varchar as day, c.hour::int as hour, c.half, h.min_bikes is not null as measured
  from (select station_id, day, hour, half from stations cross join calendar) c left join slots h
  on h.station_id = c.station_id and h.day = c.day and h.hour = c.hour and h.half = c.half""")
 def _(s, sf):
@@ -383,7 +383,7 @@ def _(s, sf):
     return rows.select("o_custkey", F.col("r.o_orderkey").alias("last_order"), F.col("r.o_orderstatus").alias("last_status"))
 
 
-@query("agg_min_max_avg", R.GRID + "select station_id, day::varchar as day, hour, half, min_bikes, max_bikes, avg_bikes, min_docks, max_docks, avg_docks, avg_capacity from slots")
+@query("agg_min_max_avg", R.GRID + "select station_id, day::varchar as day, hour::int as hour, half, min_bikes, max_bikes, avg_bikes, min_docks, max_docks, avg_docks, avg_capacity from slots")
 def _(s, sf):
     return with_text(TS.half_hour_slots(R.located(s, sf)), "day")
 

@@ -307,7 +307,7 @@ def match_lines(s, sf) -> DataFrame:
     return rows.select(F.when(F.pmod(F.col("l_orderkey"), F.lit(5)) == 0, F.concat_ws(" ", "home", goals)).otherwise(good).alias("value"))
 
 
-@query("rsh_two_rows_per_match", MATCH_SQL + "select team, gf::int as gf, ga::int as ga, count(*) as n from r group by all")
+@query("rsh_two_rows_per_match", MATCH_SQL + "select team, gf::bigint as gf, ga::bigint as ga, count(*) as n from r group by all")
 def _(s, sf):
     return TX.team_rows(TX.parse_matches(match_lines(s, sf))).groupBy("team", "gf", "ga").agg(F.count(F.lit(1)).alias("n"))
 
