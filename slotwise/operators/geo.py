@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -107,36 +105,29 @@ def within_left_join(points: DataFrame, polygons: DataFrame, cell: float = 0.01)
 
 
 # ---------------------------------------------------------------- hulls and centres
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull vertices, counter-clockwise from the lowest-leftmost (monotone chain)."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return pts
-
-    def chain(seq):
-        out: list[np.ndarray] = []
-        for p in seq:
-            while len(out) >= 2:
-                u, v = out[-1] - out[-2], p - out[-2]
-                if u[0] * v[1] - u[1] * v[0] > 0:
-                    break
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(chain(pts) + chain(pts[::-1]))
-
-
 def hull_points(df: DataFrame, group: str, spread: int = 32) -> DataFrame:
-    """Hull vertices (group, lon, lat, number) per group.
+    """Hull vertices (group, position, lon, lat), counter-clockwise from the leftmost.
 
     Hulls of hash parts of a group come first and the hull of their vertices second,
     so a large group is never in one task.
     """
     schema = f"{group} {df.schema[group].dataType.simpleString()}, part int, position int, lon double, lat double"
 
+    # Defined here so that it travels to the workers by value.
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        vertices = _hull(pdf[["lon", "lat"]].to_numpy())
+        def chain(points):
+            out = []
+            for p in points:
+                while len(out) >= 2:
+                    u, v = out[-1] - out[-2], p - out[-2]
+                    if u[0] * v[1] - u[1] * v[0] > 0:
+                        break
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        pts = np.unique(pdf[["lon", "lat"]].to_numpy(), axis=0)
+        vertices = pts if len(pts) < 3 else np.array(chain(pts) + chain(pts[::-1]))
         return pd.DataFrame({
             group: pdf[group].iloc[0], "part": pdf["part"].iloc[0], "position": np.arange(len(vertices)),
             "lon": vertices[:, 0], "lat": vertices[:, 1],
