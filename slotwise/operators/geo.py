@@ -108,8 +108,9 @@ def within_left_join(points: DataFrame, polygons: DataFrame, cell: float = 0.01)
 def hull_points(df: DataFrame, group: str, spread: int = 32) -> DataFrame:
     """Hull vertices (group, position, lon, lat), counter-clockwise from the leftmost.
 
-    Hulls of hash parts of a group come first and the hull of their vertices second,
-    so a large group is never in one task.
+    Every Arrow batch is reduced to the hulls of its groups where it is read; only those
+    vertices are shuffled, first to hash parts of a group and then to the group, so
+    no task ever holds a large group.
     """
     schema = f"{group} {df.schema[group].dataType.simpleString()}, part int, position int, lon double, lat double"
 
@@ -133,8 +134,14 @@ def hull_points(df: DataFrame, group: str, spread: int = 32) -> DataFrame:
             "lon": vertices[:, 0], "lat": vertices[:, 1],
         })
 
-    distinct = df.select(group, F.col("lon").cast("double"), F.col("lat").cast("double")).na.drop().distinct()
-    parts = distinct.withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.lit(spread)).cast("int"))
+    def shrink(batches):
+        for pdf in batches:
+            for _, rows in pdf.groupby(group):
+                yield hull(rows.assign(part=0))[[group, "lon", "lat"]]
+
+    points = df.select(group, F.col("lon").cast("double"), F.col("lat").cast("double")).na.drop()
+    outer = points.mapInPandas(shrink, points.schema)
+    parts = outer.withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.lit(spread)).cast("int"))
     partial = parts.groupBy(group, "part").applyInPandas(hull, schema)
     merged = partial.withColumn("part", F.lit(0)).groupBy(group, "part").applyInPandas(hull, schema)
     return merged.drop("part")
