@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import os
 import tempfile
 import uuid
 
@@ -32,11 +33,12 @@ def local_session(app: str = "slotwise", cores: str = "*", **conf: str) -> Spark
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder all executors share (``spark.checkpoint.dir``).
 
-    Only a local session may fall back to a temporary folder of the machine.
+    A session on one machine that names none gets one folder of its own for all calls,
+    since driver and tasks are the same process there; any other session must name it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="slotwise-")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"slotwise-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/slotwise/{purpose}-{uuid.uuid4().hex}"
