@@ -67,7 +67,7 @@ def numbered(df: DataFrame, order: Sequence[Column], within: Sequence[str], numb
     earlier = Window.partitionBy(*(F.col(c) for c in within)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(before, F.coalesce(F.sum(rows).over(earlier), F.lit(0))).drop(rows)
     names = {c: fresh("key") for c in within}
-    offsets = offsets.withColumnsRenamed(names | {part: fresh("at")})
+    offsets = kept(offsets.withColumnsRenamed(names | {part: fresh("at")}), f"{purpose}-offsets")
     at = offsets.columns[0]
     same = table[part] == offsets[at]
     for c, k in names.items():

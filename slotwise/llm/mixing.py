@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slotwise.llm.common import kept, numbered, packed, unpacked, word_count
+from slotwise.llm.common import kept, numbered, unpacked, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -61,9 +61,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return placed.select("source", "source_size", F.least(share_of, bound.cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """Adds _size, _source_size, _target and _copies to every row, in structs that cannot clash: (row, plan)."""
-    sized = packed(docs, "row", source=F.col("source"), size=word_count(F.col("text")), doc_id=F.col("doc_id"))
+def mix(docs: DataFrame, columns: Sequence[str], seed: str = SEED, **shares) -> DataFrame:
+    """(row, plan): the named columns of every row beside its size, its source's size and target, and its copies."""
+    row = F.struct(*columns).alias("row")
+    sized = docs.select(row, F.col("source"), word_count(F.col("text")).alias("size"), F.col("doc_id"))
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
     lined = numbered(sized, order, ["source"], "place", "mix-line")
     per_source = targets(lined.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
@@ -77,14 +78,14 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as the plan says, with the columns of ``docs``."""
-    rows = mix(docs, **options)
+    rows = mix(docs, docs.columns, **options)
     times = F.explode(F.sequence(F.lit(1), F.col("plan.copies"))).alias("copy")
     return unpacked(rows.where(F.col("plan.copies") > 0).select("row", times), "row", docs)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes from it."""
-    rows = mix(docs.select("doc_id", "source", "text"))
+    rows = mix(docs, ["doc_id"])
     return rows.select(
         F.col("row.doc_id").alias("doc_id"), F.col("plan.size").alias("size"), F.col("plan.source_size").alias("source_size"),
         F.col("plan.target").alias("target"), (F.col("plan.copies") * F.col("plan.size")).alias("taken"),

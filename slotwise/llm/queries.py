@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from slotwise.llm import decontamination, mixing
+from slotwise.llm import decontamination, languages, mixing, secrets, simhash, url_filter, warc
 from slotwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_warc", warc.SQL)
+def op1(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+@query("op2_url_filter", url_filter.SQL)
+def op2(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op3_languages")
+def op3(spark, sf_dir):
+    return languages.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_decontamination", decontamination.SQL)
 def op4(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query("op10_mixing", mixing.SQL)
 def op10(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
