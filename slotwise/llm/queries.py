@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotwise.llm import decontamination, languages, mixing, secrets, simhash, url_filter, warc
+from slotwise.llm import decontamination, languages, mixing, secrets, simhash, style_tree, url_filter, warc
 from slotwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,6 +33,11 @@ def op7(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_style_tree")
+def op8(spark, sf_dir):
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op9_secrets")
 def op9(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
