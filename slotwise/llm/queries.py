@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotwise.llm import decontamination, languages, mixing, secrets, simhash, style_tree, url_filter, warc
+from slotwise.llm import decontamination, imatch, language_model, languages, mixing, secrets, simhash, style_tree, url_filter, warc
 from slotwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,6 +28,16 @@ def op4(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_language_model")
+def op5(spark, sf_dir):
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_imatch")
+def op6(spark, sf_dir):
+    return imatch.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash")
 def op7(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
