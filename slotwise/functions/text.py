@@ -23,15 +23,9 @@ def mean_word_length(text: Column) -> Column:
     return F.when(F.size(ws) > 0, F.length(F.array_join(ws, "")) / F.size(ws)).otherwise(F.lit(0.0))
 
 
-def list_items(text: Column, sep: str = ",", max_items: int | None = None) -> Column:
-    """Distinct trimmed, non-blank items of a delimited string.
-
-    ``max_items`` looks only at the first positions, as a fixed-width splitter would.
-    """
-    parts = F.split(text, sep)
-    if max_items is not None:
-        parts = F.slice(parts, 1, max_items)
-    return F.filter(F.array_distinct(F.transform(parts, lambda x: F.trim(x))), lambda x: x != "")
+def list_items(text: Column, sep: str = ",") -> Column:
+    """Distinct trimmed, non-blank items of a delimited string."""
+    return F.filter(F.array_distinct(F.transform(F.split(text, sep), lambda x: F.trim(x))), lambda x: x != "")
 
 
 def count_items(text: Column, sep: str = ",") -> Column:

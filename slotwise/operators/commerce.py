@@ -123,13 +123,12 @@ def card_status(tx: DataFrame, last: int = 3) -> DataFrame:
     return recent.groupBy("card_id").agg(F.when(declined == last, INACTIVE).otherwise(ACTIVE).alias("status"))
 
 
-def product_bridge(tx: DataFrame, products: DataFrame, max_items: int | None = 5) -> DataFrame:
+def product_bridge(tx: DataFrame, products: DataFrame) -> DataFrame:
     """One row per transaction and distinct known product of its list.
 
-    The list is exploded and joined on equality. ``max_items`` is the number of list
-    positions looked at; None takes the whole list.
+    The whole list is exploded and joined on equality.
     """
-    items = text.list_items(F.col("product_ids"), ",", max_items)
+    items = text.list_items(F.col("product_ids"), ",")
     exploded = tx.select(F.col("id").alias("transaction_id"), F.explode(items).alias("product_id"))
     known = products.select(F.col("id").cast("string").alias("product_id"))
     return exploded.join(known, "product_id").select("transaction_id", "product_id")

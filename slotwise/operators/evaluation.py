@@ -93,20 +93,17 @@ def common_rows(
     return joined.where(F.col("real").isin(*classes))
 
 
-def balanced_accuracy_by(
-    df: DataFrame, real: str, predictions: dict[str, str], key: str, min_rows: int = 100
-) -> DataFrame:
-    """Balanced accuracy per value of ``key`` and model over the classes present; small groups are skipped."""
+def balanced_accuracy_by(df: DataFrame, real: str, predictions: dict[str, str], key: str) -> DataFrame:
+    """Balanced accuracy per value of ``key`` and model over the classes present, with the rows it rests on."""
     table = confusion(df, real, predictions, [key])
     classes = table.groupBy(key, "model", "real").agg(
         F.sum("n").alias("n_real"),
         F.sum(F.when(F.col("real") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
     )
-    grouped = classes.groupBy(key, "model").agg(
+    return classes.groupBy(key, "model").agg(
         F.sum("n_real").alias("n"),
         (100.0 * F.avg(ratio(F.col("tp"), F.col("n_real")))).alias("balanced_accuracy"),
     )
-    return grouped.where(F.col("n") >= min_rows)
 
 
 def compare_models(scores: DataFrame, base: str, digits: int = 1) -> DataFrame:

@@ -10,6 +10,7 @@ from slotwise.constants import (
 )
 from slotwise.functions import dates
 from slotwise.functions.numbers import ratio
+from slotwise.operators.grouping import last_n_per_group
 
 STRUCTURE_KEYS = ["station_id", "lat", "lon", "district"]
 
@@ -133,17 +134,20 @@ def slot_profile(grid: DataFrame) -> DataFrame:
 def with_lags(grid: DataFrame) -> DataFrame:
     """Observations two and three modelled slots earlier, and the trend between them.
 
-    Lags count rows: slots in other states are removed first and jumped over.
-    The window holds one station's calendar, which has the same length for all.
+    Lags count rows: slots in other states are removed first and jumped over. The
+    window holds one month of one station, behind the last three modelled slots of
+    the months before, so no station's history is ever in one task.
     """
-    w = Window.partitionBy("station_id").orderBy("day", "hour", "half")
-    rows = grid.where(F.col("state").isin(*MODEL_CLASSES))
+    modelled = grid.where(F.col("state").isin(*MODEL_CLASSES)).select("station_id", "day", "hour", "half", "state", "avg_bikes", "avg_docks", "avg_capacity")
+    rows = modelled.withColumns({"_month": F.trunc("day", "month"), "_carried": F.lit(False)})
+    rows = rows.unionByName(_carried_over(rows, 3))
+    w = Window.partitionBy("station_id", "_month").orderBy("day", "hour", "half")
     two = lambda c: F.lag(c, 2).over(w)
     three = lambda c: F.lag(c, 3).over(w)
     capacity = F.coalesce(F.col("avg_capacity"), F.lit(DEFAULT_CAPACITY))
     month = F.month("day")
-    return rows.select(
-        "station_id", "day", "hour", "half", "state",
+    lagged = rows.select(
+        "_carried", "station_id", "day", "hour", "half", "state",
         month.alias("month"),
         dates.iso_weekday(F.col("day")).alias("weekday"),
         is_weekend(F.col("day")).cast("tinyint").alias("weekend"),
@@ -155,6 +159,22 @@ def with_lags(grid: DataFrame) -> DataFrame:
         (two("avg_bikes") - three("avg_bikes")).cast("float").alias("delta_bikes"),
         (two("avg_docks") - three("avg_docks")).cast("float").alias("delta_docks"),
     )
+    return lagged.where(~F.col("_carried")).drop("_carried")
+
+
+def _carried_over(rows: DataFrame, n: int) -> DataFrame:
+    """For each station and month the last ``n`` rows of the months before, under that month.
+
+    Only the last ``n`` rows of each month can be among them; these few rows are what the window
+    over a station's months holds.
+    """
+    slot = ["day", "hour", "half"]
+    last = last_n_per_group(rows, ["station_id", "_month"], [F.desc(c) for c in slot], n).drop("row_in_group")
+    before = Window.partitionBy("station_id").orderBy(*slot).rowsBetween(-n, -1)
+    first = Window.partitionBy("station_id", "_month").orderBy(*slot)
+    cells = F.struct(*[c for c in rows.columns if c not in ("station_id", "_month", "_carried")])
+    heads = last.withColumns({"_before": F.collect_list(cells).over(before), "_place": F.row_number().over(first)}).where("_place = 1")
+    return heads.select("station_id", "_month", F.lit(True).alias("_carried"), F.inline("_before"))
 
 
 def model_table(grid: DataFrame, profile: DataFrame, clusters: DataFrame, period: Column) -> DataFrame:

@@ -7,6 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Rows with the one row of ``per_key`` for their keys.
+
+    Where the small side can't be broadcast, a hot key's rows are dealt over ``salts`` tasks and the
+    key's row is repeated that often.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Dataframe-library grouping leaves rows without a key out; SQL grouping keeps them."""
     return df.na.drop(subset=list(keys)) if keys else df
@@ -62,23 +76,10 @@ def pivot_with_margins(
     return labelled.groupBy(row).pivot(column, [*columns, margin]).agg(F.first("_mean"))
 
 
-def collect_in_pages(df: DataFrame, keys: Sequence[str], item: Column, name: str, page_rows: int = 10_000) -> DataFrame:
-    """Sorted lists of ``item`` per group, one row per page.
-
-    A group of up to ``page_rows`` rows is one complete list (page 0). Larger groups
-    are spread by a hash of the item over as many pages as they need, so no
-    task ever holds more than about one page of a hot group and nothing is lost.
-    """
-    rows = df.select(*keys, item.alias(name))
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_rows).alias("pages"))
-    paged = rows.join(sizes, list(keys)).withColumn("page", F.pmod(F.xxhash64(name), F.col("pages")).cast("int"))
-    return paged.groupBy(*keys, "page", "pages").agg(F.sort_array(F.collect_list(name)).alias(name))
-
-
-def invert_mapping(df: DataFrame, key: str, value: str, page_rows: int = 10_000) -> DataFrame:
-    """Swap keys and values: per value the sorted list of its keys, flagged when it has several."""
-    pages = collect_in_pages(df, [value], F.col(key), "keys", page_rows)
-    return pages.withColumn("duplicated", (F.col("pages") > 1) | (F.size("keys") > 1))
+def invert_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Swap keys and values: rows ``value, key``, flagged where a value has several keys."""
+    sizes = df.groupBy(value).agg((F.count(F.lit(1)) > 1).alias("duplicated"))
+    return df.select(value, key).join(sizes, value)
 
 
 def last_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -5,21 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.constants import CLUSTER_NAMES, MODEL_CLASSES
 from slotwise.functions.dates import lookup
 from slotwise.functions.numbers import minmax_norm
 from slotwise.operators.grouping import modal_value
-
-EXACT_SILHOUETTE_ROWS = 20_000
+#: Bound on the rows a forest is fitted on, as published for the original model.
+FIT_ROWS = 1_500_000
 
 
 def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,57 +53,33 @@ def persisted(df: DataFrame):
             df.unpersist()
 
 
-def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42) -> KMeansModel:
+def best_kmeans(points: DataFrame, k: int, restarts: int, max_iter: int, seed: int, parallel: int) -> KMeansModel:
+    """Restarts run beside each other, as Spark jobs of one session; the cheapest model wins, the earlier on ties."""
+    with ThreadPool(min(parallel, restarts)) as pool:
+        fit = inheritable_thread_target(points.sparkSession)(lambda i: KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points))
+        runs = pool.map(fit, range(restarts))
+    return min(runs, key=lambda m: m.summary.trainingCost)
+
+
+def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42, parallel: int = 8) -> KMeansModel:
     """Best of several k-means runs by within-cluster cost."""
     with persisted(df.select("features")) as points:
-        runs = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points) for i in range(restarts)]
-    return min(runs, key=lambda m: m.summary.trainingCost)
+        return best_kmeans(points, k, restarts, max_iter, seed, parallel)
 
 
-def silhouette(df: DataFrame, exact_rows: int = EXACT_SILHOUETTE_ROWS) -> tuple[float, str]:
-    """Mean silhouette of ``features, prediction`` and the distance it is based on.
+def silhouette(df: DataFrame) -> float:
+    """Mean silhouette of ``features, prediction`` over squared Euclidean distances, in one pass over the clusters' sums."""
+    return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(df)
 
-    Euclidean silhouette compares every pair, so it is used only while the row
-    count, checked first, keeps the points small enough to broadcast. Beyond
-    that the linear squared-Euclidean form of MLlib is used over all rows.
-    """
-    if df.limit(exact_rows + 1).count() > exact_rows:
-        return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(df), "squaredEuclidean"
-    flat = df.select(vector_to_array("features").alias("v"), F.col("prediction").cast("int").alias("c"))
-    rows = flat.toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((np.stack(rows["v"].to_numpy()), rows["c"].to_numpy()))
-
-    def scores(batches):
-        points, labels = shared.value
-        names, sizes = np.unique(labels, return_counts=True)
-        for pdf in batches:
-            out = []
-            for v, c in zip(pdf["v"], pdf["c"]):
-                distance = np.sqrt(((points - np.asarray(v)) ** 2).sum(axis=1))
-                sums = np.array([distance[labels == name].sum() for name in names])
-                own = names == c
-                if sizes[own][0] == 1 or len(names) == 1:
-                    out.append(0.0)
-                    continue
-                a, b = sums[own][0] / (sizes[own][0] - 1), (sums[~own] / sizes[~own]).min()
-                out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-            yield pd.DataFrame({"s": out})
-
-    mean = flat.mapInPandas(scores, "s double").agg(F.avg("s")).first()[0]
-    shared.unpersist()
-    return mean, "euclidean"
-
-
-def k_sweep(df: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette per k. ``df`` needs a ``features`` vector."""
+
+def k_sweep(df: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42, parallel: int = 8) -> DataFrame:
+    """Inertia and squared-Euclidean silhouette per k. ``df`` needs a ``features`` vector."""
     rows = []
     with persisted(df.select("features")) as points:
         for k in ks:
-            runs = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points) for i in range(restarts)]
-            model = min(runs, key=lambda m: m.summary.trainingCost)
-            score, measure = silhouette(model.transform(points))
-            rows.append((k, model.summary.trainingCost, float(score), measure))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, distance string")
+            model = best_kmeans(points, k, restarts, max_iter, seed, parallel)
+            rows.append((k, model.summary.trainingCost, float(silhouette(model.transform(points)))))
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_squared_euclidean double")
 
 
 def order_clusters(df: DataFrame, by: str, cluster: str = "cluster") -> DataFrame:
@@ -136,10 +113,9 @@ def cluster_summary(df: DataFrame, columns: Sequence[str], district: str, cluste
     return cluster_means(df, columns, cluster).join(modal_value(df, [cluster], district, "top_district"), cluster)
 
 
-def sample_to(df: DataFrame, target_rows: int, seed: int = 42) -> DataFrame:
-    """Bernoulli sample of about ``target_rows`` rows; everything when there are fewer."""
-    total = df.count()
-    return df if total <= target_rows else df.sample(target_rows / total, seed)
+def sample_to(df: DataFrame, target_rows: int, rows: int, seed: int = 42) -> DataFrame:
+    """Bernoulli sample of about ``target_rows`` of ``rows`` rows; everything when there are no more."""
+    return df if rows <= target_rows else df.sample(target_rows / rows, seed)
 
 
 def class_index(state: str = "state"):
@@ -166,9 +142,10 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 def fit_forest(
     train: DataFrame, columns: Sequence[str], trees: int = 100, depth: int = 20, min_leaf: int = 20,
-    seed: int = 42, bins: int = 64, memory_mb: int = 1024,
+    seed: int = 42, bins: int = 64, memory_mb: int = 1024, fit_rows: int = FIT_ROWS,
 ) -> RandomForestClassificationModel:
-    """Class-balanced random forest on the modelled states."""
+    """Class-balanced random forest on the modelled states, fitted on a sample of about ``fit_rows`` rows."""
+    train = sample_to(train, fit_rows, train.count(), seed)
     rows = balanced_weights(fill_zero_float(train, columns).withColumn("label", class_index()), "label")
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", seed=seed,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from slotwise.operators.grouping import value_counts
+from slotwise.operators.grouping import salted_join, value_counts
 from slotwise.operators.quantiles import exact_quantiles
+from slotwise.operators.ranking import numbered
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -41,8 +43,7 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth.
 
-    Equal values are counted first; each distinct value then adds its kernel to
-    the grid points inside the map side of the aggregation.
+    Equal values are counted first; one aggregation then has a sum for each grid point, so no row is multiplied.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("w")
@@ -54,11 +55,12 @@ def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) ->
     )
     h, lo, hi, n = (shape.select(c).scalar() for c in ("h", "lo", "hi", "n"))
     start, step = lo - cut * h, (hi - lo + 2 * cut * h) / (points - 1)
-    spread = counts.withColumns({"h": h, "start": start, "step": step}).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    z = lambda i: (F.col("start") + i * F.col("step") - F.col("v")) / F.col("h")
+    kernels = counts.withColumns({"h": h, "start": start, "step": step}).agg(
+        *[F.sum(F.col("w") * F.exp(-0.5 * z(i) * z(i))).alias(f"s{i}") for i in range(points)]
     )
-    z = (F.col("start") + F.col("i") * F.col("step") - F.col("v")) / F.col("h")
-    sums = spread.groupBy("i").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
+    grid = F.posexplode(F.array(*[f"s{i}" for i in range(points)])).alias("i", "s")
+    sums = kernels.select(grid).where(F.col("s").isNotNull())
     scale = n * h * F.sqrt(F.lit(2.0) * F.pi())
     return sums.select("i", (start + F.col("i") * step).alias("x"), (F.col("s") / scale).alias("density"))
 
@@ -74,7 +76,7 @@ def box_stats(df: DataFrame, category: str, value: str, top: int | None = None)
     quartiles = exact_quantiles(rows, [category], "v", QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.join(quartiles, category).groupBy(category, "q1", "median", "q3").agg(
+    return salted_join(rows, quartiles, [category]).groupBy(category, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("low_whisker"),
         F.max(F.when(inside, F.col("v"))).alias("high_whisker"),
         F.count(F.when(~inside, 1)).alias("n_outliers"),
@@ -87,7 +89,7 @@ def outliers(df: DataFrame, category: str, value: str) -> DataFrame:
     rows = df.where(F.col(category).isNotNull() & F.col(value).isNotNull())
     quartiles = exact_quantiles(rows, [category], value, {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return rows.join(quartiles, category).where(
+    return salted_join(rows, quartiles, [category]).where(
         ~F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     ).drop("q1", "q3")
 
@@ -95,10 +97,11 @@ def outliers(df: DataFrame, category: str, value: str) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix as long rows, over the rows complete in all columns, in one pass."""
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    pairs = [(a, b) for a in columns for b in columns]
+    pairs = list(combinations_with_replacement(columns, 2))
     one = complete.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"{i}").alias("r"))
+        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])
     ])
     return one.select(F.explode(entries).alias("e")).select("e.*")
 
@@ -120,19 +123,14 @@ def scatter_points(
     return points if fraction is None else points.sample(fraction, seed)
 
 
-def category_codes(df: DataFrame, column: str, name: str, prefix: int = 4) -> DataFrame:
+def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the alphabetical position of the category (from 0); a missing category gets -1.
 
-    Only distinct categories are ranked: inside their leading letters, plus the
-    number of categories under earlier letters, so no task sees the whole list.
+    Only distinct categories are ranked, by ranges of the alphabet, so no task sees the whole list.
     """
     distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
-    lettered = distinct.withColumn("_p", F.substring(column, 1, prefix))
-    sizes = lettered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    codes = lettered.join(offsets, "_p").select(column, (F.col("_before") + rank - 1).cast("int").alias(name))
-    return df.join(codes, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    place = numbered(distinct, [F.col(column)], [], name, "category-codes").select(column, (F.col(name) - 1).cast("int").alias(name))
+    return df.join(place, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:

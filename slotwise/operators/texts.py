@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.functions import text
-from slotwise.operators.grouping import collect_in_pages
 
 
 def word_counts(df: DataFrame, column: str) -> DataFrame:
@@ -13,14 +12,9 @@ def word_counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(text.words(F.col(column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def index_by_initial(df: DataFrame, column: str, page_rows: int = 10_000) -> DataFrame:
-    """Per initial letter the sorted map of its words to their counts.
-
-    Initials with more words than a page continue on further pages.
-    """
-    counts = word_counts(df, column).withColumn("initial", F.substring("word", 1, 1))
-    pages = collect_in_pages(counts, ["initial"], F.struct("word", "n"), "entries", page_rows)
-    return pages.select("initial", "page", F.map_from_entries("entries").alias("words"))
+def index_by_initial(df: DataFrame, column: str) -> DataFrame:
+    """Words and their counts under their initial letter, as rows ``initial, word, n``."""
+    return word_counts(df, column).select(F.substring("word", 1, 1).alias("initial"), "word", "n")
 
 
 def split_convertible(df: DataFrame, column: str) -> DataFrame:
@@ -28,16 +22,20 @@ def split_convertible(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("item", F.explode(column)).withColumn("number", text.to_float_or_null(F.col("item")))
 
 
-# Two names and a score of two whole numbers, in three tab-separated fields.
-MATCH_LINE = r"^\s*(\S[^\t]*)\t[^\S\t]*(\+?[0-9]{1,18})[^\S\t]*-[^\S\t]*(\+?[0-9]{1,18})[^\S\t]*\t([^\t]*\S)\s*\z"
+# A whole number of a score, and a name with something in it.
+GOALS = r"^\s*(\+?[0-9]{1,18})\s*\z"
+NAME = r"\S"
 
 
 def parse_matches(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped."""
-    field = lambda i: F.trim(F.regexp_extract(column, MATCH_LINE, i))
-    return lines.where(F.col(column).rlike(MATCH_LINE)).select(
-        field(1).alias("home"), field(2).cast("bigint").alias("home_goals"),
-        field(4).alias("away"), field(3).cast("bigint").alias("away_goals"),
+    """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped. A line is cut once at its tabs, its score at the dash."""
+    fields = lines.select(F.split(F.regexp_replace(column, r"^\s+|\s+\z", ""), "\t", -1).alias("f")).where(F.size("f") == 3)
+    parts = fields.select("f", F.split(F.get("f", F.lit(1)), "-", -1).alias("g")).where(F.size("g") == 2)
+    name, goals = (lambda i: F.get("f", F.lit(i))), (lambda i: F.get("g", F.lit(i)))
+    valid = goals(0).rlike(GOALS) & goals(1).rlike(GOALS) & name(0).rlike(NAME) & name(2).rlike(NAME)
+    number = lambda i: F.regexp_replace(goals(i), r"\s", "").cast("bigint")
+    return parts.where(valid).select(
+        F.trim(name(0)).alias("home"), number(0).alias("home_goals"), F.trim(name(2)).alias("away"), number(1).alias("away_goals")
     )
 
 

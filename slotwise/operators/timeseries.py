@@ -16,7 +16,7 @@ from slotwise.constants import (
 from slotwise.functions import dates
 from slotwise.functions.numbers import pct, round_binary
 from slotwise.functions.text import all_digits
-from slotwise.operators.grouping import collect_in_pages
+from slotwise.operators.grouping import salted_join
 
 SLOT = ["station_id", "day", "hour", "half"]
 STATION = ["station_id", "lat", "lon", "district_id", "district"]
@@ -104,7 +104,7 @@ def enrich(readings: DataFrame, stations: DataFrame, zone: str = LOCAL_ZONE) ->
     """Local time parts, season and station attributes; readings of unknown stations are dropped."""
     parts = with_calendar(localize(readings, zone))
     clock = parts.withColumns({"minute": F.minute("ts_local"), "second": F.second("ts_local")})
-    return clock.join(stations.select(*STATION), "station_id")
+    return salted_join(clock, stations.select(*STATION), ["station_id"])
 
 
 # ---------------------------------------------------------------- trips
@@ -264,19 +264,15 @@ def week_states(grid: DataFrame, first_day: Column, days: int = 7) -> DataFrame:
     )
 
 
-def animation_frames(week: DataFrame, page_rows: int = 10_000) -> DataFrame:
-    """One frame per slot of the week: label, empty and full counts, and station colours by id.
-
-    Beyond ``page_rows`` stations a frame continues on further pages.
-    """
+def animation_frames(week: DataFrame) -> DataFrame:
+    """The frames of the week, one row per slot and station: label and counts of the slot, colour of the station."""
     slot = ["weekday", "hour", "half"]
     colour = dates.lookup(F.col("state"), STATE_COLOUR)
     cells = week.withColumn("colour", F.coalesce(colour, F.lit(DEFAULT_STATE_COLOUR)))
     counts = week.groupBy(*slot).agg(
         _count_state(EMPTY).alias("n_empty"), _count_state(FULL).alias("n_full")
     )
-    pages = collect_in_pages(cells, slot, F.struct("station_id", "colour"), "stations", page_rows)
     label = F.format_string(
         "%s %02d:%02d", dates.lookup(F.col("weekday"), WEEKDAYS), F.col("hour"), F.col("half") * 30
     )
-    return pages.join(counts, slot).withColumn("label", label)
+    return cells.join(counts, slot).select(*slot, label.alias("label"), "n_empty", "n_full", "station_id", "colour")

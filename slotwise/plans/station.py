@@ -163,13 +163,11 @@ def _(s, sf):
     return TS.week_states(R.grid(s, sf), F.lit(WEEK))
 
 
-@query("rsh_frames", GRID + f", week as ({WEEK_SQL}) select weekday, hour, half, 0 as page, {_case_sql('weekday', WEEKDAYS)} || printf(' %02d:%02d', hour, half * 30) as label,"
-       " count(*) filter (where state = 'buida') as n_empty, count(*) filter (where state = 'plena') as n_full,"
-       " string_agg(station_id || ':' || coalesce(case state " + " ".join(f"when '{k}' then '{v}'" for k, v in STATE_COLOUR.items()) + " end, '#333333'), ' ' order by station_id) as stations from week group by all")
+@query("rsh_frames", GRID + f", week as ({WEEK_SQL}) select weekday, hour, half, {_case_sql('weekday', WEEKDAYS)} || printf(' %02d:%02d', hour, half * 30) as label,"
+       " count(*) filter (where state = 'buida') over slot as n_empty, count(*) filter (where state = 'plena') over slot as n_full, station_id,"
+       " coalesce(case state " + " ".join(f"when '{k}' then '{v}'" for k, v in STATE_COLOUR.items()) + " end, '#333333') as colour from week window slot as (partition by weekday, hour, half)")
 def _(s, sf):
-    frames = TS.animation_frames(TS.week_states(R.grid(s, sf), F.lit(WEEK)), page_rows=1_000_000)
-    cells = F.transform("stations", lambda c: F.concat_ws(":", c["station_id"].cast("string"), c["colour"]))
-    return frames.withColumn("stations", F.array_join(cells, " ")).drop("pages")
+    return TS.animation_frames(TS.week_states(R.grid(s, sf), F.lit(WEEK)))
 
 
 # ---------------------------------------------------------------- features
@@ -351,10 +349,10 @@ def _(s, sf):
 @query("ev_by_hour", EVAL_SQL + """, c as (select * from ev where sn7_pred is not null and ha_pred is not null),
  p as (select hour, 'sn7' as model, real, sn7_pred as predicted from c union all select hour, 'ha', real, ha_pred from c),
  q as (select hour, model, real, count(*) as k, count(*) filter (where real = predicted)::double / count(*) as recall from p group by all)
- select hour::int as hour, model, sum(k)::bigint as n, round(100 * avg(recall), 6) as balanced_accuracy from q group by all having sum(k) >= 10""")
+ select hour::int as hour, model, sum(k)::bigint as n, round(100 * avg(recall), 6) as balanced_accuracy from q group by all""")
 def _(s, sf):
     rows = evaluation(s, sf).na.drop(subset=["sn7_pred", "ha_pred"])
-    return rounded(E.balanced_accuracy_by(rows, "real", PREDICTIONS, "hour", min_rows=10), "balanced_accuracy")
+    return rounded(E.balanced_accuracy_by(rows, "real", PREDICTIONS, "hour"), "balanced_accuracy")
 
 
 @query("ev_confusion_labels", """select q as real, t as predicted, n, round(100.0::double * n / sum(n) over (partition by q), 2) as pct_of_real

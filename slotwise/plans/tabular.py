@@ -236,24 +236,21 @@ def _(s, sf):
     return rounded(T(s, sf, "documents").select("doc_id", X.mean_word_length(F.col("text")).alias("mean_len")), "mean_len")
 
 
-@query("txt_index_by_initial", WORDS_SQL + """select initial, 0 as page, string_agg(word || '=' || n, ',' order by word) as words from
- (select word, word[1] as initial, count(*) as n from w where word != '' group by all) group by 1""")
+@query("txt_index_by_initial", WORDS_SQL + "select word[1] as initial, word, count(*) as n from w where word != '' group by all")
 def _(s, sf):
-    index = TX.index_by_initial(T(s, sf, "documents"), "text", page_rows=1_000_000)
-    pairs = F.transform(F.map_entries("words"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return index.select("initial", "page", F.array_join(pairs, ",").alias("words"))
+    return TX.index_by_initial(T(s, sf, "documents"), "text")
 
 
-BRIDGE5 = TXP + ", items as (select distinct id, trim(unnest(string_split(product_ids, ',')[1:5])) as item from txp) "
+BRIDGE = TXP + ", items as (select distinct id, trim(unnest(string_split(product_ids, ','))) as item from txp) "
 
 
-@query("arr_split_explode", BRIDGE5 + "select id as transaction_id, item from items")
+@query("arr_split_explode", BRIDGE + "select id as transaction_id, item from items")
 def _(s, sf):
-    items = X.list_items(F.col("product_ids"), ",", 5)
+    items = X.list_items(F.col("product_ids"), ",")
     return R.transactions_with_products(s, sf).select(F.col("id").alias("transaction_id"), F.explode(items).alias("item"))
 
 
-@query("arr_bridge_table", BRIDGE5 + "select items.id as transaction_id, item as product_id from items join products p on p.id::varchar = item")
+@query("arr_bridge_table", BRIDGE + "select items.id as transaction_id, item as product_id from items join products p on p.id::varchar = item")
 def _(s, sf):
     return C.product_bridge(R.transactions_with_products(s, sf), R.products(s, sf))
 
@@ -522,7 +519,7 @@ def _(s, sf):
     return C.card_status(R.transactions(s, sf))
 
 
-@query("tbl_product_sales", BRIDGE5 + """select item as product_id, count(*) as quantity from items join products p on p.id::varchar = item
+@query("tbl_product_sales", BRIDGE + """select item as product_id, count(*) as quantity from items join products p on p.id::varchar = item
  join tx on tx.id = items.id where declined = 0 group by 1""")
 def _(s, sf):
     tx = R.transactions_with_products(s, sf)
