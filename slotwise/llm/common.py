@@ -1,14 +1,12 @@
-"""Helpers of the corpus operators: row packing, words, scratch tables, global order."""
+"""Helpers of the corpus operators: words and row packing."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from slotwise.operators.ranking import kept, numbered
 
-from slotwise.session import shared_folder
-from slotwise.sources.writers import write_table
+__all__ = ["kept", "lower_ascii", "numbered", "packed", "unpacked", "word_array", "word_count"]
 
 # Fixed by the contracts: words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,16 +28,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def kept(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once below the shared folder and go on from the files, so that lost executors cost one step."""
-    return write_table(df, shared_folder(df.sparkSession, purpose))
-
-
-def fresh(name: str) -> str:
-    """A column name that no table brings along."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
-
-
 def packed(df: DataFrame, name: str, **derived: Column) -> DataFrame:
     """The whole row as one struct beside derived columns, so that no name can clash."""
     return df.select(F.struct("*").alias(name), *(c.alias(k) for k, c in derived.items()))
@@ -47,32 +35,3 @@ def packed(df: DataFrame, name: str, **derived: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, name: str, like: DataFrame, *more: Column) -> DataFrame:
     return df.select(*(F.col(name)[c].alias(c) for c in like.columns), *more)
-
-
-def numbered(df: DataFrame, order: Sequence[Column], within: Sequence[str], number: str, purpose: str) -> DataFrame:
-    """Row numbers from 1 inside each group of ``within``, in the order ``order`` (which must start with the group).
-
-    The table is sorted by ranges of the order, so a group of any size spreads over as many tasks
-    as its rows need; rows are counted per (range, group), and these few counts are summed over
-    the ranges. No window ever holds the rows of a group.
-    """
-    row = fresh("row")
-    table = kept(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()),
-        purpose,
-    )
-    part, first, rows, before = fresh("part"), fresh("first"), fresh("rows"), fresh("before")
-    table = table.withColumn(part, F.shiftright(row, 33))
-    counts = table.groupBy(part, *within).agg(F.min(row).alias(first), F.count(F.lit(1)).alias(rows))
-    earlier = Window.partitionBy(*(F.col(c) for c in within)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(before, F.coalesce(F.sum(rows).over(earlier), F.lit(0))).drop(rows)
-    names = {c: fresh("key") for c in within}
-    offsets = kept(offsets.withColumnsRenamed(names | {part: fresh("at")}), f"{purpose}-offsets")
-    at = offsets.columns[0]
-    same = table[part] == offsets[at]
-    for c, k in names.items():
-        same = same & table[c].eqNullSafe(offsets[k])
-    joined = table.join(offsets, same)
-    return joined.withColumn(number, F.col(row) - F.col(first) + F.col(before) + 1).drop(
-        row, part, first, before, at, *names.values()
-    )
