@@ -132,7 +132,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
 
 SQL = """
 with cut as (
-  select page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages
+  select row_number() over () as n, page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages
 ), pages2 as (
   select *, coalesce(translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path
@@ -140,7 +140,7 @@ with cut as (
 ), rules(verdict, host, path) as (
   values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), fits as (
-  select p.page_id, p.url, p.html, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) as rule, max_by(r.verdict, length(r.host || r.path)) as verdict
+  select p.n, p.page_id, p.url, p.html, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) as rule, max_by(r.verdict, length(r.host || r.path)) as verdict
   from pages2 p left join rules r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path)
   group by all
 ), nodes as (
