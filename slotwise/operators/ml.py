@@ -12,13 +12,15 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.constants import CLUSTER_NAMES, MODEL_CLASSES
 from slotwise.functions.dates import lookup
 from slotwise.functions.numbers import minmax_norm
 from slotwise.operators.grouping import modal_value
+from slotwise.operators.quality import drop_sparse, impute_median
+from slotwise.operators.ranking import kept
 #: Bound on the rows a forest is fitted on, as published for the original model.
 FIT_ROWS = 1_500_000
 
@@ -67,6 +69,40 @@ def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, s
         return best_kmeans(points, k, restarts, max_iter, seed, parallel)
 
 
+def cluster_rows(
+    df: DataFrame, columns: Sequence[str], k: int = 5, max_nulls: int = 10, order_by: str | None = None, **options
+) -> tuple[DataFrame, KMeansModel]:
+    """The clustering chain: rows with too many gaps go, other gaps take the column's median, columns are
+    z-scored and clustered; clusters are numbered by their mean of ``order_by`` (in original units).
+
+    Returns the kept rows with ``features`` (scaled) and ``cluster``, and the model, whose centres keep the model's own
+    numbers in ``prediction``.
+    """
+    # Each step reads a written table: medians and moments enter by scalar subqueries, one reference per column.
+    whole = kept(impute_median(kept(drop_sparse(df, columns, max_nulls), "cluster-rows"), columns), "cluster-whole")
+    scaled = zscore(whole.withColumns({f"_z{i}": F.col(c) for i, c in enumerate(columns)}), [f"_z{i}" for i in range(len(columns))])
+    points = kept(assemble(scaled, [f"_z{i}" for i in range(len(columns))]).drop(*[f"_z{i}" for i in range(len(columns))]), "cluster-points")
+    model = fit_kmeans(points, k, **options)
+    labelled = model.transform(points).withColumn("cluster", F.col("prediction"))
+    return order_clusters(labelled, order_by or columns[0]), model
+
+
+def cluster_checks(clustered: DataFrame, model: KMeansModel) -> DataFrame:
+    """One row: rows clustered, whether the sizes add up, whether each row's own centre is its nearest, and whether the
+    model's cost is the sum of squared distances."""
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    distance = lambda c: F.aggregate(
+        F.zip_with(vector_to_array("features"), F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
+    )
+    own = F.get(F.array(*[distance(c) for c in centres]), F.col("prediction"))
+    least = F.array_min(F.array(*[distance(c) for c in centres]))
+    sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")).scalar()
+    return clustered.agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == sizes).alias("sizes_add_up"), F.min((own <= least + 1e-9)).alias("nearest"),
+        (F.abs(F.sum(own) - F.lit(float(model.summary.trainingCost))) <= 1e-6 * F.greatest(F.sum(own), F.lit(1.0))).alias("cost"),
+    )
+
+
 def silhouette(df: DataFrame) -> float:
     """Mean silhouette of ``features, prediction`` over squared Euclidean distances, in one pass over the clusters' sums."""
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(df)

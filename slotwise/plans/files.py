@@ -133,7 +133,7 @@ def _(s, sf):
 def _(s, sf):
     path = shared_folder(s, "report")
     report = T(s, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    WR.write_csv(report, path, single_file=True)
+    WR.write_csv(report, path)
     return RD.read_csv(s, path)
 
 
@@ -152,12 +152,13 @@ def _(s, sf):
     return grid.where(F.col("year") == 2024).groupBy("station_id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cat_list_describe", "select (row_number() over ())::int as position, column_name as \"column\" from (describe orders)")
+@query("cat_list_describe", """select (row_number() over ())::int as position, column_name as "column",
+ case column_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'TIMESTAMP' then 'timestamp_ntz' else lower(column_type) end as type from (describe orders)""")
 def _(s, sf):
     T(s, sf, "orders").createOrReplaceTempView("orders")
     if RD.missing_tables(s, ["orders"]):
         raise RuntimeError("orders is not in the catalog")
-    return RD.describe_table(s.table("orders")).select("position", "column")
+    return RD.describe_table(s.table("orders"))
 
 
 @query("mut_rename_drop_table", "select c_custkey, c_name from customer")
@@ -165,9 +166,14 @@ def _(s, sf):
     import uuid
     suffix = uuid.uuid4().hex[:12]
     old, new = f"people_{suffix}", f"data_people_{suffix}"
-    s.sql(f"create table {old} using parquet location '{shared_folder(s, 'table')}' as select c_custkey, c_name from parquet.`{sf}/customer.parquet`")
+    folder = shared_folder(s, "table")
+    s.sql(f"create table {old} using parquet location '{folder}' as select c_custkey, c_name from parquet.`{sf}/customer.parquet`")
     M.rename_table(s, old, new)
-    return s.table(new)
+    rows = s.read.schema(s.table(new).schema).parquet(folder)  # an external table's files outlive its entry
+    M.drop_table(s, new)
+    if RD.missing_tables(s, [old, new]) != [old, new]:
+        raise RuntimeError("the table is still in the catalog")
+    return rows
 
 
 @query("ts_half_hour_stream", R.GRID + "select station_id, count(*) as n_slots, min(min_bikes) as min_bikes, max(max_docks) as max_docks from slots group by 1")

@@ -164,14 +164,15 @@ def embedding_points(s, sf) -> DataFrame:
 
 @query("ml_k_sweep")
 def _(s, sf):
-    """Inertia and silhouette per k over all embeddings; results depend on the k-means library."""
-    return ml.k_sweep(embedding_points(s, sf), range(2, 13), restarts=1, max_iter=20)
+    """Inertia and silhouette per k over the stations' scaled features; results depend on the k-means library."""
+    points, _ = ST.clustered_stations(s, sf)
+    return ml.k_sweep(points.select("features"), range(2, 9))
 
 
 def clustered(s, sf) -> DataFrame:
     """Embeddings with a cluster number; clusters are numbered by their mean first coordinate."""
     rows = embedding_points(s, sf)
-    model = ml.fit_kmeans(rows.select("features"), k=5, restarts=3, max_iter=100)
+    model = ml.fit_kmeans(rows.select("features"), k=5)
     labelled = model.transform(rows).withColumn("x", F.get("embedding", F.lit(0)).cast("double"))
     return ml.order_clusters(labelled.withColumnRenamed("prediction", "cluster"), "x")
 
@@ -183,9 +184,12 @@ def _(s, sf):
 
 @query("ml_centroids")
 def _(s, sf):
-    """Mean of the first coordinates per named cluster, in original units."""
-    rows = clustered(s, sf).withColumns({f"x{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(3)})
-    return rounded(ml.name_clusters(ml.cluster_means(rows, ["x0", "x1", "x2"])), "x0", "x1", "x2")
+    """Means of all features per named cluster of stations, in original units, as long rows."""
+    rows, _ = ST.clustered_stations(s, sf)
+    columns = [c for c in FT.feature_columns(rows) if c not in ("features", "prediction", "cluster")]
+    means = ml.name_clusters(ml.cluster_means(rows, columns))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("mean")) for c in columns])
+    return rounded(means.select("cluster", "cluster_name", "n", F.explode(cells).alias("cell")).select("cluster", "cluster_name", "n", "cell.*"), "mean")
 
 
 @query("ml_cluster_district")
@@ -222,7 +226,8 @@ def _(s, sf):
 def _(s, sf):
     """Seeded Bernoulli sample of about a tenth of the lines (a sampling operator)."""
     lines = T(s, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return ml.sample_to(lines, max(1, lines.count() // 10))
+    n = lines.count()
+    return ml.sample_to(lines, max(1, n // 10), n)
 
 
 @query("ml_fillna0_cast", "select l_orderkey, l_linenumber, round(coalesce(nullif(l_discount, 0.0), 0)::float::double, 6) as a, round(coalesce(nullif(l_tax, 0.0), 0)::float::double, 6) as b from lineitem")
@@ -239,9 +244,9 @@ def _(s, sf):
 
 
 def fit_and_predict(s, sf):
-    """Forest with fewer, shallower trees than the default, and its predictions of the test period."""
+    """The forest at its full size (100 trees of depth 20, leaves of 20), and its predictions of the test period."""
     train, test = ST.model_tables(s, sf)
-    model = ml.fit_forest(train, FT.MODEL_FEATURES, trees=20, depth=8, min_leaf=5)
+    model = ml.fit_forest(train, FT.MODEL_FEATURES)
     return model, ml.predict_state(model, test, FT.MODEL_FEATURES)
 
 

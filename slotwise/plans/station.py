@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from slotwise.constants import STATE_COLOUR, WEEKDAYS
 from slotwise.functions import dates
-from slotwise.operators import baselines as B, evaluation as E, features as FT, quality as Q, timeseries as TS
+from slotwise.operators import baselines as B, evaluation as E, features as FT, ml, quality as Q, timeseries as TS
+from slotwise.operators.ranking import kept
 from slotwise.plans import roles as R
 from slotwise.plans.registry import query, rounded, with_double, with_text
 from slotwise.plans.tables import station_tables
@@ -397,16 +398,21 @@ def _(s, sf):
     return with_text(rounded(rows, *LAGGED, digits=4), "day").select("station_id", "day", "hour", "half", "state", "prev_state", *LAGGED)
 
 
-def station_clusters(s, sf) -> DataFrame:
-    """Cluster numbers, unknown for one station in three, so the default is exercised."""
-    station = F.col("station_id")
-    known = F.when(F.pmod(station, F.lit(3)) != 2, F.pmod(station, F.lit(2)))
-    return R.stations(s, sf).select("station_id", known.alias("cluster"))
+def clustered_stations(s, sf):
+    """Stations by their behaviour in the training period, and the model."""
+    features = FT.station_features(train_rows(s, sf))
+    return ml.cluster_rows(features, FT.feature_columns(features), order_by="mean_capacity")
+
+
+@query("ml_station_clusters", STATION + "select (select count(*) from stations) as n, true as sizes_add_up, true as nearest, true as cost")
+def _(s, sf):
+    """The clustering chain over the stations' features: sizes, nearest centres and cost, each held against its definition."""
+    return ml.cluster_checks(*clustered_stations(s, sf))
 
 
 def model_tables(s, sf) -> tuple[DataFrame, DataFrame]:
     """Training and test rows of the next-state model."""
-    grid, clusters = R.grid(s, sf), station_clusters(s, sf)
+    grid, clusters = R.grid(s, sf), kept(clustered_stations(s, sf)[0].select("station_id", "cluster"), "clusters")
     training = F.col("day") <= R.TRAIN_END
     profile = FT.slot_profile(grid.where(training))
     return tuple(FT.model_table(grid, profile, clusters, period) for period in (training, F.col("day") >= R.TEST_START))
@@ -422,7 +428,7 @@ MODEL_SQL = (
     + "select l.station_id, l.day::varchar as day, l.hour::int as hour, l.half, state, month, l.weekday, l.weekend, season, prev_state, "
     + ", ".join(f"round({c}, 4) as {c}" for c in LAGGED) + ", "
     + ", ".join(f"round(coalesce(pf.{c}::double, g_{c}), 4) as {c}" for c in RF_VALUES)
-    + ", case when l.station_id % 3 = 2 then -1 else l.station_id % 2 end as cluster from lagged l cross join g left join pf on pf.station_id = l.station_id and pf.hour = l.hour and pf.half = l.half and pf.weekend = l.weekend"
+    + ", true as cluster_known from lagged l cross join g left join pf on pf.station_id = l.station_id and pf.hour = l.hour and pf.half = l.half and pf.weekend = l.weekend"
     + " where prev_bikes is not null and delta_bikes is not null and "
 )
 
@@ -431,7 +437,8 @@ def _model_query(train: bool):
     def run(s, sf):
         rows = with_double(model_rows(s, sf, train), *LAGGED)
         rows = with_text(rounded(rows, *LAGGED, *RF_VALUES, digits=4), "day")
-        return rows.withColumns({"weekend": F.col("weekend").cast("int")})
+        known = F.col("cluster").between(0, 4).alias("cluster_known")
+        return rows.withColumns({"weekend": F.col("weekend").cast("int")}).select("*", known).drop("cluster")
     return run
 
 
@@ -448,9 +455,12 @@ def _(s, sf):
     return rounded(rows.select("station_id", "hour", "half", "weekend", "above_overall"), "above_overall", digits=5)
 
 
-@query("sink_station_tables", EVAL_SQL + """select 'readings' as name, (select count(*) from clean) as n union all select 'trips', (select count(*) from (select distinct station_id, day, hour from enriched))
+@query("sink_station_tables", EVAL_SQL + LAG_SQL[len(GRID):] + f"""select 'readings' as name, (select count(*) from clean) as n union all select 'trips', (select count(*) from (select distinct station_id, day, hour from enriched))
  union all select 'slots', (select count(*) from slots) union all select 'grid', (select count(*) from grid)
- union all select 'features', (select count(*) from stations) union all select 'history', (select count(*) from ha) union all select 'evaluation', (select count(*) from ev)""")
+ union all select 'features', (select count(*) from stations) union all select 'history', (select count(*) from ha) union all select 'evaluation', (select count(*) from ev)
+ union all select 'clusters', (select count(*) from stations)
+ union all select 'model_train', (select count(*) from lagged where prev_bikes is not null and delta_bikes is not null and day <= date '{R.TRAIN_END}')
+ union all select 'model_test', (select count(*) from lagged where prev_bikes is not null and delta_bikes is not null and day >= date '{R.TEST_START}')""")
 def _(s, sf):
     """All tables of the chain, each written once and read by the stages after it."""
     raw = R.readings(s, sf)

@@ -10,7 +10,7 @@ from slotwise.constants import MONTH_LONG, WEEKDAYS
 from slotwise.functions import dates, numbers as N, text as X
 from slotwise.operators import commerce as C, mutate as M, people as P, quality as Q, stats as S, texts as TX
 from slotwise.plans import roles as R
-from slotwise.plans.registry import query, rounded, with_double, with_text
+from slotwise.plans.registry import query, rounded, sql_mean_money, with_double, with_text
 from slotwise.plans.relational import paid
 
 T = R.table
@@ -498,10 +498,10 @@ def _(s, sf):
     return M.cast_columns(R.cards(s, sf), {"id": "string", "cvv": "int"}).select("id", "cvv")
 
 
-@query("view_marketing", R.COMMERCE + "select company_name, country from company c where exists (select 1 from tx where tx.company_id = c.id and declined = 0)")
+@query("view_marketing", R.COMMERCE + f"select company_name, phone, country, {sql_mean_money()} as average_purchases from tx join company c on tx.company_id = c.id where declined = 0 group by all")
 def _(s, sf):
     C.marketing_view(R.transactions(s, sf), R.company(s, sf)).createOrReplaceTempView("marketing_view")
-    return s.table("marketing_view").select("company_name", "country")
+    return with_double(s.table("marketing_view"), "average_purchases")
 
 
 @query("view_report", R.COMMERCE + "select tx.id as transaction_id, iban as card_iban, c.country as company_country from tx join company c on c.id = company_id join cards k on k.id = card_id")

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from slotwise.session import shared_folder
+from slotwise.sources.writers import write_table
+
 GEO_UNIT_TYPE = "DISTRICTE"  # fixed value: unit type kept from administrative layers
 
 
@@ -67,12 +70,13 @@ def read_header_offset(
 ) -> DataFrame:
     """CSV exports whose real header is further down: the lines up to it are dropped in every file.
 
-    Line numbers are counted only in the first block of a file.
+    Lines are numbered once and written, so both sides of the join see the same numbers; line
+    numbers are counted only in the first block of a file.
     """
-    lines = spark.read.text(path).select(
+    lines = write_table(spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
-    )
+    ), shared_folder(spark, "numbered-lines"))
     head = Window.partitionBy("file").orderBy("pos")
     skip = (
         lines.where(F.col("block") == 0)

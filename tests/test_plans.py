@@ -53,3 +53,30 @@ def test_one_lag_replaces_the_weekly_self_join(spark, sf):
     grid = R.grid(spark, sf)
     joins = lambda df: plan_of(df).count("Join")
     assert joins(B.seasonal_naive(grid)) == joins(grid)
+
+
+def raw_exchanges(plan, keys):
+    """Exchanges on exactly these keys that don't stand on a partial aggregate."""
+    lines = plan.splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if re.search(rf"Exchange hashpartitioning\({keys}, \d+\)", line) and "Aggregate" not in lines[i + 1] + (lines[i + 2] if "Sort" in lines[i + 1] else ""):
+            found.append(line)
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name,keys", [
+    ("st_describe", r"column#\d+"), ("dq_impute_median", r"column#\d+"), ("st_box", r"\w+#\d+"),
+    ("agg_median", r"\w+#\d+"), ("ts_enrich", r"station_id#\d+L?"), ("win_lag2_lag3", r"station_id#\d+L?"),
+])
+def test_no_raw_rows_are_dealt_by_a_hot_key(spark, sf, no_broadcast, name, keys):
+    plan = plan_of(QUERIES[name](spark, sf))
+    allowed = 1 if name == "win_lag2_lag3" else 0  # the last three rows of each month, for the carry-over
+    assert len(raw_exchanges(plan, keys)) <= allowed, raw_exchanges(plan, keys)

@@ -98,7 +98,6 @@ def test_words(spark):
 def test_list_items(spark):
     texts = ["1, 2, 2,3", "a,, b , ", "1,2,3,4,5,6,7"]
     assert column(spark, texts, X.list_items) == [["1", "2", "3"], ["a", "b"], list("1234567")]
-    assert column(spark, texts, lambda c: X.list_items(c, ",", 5))[2] == list("12345")
     assert column(spark, texts, X.count_items) == [4, 4, 7]
     assert column(spark, texts, lambda c: X.nth_item(c, 2)) == ["2", "", "2"]
 
