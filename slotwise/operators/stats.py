@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from slotwise.operators.grouping import salted_join, value_counts
 from slotwise.operators.quantiles import exact_quantiles
@@ -72,7 +72,7 @@ def box_stats(df: DataFrame, category: str, value: str, top: int | None = None)
     """
     rows = df.select(category, F.col(value).cast("double").alias("v")).na.drop()
     if top:
-        rows = rows.join(value_counts(rows, category, top).select(category), category, "left_semi")
+        rows = salted_join(rows, value_counts(rows, category, top).select(category), [category])
     quartiles = exact_quantiles(rows, [category], "v", QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
