@@ -42,7 +42,8 @@ ORDER = 3
 MIN_COUNT = 2
 DISCOUNT = 0.75
 SHARD = 1 << 20  # entries of a file, beyond the end of a node's children
-PAIRS = 1 << 20
+PAIRS = 1 << 19
+BUCKETS_PER_TASK = 4
 SCALE = 2048.0
 END = "\x20"  # no word can hold a blank
 
@@ -174,6 +175,19 @@ class Level:
         return child, value, backoff
 
 
+    def entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last word, count) of the n-grams with these numbers."""
+        word, n = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        owner = np.searchsorted(self.starts, numbers, side="right") - 1
+        for k in np.unique(owner):
+            mine = np.flatnonzero(owner == k)
+            _, _, key, _, _, count = self._file(int(k))
+            at = numbers[mine] - self.starts[k]
+            word[mine] = (key.get(at) % np.uint64(self.vocabulary)).astype(np.int64)
+            n[mine] = count[at]
+        return word, n
+
+
 class Model:
     """Opened once per Python worker from the lists of files."""
 
@@ -297,17 +311,12 @@ def build_level(grams: DataFrame, spec: dict, folder: str, discount: float) -> l
         def lower(batch):
             """log10 p of the lower order, and the context's own count, for each row."""
             node, word = (batch[c].to_numpy(zero_copy_only=False) for c in ("node", "word"))
-            if depth == 0:
-                return words.log_p(words.counts(word)), words.counts(node)
-            last, count = batch["last"].to_numpy(zero_copy_only=False), batch["context_n"].to_numpy(zero_copy_only=False)
             p = words.log_p(words.counts(word))
-            context = last
-            for k, level in enumerate(model.levels[:depth]):
-                found, value, backoff = level.look_up(context, word)
-                p = np.where(found >= 0, value, backoff + p)
-                if k + 1 < depth:
-                    raise NotImplementedError("orders above 3 need longer shortened contexts")
-            return p, count
+            if depth == 0:
+                return p, words.counts(node)
+            context, count = model.levels[0].entries(node)
+            found, value, backoff = model.levels[0].look_up(context, word)
+            return np.where(found >= 0, value, backoff + p), count
 
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 3 + [np.empty(0)] + [np.empty(0, np.int64)]
         for batch in batches:
@@ -361,43 +370,96 @@ def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, starts, fresh
 
 
-def grams_of(coded_rows: DataFrame, spec: dict, order: int) -> DataFrame:
-    """(node, word, n) partial counts of all training n-grams of an order whose context is a node."""
+def pack(node: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted n-grams with their counts: differences of the nodes, bytes in planes, Zstandard."""
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.stack([np.diff(node, prepend=0), word, n]).astype("<i8")
+    planes = table.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, 8, -1)
+    table = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(3, -1)
+    return np.stack([np.cumsum(table[0]), table[1], table[2]])
+
+
+def summed(node: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal n-grams added up, in order of node and word."""
+    order = np.lexsort((word, node))
+    node, word, n = node[order], word[order], n[order]
+    starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (word[1:] != word[:-1])])
+    return node[starts], word[starts], np.add.reduceat(n, starts)
+
+
+def grams_of(coded_rows: DataFrame, spec: dict, order: int, min_count: int) -> DataFrame:
+    """(node, word, n): all training n-grams of an order that occur ``min_count`` times.
+
+    Each task adds up what it reads and ships it packed, a few bytes for an n-gram, dealt by a hash of the
+    n-gram over ``BUCKETS_PER_TASK`` buckets for each shuffle partition; a bucket is unpacked and added up at
+    once, so its memory is set by the number of partitions.
+    """
+    buckets = BUCKETS_PER_TASK * int(coded_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.held(spec)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            names, place = np.unique(rows[0], return_inverse=True)
-            keys, first, n = np.unique((place << 40) | rows[1], return_index=True, return_counts=True)
-            columns = [names[keys >> 40], keys & ((1 << 40) - 1), n.astype(np.int64), rows[2][first]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "word", "n", "last"])
+            node, word, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)), np.ones(size, np.int64))
+            mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            node, word, n, bucket = node[by], word[by], n[by], bucket[by]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[starts[1:], len(bucket)]
+            packs = [pack(node[a:b], word[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packs, pa.binary())], names=["bucket", "grams"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                ids, _, fresh = flat(whole["ids"].slice(at, 512))
+            for at in range(0, whole.num_rows, 128):
+                ids, _, fresh = flat(whole["ids"].slice(at, 128))
                 for part in range(0, len(ids), PAIRS):
                     # a slice in the middle of a text keeps the words before it as context
                     back = min(part, order)
                     some, marks = ids[part - back : part + PAIRS], fresh[part - back : part + PAIRS].copy()
                     contexts = model.contexts(some, marks, order - 1)
-                    node, last = contexts[-1][back:], contexts[0][back:]
-                    word = some[back:]
+                    node, last, word = contexts[-1][back:], contexts[0][back:], some[back:]
                     use = (node >= 0) & (word >= 0)
                     if order > 2:  # an n-gram can't be frequent if its own end isn't
                         use[use] = model.levels[0].look_up(last[use], word[use])[0] >= 0
-                    held.append((node[use], word[use], last[use]))
-                    size += int(use.sum())
+                    held.append((node[use], word[use]))
+                    size += len(held[-1][0])
                     if size >= PAIRS:
                         yield out()
                         held, size = [], 0
         if size:
             yield out()
 
-    return coded_rows.where("not held_out").select("ids").mapInArrow(run, "node long, word long, n long, last long")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+
+        def out():
+            node, word, n = summed(*np.concatenate([unpack(x) for x in parts], axis=1))
+            often = n >= min_count
+            return pa.RecordBatch.from_arrays([pa.array(c[often]) for c in (node, word, n)], names=["node", "word", "n"])
+
+        for batch in batches:
+            for bucket, data in zip(batch["bucket"].to_pylist(), batch["grams"], strict=True):
+                if bucket != current and parts:
+                    yield out()
+                    parts = []
+                current = bucket
+                parts.append(data.as_py())
+        if parts:
+            yield out()
+
+    packs = coded_rows.where("not held_out").select("ids").mapInArrow(count, "bucket long, grams binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "node long, word long, n long")
 
 
 def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> tuple[dict, DataFrame]:
@@ -416,31 +478,11 @@ def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discoun
     spec = {"vocabulary": build_vocabulary(counts, folder), "levels": [], "total": total, "end": end}
     rows = kept(coded(docs, spec), "lm-coded")
     for k in range(2, order + 1):
-        grams = grams_of(rows, spec, k).groupBy("node", "word").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-        grams = grams.where(F.col("n") >= min_count)
-        if k == 3:
-            grams = _with_context_counts(grams, spec)
+        grams = grams_of(rows, spec, k, min_count)
         spec = spec | {"levels": [*spec["levels"], build_level(grams, spec, folder, discount)]}
     return spec, rows
 
 
-def _with_context_counts(grams: DataFrame, spec: dict) -> DataFrame:
-    """Adds context_n, the count of the n-gram that is the context; it lies in the level above, by its place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Model.held(spec).levels[-1]
-        for batch in batches:
-            node = batch["node"].to_numpy(zero_copy_only=False)
-            owner = np.searchsorted(level.starts, node, side="right") - 1
-            count = np.zeros(len(node), np.int64)
-            for k in np.unique(owner):
-                mine = np.flatnonzero(owner == k)
-                count[mine] = level._file(int(k))[5][node[mine] - level.starts[k]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count)], names=[*batch.schema.names, "context_n"])
-
-    return grams.mapInArrow(run, "node long, word long, n long, last long, context_n long")
-
-
 def score(rows: DataFrame, spec: dict) -> DataFrame:
     """Adds score to coded documents."""
     kind = rows.schema["doc_id"].dataType.simpleString()
