@@ -9,9 +9,9 @@ and of the matches, summed in turn, are the offsets (code points, end exclusive)
 
 The models are trained from labelled samples. Random strings: the values of the base matches of the
 corpus (label given by the patterns), together with uniform pseudo-counts. Ordinary identifiers: words
-of 8 or more letters, digits and joiners outside the base spans. Both are taken from a bounded sample: the
-``SAMPLE`` texts with the smallest hash among those with a base match, and the ``SAMPLE`` with the smallest
-hash of all; only the fit is bounded, every text is scanned whole. Counts are summed by Spark, and the
+of 8 or more letters, digits and joiners outside the base spans that the models wouldn't be asked about.
+Both are taken from a bounded sample: about ``SAMPLE`` texts, by hash, of those with a base match, and
+about ``SAMPLE`` of all; only the fit is bounded, every text is scanned whole. Counts are summed by Spark, and the
 ratio table (one number for each pair of 66 characters) travels as a literal.
 
 Defined cases: null and empty texts have no span and the digest of the empty string; overlapping spans
@@ -34,12 +34,14 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
+CANDIDATE = 16
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 WORDLIKE = r"[A-Za-z0-9_-]{8,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 2000
-THRESHOLD = 0.9  # mean log-likelihood ratio (natural log) per character step
-LEAST_CLASSES = 2
+UNIFORM, PRIOR = 2000.0, 5.0
+THRESHOLD = 1.0  # mean log-likelihood ratio (natural log) per character step
+LEAST_CLASSES = 2  # of lower case, upper case and digits
 KINDS = ("assign", "access", "hex", "markov")
 
 EMPTY = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -115,27 +117,47 @@ def pair_counts(values: DataFrame) -> dict[int, int]:
 
 
 def ratio_table(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for each pair; half a pseudo-count per pair."""
+    """log P(b | a, random) - log P(b | a, ordinary) for each pair of neighbours.
+
+    Random strings lean on the uniform distribution (``UNIFORM`` pseudo-counts for each first character, so the
+    hex digits that prevail in the samples don't become a law); identifiers lean on how often each character
+    occurs in identifiers at all (``PRIOR`` pseudo-counts), so pairs they never show are unlikely, not unknown.
+    """
     k = len(ALPHABET)
+    ends = [sum(ordinary.get(a * k + b, 0) for a in range(k)) + 0.5 for b in range(k)]
+    whole = sum(ends)
+
+    row = lambda counts: [sum(counts.get(a * k + c, 0) for c in range(k)) for a in range(k)]
+    of_random, of_ordinary = row(random), row(ordinary)
+    table = []
+    for a in range(k):
+        for b in range(k):
+            r = (random.get(a * k + b, 0) + UNIFORM / k) / (of_random[a] + UNIFORM)
+            o = (ordinary.get(a * k + b, 0) + PRIOR * ends[b] / whole) / (of_ordinary[a] + PRIOR)
+            table.append(round(math.log(r) - math.log(o), 6))
+    return table
+
+
+def is_candidate(value: Column) -> Column:
+    """Whether the models are asked about a run: long, and of more than one class of characters."""
+    return (F.length(value) >= CANDIDATE) & (classes(value) >= LEAST_CLASSES)
 
-    def shares(counts):
-        rows = [[counts.get(a * k + b, 0) + 0.5 for b in range(k)] for a in range(k)]
-        return [[math.log(x / sum(row)) for x in row] for row in rows]
 
-    strong = {p: min(n, 50) for p, n in random.items()}  # pairs of hex digits are no law of all random strings
-    r, o = shares(strong), shares(ordinary)
-    return [round(r[a][b] - o[a][b], 6) for a in range(k) for b in range(k)]
+def about(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` of the rows by a hash of the column ``rank``, without sorting; all where there are fewer."""
+    total = rows.count()
+    return rows if total <= n else rows.where(F.pmod("rank", F.lit(1 << 40)) < (n << 40) // total)
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> list[float]:
-    """``found`` has text and base. See the module's text for the two samples."""
-    rank = F.xxhash64(F.lit("sample"), "text")
-    some = kept(found.where(F.size("base") > 0).orderBy(rank, "text").limit(sample).select("base"), "secrets-positive")
+def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
+    """``docs`` has text. See the module's text for the two samples."""
+    ranked = docs.select("text", F.xxhash64(F.lit("sample"), "text").alias("rank"))
+    matched = kept(with_base(ranked).where(F.size("base") > 0).select("base", "rank"), "secrets-matched")
     value = lambda s: F.when(s["kind"] == 0, value_of_assign(s["value"])).otherwise(s["value"])
-    random = some.select(F.explode(F.transform("base", value)).alias("value"))
-    plain = kept(found.where("text <> ''").orderBy(rank, "text").limit(sample).select("text", "base"), "secrets-ordinary")
-    words = F.regexp_extract_all(outside(F.col("text"), F.col("base")), F.lit(WORDLIKE), F.lit(0))
-    ordinary = plain.select(F.explode(words).alias("value"))
+    random = about(matched, sample).select(F.explode(F.transform("base", value)).alias("value"))
+    plain = with_base(about(ranked, sample))
+    words = F.regexp_extract_all(outside(F.coalesce("text", F.lit("")), F.col("base")), F.lit(WORDLIKE), F.lit(0))
+    ordinary = plain.select(F.explode(F.filter(words, lambda w: ~is_candidate(w))).alias("value"))
     return ratio_table(pair_counts(random), pair_counts(ordinary))
 
 
@@ -149,14 +171,14 @@ def with_spans(found: DataFrame, ratios: list[float], threshold: float = THRESHO
     table = F.array(*(F.lit(x) for x in ratios))
     score = lambda v: F.aggregate(steps(v), F.lit(0.0), lambda s, p: s + F.get(table, p)) / F.greatest(F.length(v) - 1, F.lit(1))
     free = outside(F.coalesce(F.col("text"), F.lit("")), F.col("base"))
-    runs = F.filter(spans_of(free, RUN, 3), lambda s: (classes(s["value"]) >= LEAST_CLASSES) & (score(s["value"]) >= threshold))
+    runs = F.filter(spans_of(free, RUN, 3), lambda s: is_candidate(s["value"]) & (score(s["value"]) >= threshold))
     return found.withColumn("spans", in_order(F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), runs)))
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` has a column text; adds base and spans, arrays of (start, kind, end, value)."""
     found = with_base(docs)
-    return with_spans(found, fit(with_base(docs.select("text")), sample), threshold)
+    return with_spans(found, fit(docs.select("text"), sample), threshold)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -184,8 +206,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     rows = scan(packed(docs, "row", text=F.col("text")), **options)
     rows = rows.withColumn("clean", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     changed = F.size("spans") > 0
-    kind = {f.name: f.dataType for f in docs.schema.fields}
-    new = {"text": F.when(changed, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))}
+    # In a step of its own: inside a lambda, an alias of the same select would hide the column it is named after.
+    rows = rows.select("row", changed.alias("changed"), F.when(changed, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(new["text"]).cast(kind["n_chars"])).otherwise(F.col("row")["n_chars"])
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("changed"), F.length("clean").cast(kind)).otherwise(F.col("row")["n_chars"])
     return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
