@@ -164,9 +164,8 @@ def embedding_points(s, sf) -> DataFrame:
 
 @query("ml_k_sweep")
 def _(s, sf):
-    """Inertia and silhouette per k over the stations' scaled features; results depend on the k-means library."""
-    points, _ = ST.clustered_stations(s, sf)
-    return ml.k_sweep(points.select("features"), range(2, 9))
+    """Inertia and silhouette per k over all embeddings; results depend on the k-means library."""
+    return ml.k_sweep(embedding_points(s, sf), range(2, 13))
 
 
 def clustered(s, sf) -> DataFrame:
@@ -184,9 +183,10 @@ def _(s, sf):
 
 @query("ml_centroids")
 def _(s, sf):
-    """Means of all features per named cluster of stations, in original units, as long rows."""
-    rows, _ = ST.clustered_stations(s, sf)
-    columns = [c for c in FT.feature_columns(rows) if c not in ("features", "prediction", "cluster")]
+    """Means of all coordinates per named cluster of embeddings, in original units, as long rows."""
+    size = T(s, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    columns = [f"x{i}" for i in range(size)]
+    rows = clustered(s, sf).withColumns({c: F.get("embedding", F.lit(i)).cast("double") for i, c in enumerate(columns)})
     means = ml.name_clusters(ml.cluster_means(rows, columns))
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("mean")) for c in columns])
     return rounded(means.select("cluster", "cluster_name", "n", F.explode(cells).alias("cell")).select("cluster", "cluster_name", "n", "cell.*"), "mean")
