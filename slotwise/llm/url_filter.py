@@ -18,7 +18,7 @@ which must be equal in host and path, the later one holds; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,7 +35,15 @@ ATTRIBUTE = r"""\s*=\s*["']?"""
 CANONICAL = r"""(?is)<link\b[^<>]*\brel""" + ATTRIBUTE + r"""canonical\b[^<>]*>"""
 REFRESH = r"""(?is)<meta\b[^<>]*\bhttp-equiv""" + ATTRIBUTE + r"""refresh\b[^<>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s<>]+)"""
-TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>;]+)"""
+TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>]+)"""
+BASE = r"""(?is)<base\b[^<>]*\bhref\s*=\s*["']?([^"'\s<>]+)"""
+SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"
+DOTS = r"(?s)/\.\.?(?:/|$)"
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value as a lambda's variable, so that its expression isn't copied to each place of use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def after_scheme(url: Column) -> Column:
@@ -53,10 +61,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(rest, F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A rooted path without its segments ``.`` and ``..`` (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/", -1)
+    step = lambda done, p: (
+        F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p)))
+    )
+    stack = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.regexp_like(path, F.lit(DOTS)), F.concat(F.lit("/"), F.array_join(F.concat(stack, end), "/"))).otherwise(path)
+
+
+def query_of(url: Column) -> Column:
+    """The first ``?`` and what follows, up to the fragment."""
+    return F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+
+
 def node_of(url: Column) -> Column:
-    """What makes two spellings one URL: host, path and query; neither scheme nor fragment."""
-    rest = F.regexp_replace(F.regexp_replace(after_scheme(url), r"(?s)^[^/?#]*", ""), r"(?s)#.*$", "")
-    return F.when(after_scheme(url).isNotNull(), F.concat(host_of(url), rest))
+    """What makes two spellings one URL: host, path without dot segments, and query; neither scheme nor fragment."""
+    return F.when(after_scheme(url).isNotNull(), F.concat(host_of(url), bound(path_of(url), without_dots), query_of(after_scheme(url))))
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -88,26 +111,48 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.array_max(F.filter(candidates, lambda r: F.startswith(path, r["path"])))
 
 
+def decoded(text: Column) -> Column:
+    """Character references of an attribute: decimal, hexadecimal, and the five that markup needs."""
+    digits = lambda m: F.when(F.regexp_like(m, F.lit("(?i)^&#x")), F.substring(m, F.lit(4), F.length(m) - 4)).otherwise(
+        F.conv(F.substring(m, F.lit(3), F.length(m) - 3), 10, 16))
+    character = lambda m: F.decode(F.unhex(F.lpad(digits(m), 8, "0")), "UTF-32")
+    numbers = F.regexp_extract_all(text, F.lit(r"&#(?:[xX](?:10[0-9a-fA-F]{4}|[1-9a-cA-C][0-9a-fA-F]{0,3})|[1-9][0-9]{0,4});"), F.lit(0))
+    text = F.aggregate(numbers, text, lambda t, m: F.replace(t, m, character(m)))
+    for name, sign in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
 def absolute(target: Column, url: Column) -> Column:
-    """A link's target as an absolute URL, as far as scheme, host and rooted paths go; others are left out."""
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    """A reference as an absolute URL (RFC 3986, 5.2; dot segments go in ``node_of``); null for schemes without ``://``."""
+    return bound(url, lambda u: bound(F.regexp_replace(target, r"(?s)#.*$", ""), lambda ref: _absolute(ref, u)))
+
+
+def _absolute(ref: Column, url: Column) -> Column:
     scheme = F.substring(url, F.lit(1), F.instr(url, "://") - 1)
-    host = F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*", 0)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*", 0))
+    folder = F.regexp_extract(path_of(url), r"(?s)^.*/", 0)
     return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host, target))
+        F.when(F.regexp_like(ref, F.lit(SCHEME)), F.when(F.regexp_like(ref, F.lit(SCHEME + "//")), ref))
+        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(root, ref))
+        .when(ref == "", F.concat(root, path_of(url), query_of(after_scheme(url))))
+        .when(F.startswith(ref, F.lit("?")), F.concat(root, path_of(url), ref))
+        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), ref))
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Alias edges (a, b) between nodes that the pages' own canonical and refresh tags state."""
+    """Alias edges (a, b) between nodes that the pages' own canonical and refresh tags state; targets are resolved
+    against the page's first ``<base href>``, else against its URL."""
     html = F.coalesce(F.col("html"), F.lit(""))
     canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
     refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, TARGET, 1))
     stated = pages.where(F.regexp_like(html, F.lit(CANONICAL)) | F.regexp_like(html, F.lit(REFRESH)))
-    links = stated.select("url", F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
-    return links.select(node_of(F.col("url")).alias("a"), node_of(absolute(F.col("target"), F.col("url"))).alias("b")).where("a is not null and b is not null")
+    based = F.regexp_extract(html, BASE, 1)
+    base = F.coalesce(F.when(based != "", absolute(decoded(based), F.col("url"))), F.col("url"))
+    links = stated.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
+    return links.select(node_of(F.col("url")).alias("a"), bound(absolute(decoded(F.col("target")), F.col("base")), node_of).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

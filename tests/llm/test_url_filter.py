@@ -58,3 +58,29 @@ def test_components_of_chains_stars_and_rings(spark):
 def test_no_python_in_the_plan(pages):
     plan = pages._sc._jvm.PythonSQLUtils.explainString(U.judge(pages)._jdf.queryExecution(), "simple")
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_references_are_resolved(spark):
+    """The examples of RFC 3986, 5.4, as nodes (without scheme and fragment), and awkward bases."""
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g": "a/b/c/g", "./g": "a/b/c/g", "g/": "a/b/c/g/", "/g": "a/g", "//g": "g", "?y": "a/b/c/d;p?y", "g?y": "a/b/c/g?y", "#s": "a/b/c/d;p?q",
+        "g#s": "a/b/c/g", "g?y#s": "a/b/c/g?y", ";x": "a/b/c/;x", "g;x?y#s": "a/b/c/g;x?y", ".": "a/b/c/", "./": "a/b/c/", "..": "a/b/", "../": "a/b/",
+        "../g": "a/b/g", "../..": "a/", "../../": "a/", "../../g": "a/g", "../../../g": "a/g", "/./g": "a/g", "/../g": "a/g", "g.": "a/b/c/g.", "..g": "a/b/c/..g",
+        "./../g": "a/b/g", "./g/.": "a/b/c/g/", "g/./h": "a/b/c/g/h", "g/../h": "a/b/c/h", "g?y/../x": "a/b/c/g?y/../x", "mailto:x": None, "go?u=http://z/": "a/b/c/go?u=http://z/",
+        "g?a=1&amp;b=2": "a/b/c/g?a=1&b=2", "&#x2F;g&#233;": "a/gé", "HTTPS://B/x": "b/x",
+    }
+    cases = [(t, base, w) for t, w in want.items()] + [("x", "http://h", "h/x"), ("?x", "http://h/y?z#f", "h/y?x"), ("x", "http://h?q=/a/", "h/x")]
+    rows = spark.createDataFrame(cases, "target string, url string, want string")
+    got = rows.select("target", "want", U.bound(U.absolute(U.decoded(F.col("target")), F.col("url")), U.node_of).alias("got")).collect()
+    assert [(r.target, r.got) for r in got] == [(r.target, r.want) for r in got]
+
+
+def test_relative_links_carry_blocks(spark):
+    rows = [
+        (1, "http://bad.com/de/x", None), (2, "http://bad.com/fine/1", CANON.format("../de/x")), (3, "http://p.net/a/b", FRESH.format("c?k=1&amp;l=2")),
+        (4, "http://p.net/a/c?k=1&l=2", CANON.format("http://bad.com/de/x")), (5, "http://q.net/deep/page", '<base href="http://bad.com/de/">' + CANON.format("x")),
+        (6, "http://q.net/other", CANON.format("./other?s=1")), (7, "http://r.net/z", CANON.format("mailto:x")),
+    ]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(1, 8)] == ["block"] * 5 + ["allow"] * 2
