@@ -11,9 +11,8 @@ share its pages, and nothing of the model passes through the driver but the list
 
 Probabilities are interpolated absolute discounting: for a context h with count N(h) and kept
 children c, p(w|h) = max(c - D, 0) / N(h) + (1 - sum(c - D) / N(h)) p(w|h'), down to the unigram
-(c + 1/2) / (N + (V + 1)/2). N-grams of order 2 and more are kept from ``MIN_COUNT`` occurrences on (a
-model parameter, as usual for count cut-offs; the mass of the others goes to the lower order, so
-probabilities still sum to 1). Kept log10 values are quantised to 1/2048 of a decade.
+(c + 1/2) / (N + (V + 1)/2). All n-grams of the training corpus are kept (``MIN_COUNT`` is 1; with a higher
+one the mass of the others goes to the lower order, so probabilities still sum to 1). Kept log10 values are quantised to 1/2048 of a decade.
 
 A text is words and one end token; the end token is also the context of the first word.
 
@@ -39,7 +38,7 @@ from slotwise.llm.storage import NewFile, mapped
 from slotwise.session import shared_folder
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD = 1 << 20  # entries of a file, beyond the end of a node's children
 PAIRS = 1 << 19
@@ -430,7 +429,7 @@ def grams_of(coded_rows: DataFrame, spec: dict, order: int, min_count: int) -> D
                     contexts = model.contexts(some, marks, order - 1)
                     node, last, word = contexts[-1][back:], contexts[0][back:], some[back:]
                     use = (node >= 0) & (word >= 0)
-                    if order > 2:  # an n-gram can't be frequent if its own end isn't
+                    if order > 2 and min_count > 1:  # an n-gram can't be frequent if its own end isn't
                         use[use] = model.levels[0].look_up(last[use], word[use])[0] >= 0
                     held.append((node[use], word[use]))
                     size += len(held[-1][0])

@@ -113,3 +113,22 @@ def test_without_training_rows(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     [r] = M.report(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) == (3, 0, 0, 0.0, 0.0, True)
+
+
+def brute_all(texts):
+    """The brute force with every n-gram, whatever the operator's setting is."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(M, "MIN_COUNT", 1)
+        return brute(texts)
+
+
+def test_n_grams_seen_once_count(spark):
+    texts = {d: f"rare{d} pair{d} end{d} common words here" for d in range(40)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    training = [d for d in texts if zlib.crc32(str(d).encode()) % 5 != 1]
+    scored = {r.doc_id: r for r in M.report(rows).collect()}
+    tokens, one, total, p1, p2, p3 = brute_all(texts)
+    for d in training:  # "rare pair end" occurs once in the corpus
+        s = [END, *tokens[d]]
+        want = math.log10(p2(END, s[1])) + sum(math.log10(p3(*g)) for g in zip(s, s[1:], s[2:]))
+        assert scored[d].score == pytest.approx(want, abs=len(s) / 2000)
