@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from slotwise.llm import decontamination, imatch, language_model, languages, mixing, secrets, simhash, style_tree, url_filter, warc
+from slotwise.llm import decontamination, exact_copies, fill_middle, imatch, language_model, languages, mixing, secrets, simhash
+from slotwise.llm import spelling, style_tree, url_filter, warc
 from slotwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,3 +57,18 @@ def op9(spark, sf_dir):
 @query("op10_mixing", mixing.SQL)
 def op10(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling", spelling.SQL)
+def op11(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact_copies", exact_copies.SQL)
+def op12(spark, sf_dir):
+    return exact_copies.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_middle", fill_middle.SQL)
+def op13(spark, sf_dir):
+    return fill_middle.report(table(spark, sf_dir, "documents"))

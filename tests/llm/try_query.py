@@ -11,7 +11,7 @@ if __name__ == "__main__":
     from slotwise.session import local_session
     from tests.compare import compare, connect
 
-    spark = local_session(cores="8", spark__driver__memory="8g")
+    spark = local_session(cores="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     con = connect(sys.argv[1])
     for name in sys.argv[2:] or QUERIES:
         began = time.time()
