@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return "NULL"
         if isinstance(v, float):
             if math.isnan(v):
