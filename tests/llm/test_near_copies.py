@@ -67,6 +67,36 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
     assert len(want) < simhash.keep_one(docs).count()  # two bits of op7 leave most of them
 
 
+def crowds():
+    """Stars (each copy is alike to the middle only, which has not the smallest id) and texts that share a long passage but aren't alike."""
+    rng = random.Random(29)
+    word = lambda: f"v{rng.randrange(9000)}"
+    texts = []
+    for size, copies in ((300, 150), (600, 60)):
+        middle = [word() for _ in range(size)]
+        for _ in range(copies):
+            edited = list(middle)
+            for at in rng.sample(range(size), size * 2 // 100):
+                edited[at] = word()
+            texts.append(" ".join(edited))
+        texts.append(" ".join(middle))
+    passage = [word() for _ in range(220)]
+    for _ in range(200):
+        texts.append(" ".join(passage + [word() for _ in range(rng.randrange(40, 110))]))
+    return dict(enumerate(texts))
+
+
+def test_recall_in_crowds(spark):
+    texts = crowds()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = slow_kept(texts)
+    got = {r.doc_id for r in NC.keep_one(docs).collect()}
+    assert want <= got  # nothing is joined that isn't linked
+    assert len(texts) - len(got) >= 0.98 * (len(texts) - len(want)) > 150
+    exact = {r.doc_id for r in NC.keep_one(docs, every_pair=True).collect()}
+    assert want <= exact <= got
+
+
 def test_whole_documents(docs):
     got = {r.doc_id for r in NC.keep_one(docs).collect()}
     assert got == slow_kept({r.doc_id: r.text for r in docs.collect()})

@@ -1,5 +1,6 @@
 import corpus_pipeline
-from slotwise.llm import decontamination, languages, mixing, secrets, simhash
+from slotwise.llm import decontamination, languages, mixing, secrets
+from tests.llm.test_near_copies import slow_kept
 
 
 def test_stages_follow_each_other(spark, sf, docs):
@@ -13,8 +14,8 @@ def test_stages_follow_each_other(spark, sf, docs):
         if name == "languages":
             known = {r.doc_id for r in languages.report(before).collect() if r.lang_pred != "und" and r.score >= 0.5}
             assert ids == known
-        elif name == "simhash":
-            assert ids == {r.component_id for r in simhash.report(before).collect()} and rows.count() == len(ids)
+        elif name == "near_copies":
+            assert ids == slow_kept({r.doc_id: r.text for r in before.collect()}) and rows.count() == len(ids)
         elif name == "decontamination":
             assert ids == {r.doc_id for r in decontamination.report(before, bench).collect() if not r.contaminated}
         elif name == "secrets":
