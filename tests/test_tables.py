@@ -40,13 +40,13 @@ def test_null_keys_are_left_out_of_crosstabs(spark):
     assert G.crosstab_wide(df, "r", "c", ["x", "y", "z"]).collect() == [("a", 2, 1, 0)]
 
 
-@pytest.mark.parametrize("accuracy", [5000, 50])
-def test_quantiles_are_exact_on_skewed_groups(spark, accuracy):
+@pytest.mark.parametrize("cells", [1024, 16])
+def test_quantiles_are_exact_on_skewed_groups(spark, cells):
     rng = random.Random(3)
     data = [("hot", rng.gauss(0, 1)) for _ in range(3000)] + [("same", 5.0)] * 400 + [("one", 2.5)]
     data += [("few", float(i % 3)) for i in range(7)] + [("null", None)] + [("mix", float(rng.choice([0, 0, 0, 1, 9]))) for _ in range(500)]
     probs = {"a": 0.0, "q1": 0.25, "m": 0.5, "q3": 0.75, "p99": 0.99, "z": 1.0}
-    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", probs, accuracy).collect()}
+    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", probs, cells).collect()}
     assert set(got) == {"hot", "same", "one", "few", "mix"}
     for key, row in got.items():
         values = [v for k, v in data if k == key]
@@ -54,6 +54,43 @@ def test_quantiles_are_exact_on_skewed_groups(spark, accuracy):
             assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-12), (key, name)
 
 
+def test_quantiles_of_one_value_and_of_odd_values(spark):
+    one = spark.range(1_000_000).select(F.lit("same").alias("k"), F.lit(0.1).alias("v"))
+    odd = [("odd", v) for v in (float("inf"), float("-inf"), 1e308, -1e308, 5e-324, 0.0, -5e-324)]
+    nan = [("nan", v) for v in (float("nan"), 1.0, 2.0)]
+    none = [("none", None), (None, 1.0)]
+    rows = one.union(spark.createDataFrame(odd + nan + none, "k string, v double"))
+    got = {r.k: (r.low, r.m, r.high) for r in exact_quantiles(rows, ["k"], "v", {"low": 0.0, "m": 0.5, "high": 1.0}).collect()}
+    assert got.pop("same") == (0.1, 0.1, 0.1)
+    assert got.pop("odd") == (float("-inf"), 0.0, float("inf"))
+    low, middle, high = got.pop("nan")
+    assert (low, middle) == (1.0, 2.0) and high != high and not got
+
+
+def test_quantile_rounds_shuffle_cells_only(spark, monkeypatch):
+    """A round has no window, and what is dealt by the group is a partial aggregate or a bracket."""
+    from slotwise.operators import quantiles as Q
+    from tests.test_plans import plan_of, raw_exchanges
+
+    plans = []
+
+    def watched(*a, f=Q.refined):
+        plans.append(plan_of(f(*a)))
+        return f(*a)
+
+    monkeypatch.setattr(Q, "refined", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 10_007).alias("v"))
+        found = {r.k: r.m for r in exact_quantiles(rows, ["k"], "v", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {k: np.median([i * 7 % 10_007 for i in range(k, 20_000, 3)]) for k in range(3)}
+    assert 1 <= len(plans) <= 4
+    for plan in plans:
+        assert "Window" not in plan and not raw_exchanges(plan, r"k#\d+L?")
+
+
 def test_quantile_of_everything(spark):
     assert exact_quantiles(spark.range(10).select(F.col("id").alias("v")), [], "v", {"m": 0.5}).collect() == [(4.5,)]
 
