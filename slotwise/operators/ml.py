@@ -5,22 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.constants import CLUSTER_NAMES, MODEL_CLASSES
 from slotwise.functions.dates import lookup
 from slotwise.functions.numbers import minmax_norm
+from slotwise.operators.clustering import TOLERANCE, Clusters, fit_many, silhouettes
 from slotwise.operators.grouping import modal_value
 from slotwise.operators.quality import drop_sparse, impute_median
 from slotwise.operators.ranking import kept
+
 #: Bound on the rows a forest is fitted on, as published for the original model.
 FIT_ROWS = 1_500_000
 
@@ -55,66 +51,65 @@ def persisted(df: DataFrame):
             df.unpersist()
 
 
-def best_kmeans(points: DataFrame, k: int, restarts: int, max_iter: int, seed: int, parallel: int) -> KMeansModel:
-    """Restarts run beside each other, as Spark jobs of one session; the cheapest model wins, the earlier on ties."""
-    with ThreadPool(min(parallel, restarts)) as pool:
-        fit = inheritable_thread_target(points.sparkSession)(lambda i: KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(points))
-        runs = pool.map(fit, range(restarts))
-    return min(runs, key=lambda m: m.summary.trainingCost)
-
-
-def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42, parallel: int = 8) -> KMeansModel:
-    """Best of several k-means runs by within-cluster cost."""
+def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42) -> Clusters:
+    """Best of several k-means runs by within-cluster cost, the earlier on ties; ``df`` needs an array ``features``."""
     with persisted(df.select("features")) as points:
-        return best_kmeans(points, k, restarts, max_iter, seed, parallel)
+        return min(fit_many(points, [k] * restarts, max_iter, seed), key=lambda m: m.cost)
 
 
 def cluster_rows(
     df: DataFrame, columns: Sequence[str], k: int = 5, max_nulls: int = 10, order_by: str | None = None, **options
-) -> tuple[DataFrame, KMeansModel]:
+) -> tuple[DataFrame, Clusters]:
     """The clustering chain: rows with too many gaps go, other gaps take the column's median, columns are
     z-scored and clustered; clusters are numbered by their mean of ``order_by`` (in original units).
 
-    Returns the kept rows with ``features`` (scaled) and ``cluster``, and the model, whose centres keep the model's own
-    numbers in ``prediction``.
+    Returns the kept rows with ``features`` (scaled, an array) and ``cluster``, and the model, whose centres keep the model's
+    own numbers in ``prediction``.
     """
     # Each step reads a written table: medians and moments enter by scalar subqueries, one reference per column.
     whole = kept(impute_median(kept(drop_sparse(df, columns, max_nulls), "cluster-rows"), columns), "cluster-whole")
     scaled = zscore(whole.withColumns({f"_z{i}": F.col(c) for i, c in enumerate(columns)}), [f"_z{i}" for i in range(len(columns))])
-    points = kept(assemble(scaled, [f"_z{i}" for i in range(len(columns))]).drop(*[f"_z{i}" for i in range(len(columns))]), "cluster-points")
+    named = [f"_z{i}" for i in range(len(columns))]
+    points = kept(scaled.withColumn("features", F.array(*named)).drop(*named), "cluster-points")
     model = fit_kmeans(points, k, **options)
-    labelled = model.transform(points).withColumn("cluster", F.col("prediction"))
+    labelled = points.withColumn("prediction", model.nearest()).withColumn("cluster", F.col("prediction"))
     return order_clusters(labelled, order_by or columns[0]), model
 
 
-def cluster_checks(clustered: DataFrame, model: KMeansModel) -> DataFrame:
+def cluster_checks(clustered: DataFrame, model: Clusters) -> DataFrame:
     """One row: rows clustered, whether the sizes add up, whether each row's own centre is its nearest, and whether the
     model's cost is the sum of squared distances."""
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    distance = lambda c: F.aggregate(
-        F.zip_with(vector_to_array("features"), F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    )
-    own = F.get(F.array(*[distance(c) for c in centres]), F.col("prediction"))
-    least = F.array_min(F.array(*[distance(c) for c in centres]))
+    away = model.distances("features")
+    own, least = F.get(F.array(*away), F.col("prediction")), F.array_min(F.array(*away))
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")).scalar()
     return clustered.agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == sizes).alias("sizes_add_up"), F.min((own <= least + 1e-9)).alias("nearest"),
-        (F.abs(F.sum(own) - F.lit(float(model.summary.trainingCost))) <= 1e-6 * F.greatest(F.sum(own), F.lit(1.0))).alias("cost"),
+        (F.abs(F.sum(own) - F.lit(float(model.cost))) <= 1e-6 * F.greatest(F.sum(own), F.lit(1.0))).alias("cost"),
     )
 
 
-def silhouette(df: DataFrame) -> float:
-    """Mean silhouette of ``features, prediction`` over squared Euclidean distances, in one pass over the clusters' sums."""
-    return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(df)
+def centre_checks(clustered: DataFrame, model: Clusters) -> DataFrame:
+    """One row: whether every centre is the mean of its rows, as far as a converged model's centres may still move."""
+    width = model.centres.shape[1]
+    means = clustered.groupBy("prediction").agg(F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(width)]).alias("mean"))
+    centres = F.array(*[F.lit([float(x) for x in c]) for c in model.centres])
+    gaps = F.zip_with("mean", F.get(centres, F.col("prediction")), lambda a, b: F.abs(a - b))
+    return means.agg((F.max(F.array_max(gaps)) <= TOLERANCE).alias("centres_are_means"))
 
 
-def k_sweep(df: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42, parallel: int = 8) -> DataFrame:
-    """Inertia and squared-Euclidean silhouette per k. ``df`` needs a ``features`` vector."""
-    rows = []
+def swept(points: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42) -> dict[int, Clusters]:
+    """The cheapest of ``restarts`` models for every k, all fitted by the same scans."""
+    sizes = [k for k in ks for _ in range(restarts)]
+    runs = fit_many(points, sizes, max_iter, seed)
+    return {k: min((m for size, m in zip(sizes, runs, strict=True) if size == k), key=lambda m: m.cost) for k in ks} if runs else {}
+
+
+def k_sweep(df: DataFrame, ks: Sequence[int], restarts: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
+    """Inertia and squared-Euclidean silhouette per k. ``df`` needs an array ``features``."""
     with persisted(df.select("features")) as points:
-        for k in ks:
-            model = best_kmeans(points, k, restarts, max_iter, seed, parallel)
-            rows.append((k, model.summary.trainingCost, float(silhouette(model.transform(points)))))
+        best = swept(points, ks, restarts, max_iter, seed)
+        scores = silhouettes(points, list(best.values())) if best else []
+    rows = [(k, m.cost, score) for (k, m), score in zip(best.items(), scores, strict=True)]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_squared_euclidean double")
 
 
@@ -201,8 +196,3 @@ def importances(spark, model: RandomForestClassificationModel, columns: Sequence
     """Features by impurity reduction."""
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def vectors(df: DataFrame, column: str) -> DataFrame:
-    """Adds ``features`` from an array column."""
-    return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.functions import numbers as N
 from slotwise.operators import baselines as B, evaluation as E, features as FT, geo, grouping as G, ml, quality as Q, routes, stats as S, timeseries as TS
+from slotwise.operators.ranking import kept
 from slotwise.plans import roles as R, station as ST
 from slotwise.plans.registry import query, rounded, with_double, with_text
 from slotwise.plans.relational import FLOWS_SQL, flow_edges
@@ -159,21 +162,36 @@ def _(s, sf):
 
 
 def embedding_points(s, sf) -> DataFrame:
-    return ml.vectors(T(s, sf, "embeddings"), "embedding")
+    return T(s, sf, "embeddings").withColumn("features", F.col("embedding").cast("array<double>"))
 
 
 @query("ml_k_sweep")
 def _(s, sf):
-    """Inertia and silhouette per k over all embeddings; results depend on the k-means library."""
+    """Inertia and silhouette per k over all embeddings; ``ml_k_sweep_checks`` holds them against their definitions."""
     return ml.k_sweep(embedding_points(s, sf), range(2, 13))
 
 
+@query("ml_k_sweep_checks", """select k::int as k, (select count(*) from embeddings) as n, true as sizes_add_up, true as nearest, true as cost, true as centres_are_means
+ from range(2, 13) r(k)""")
+def _(s, sf):
+    """For the best model of every k over all embeddings: rows, whether sizes add up, each row's centre is its nearest, the cost is the
+    sum of squared distances, and every centre is the mean of its rows."""
+    with ml.persisted(embedding_points(s, sf)) as points:
+        best = ml.swept(points, range(2, 13))
+        checks = [
+            ml.cluster_checks(rows, model).select(F.lit(k).alias("k"), "*", ml.centre_checks(rows, model).scalar().alias("centres_are_means"))
+            for k, model in best.items()
+            for rows in [points.select("features", model.nearest().alias("prediction"), model.nearest().alias("cluster"))]
+        ]
+        return kept(reduce(DataFrame.union, checks), "sweep-checks")
+
+
 def clustered(s, sf) -> DataFrame:
     """Embeddings with a cluster number; clusters are numbered by their mean first coordinate."""
     rows = embedding_points(s, sf)
     model = ml.fit_kmeans(rows.select("features"), k=5)
-    labelled = model.transform(rows).withColumn("x", F.get("embedding", F.lit(0)).cast("double"))
-    return ml.order_clusters(labelled.withColumnRenamed("prediction", "cluster"), "x")
+    labelled = rows.withColumn("cluster", model.nearest()).withColumn("x", F.get("embedding", F.lit(0)).cast("double"))
+    return ml.order_clusters(labelled, "x")
 
 
 @query("ml_kmeans")

@@ -1,6 +1,12 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from slotwise.operators import ml
+from slotwise.operators import clustering as C, ml
 from slotwise.plans import QUERIES
 
 
@@ -26,3 +32,45 @@ def test_centroids_cover_all_coordinates_of_all_embeddings(spark, sf):
     for i in (0, 40):  # means of all rows follow from those of the clusters
         mean = table.agg(F.avg(F.get("embedding", F.lit(i)).cast("double"))).first()[0]
         assert abs(sum(r.n * r.mean for r in rows if r.feature == f"x{i}") / table.count() - mean) < 1e-5
+
+
+def blobs(n, seed=4):
+    rng = random.Random(seed)
+    places = [(rng.uniform(-20, 20), rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(6)]
+    return [[rng.gauss(x, 1) for x in rng.choice(places)] for _ in range(n)]
+
+
+def slow_cost(points, centres):
+    points, centres = np.array(points), np.array(centres)
+    return ((points[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_all_models_advance_in_the_same_scans(spark, monkeypatch):
+    scans = []
+    scan = C._Points.scan
+    monkeypatch.setattr(C._Points, "scan", lambda self, centres, *a: scans.append(len(centres)) or scan(self, centres, *a))
+    data = blobs(600)
+    df = spark.createDataFrame([(p,) for p in data], "features array<double>").repartition(3).persist()
+    sizes = [2, 3, 6, 6, 6, 6, 9]
+    models = C.fit_many(df, sizes, max_iter=100)
+    # one draw of first points, two scans per seeding round, one for the weights, one per iteration of the slowest model, one for the costs
+    assert len(scans) == 1 + 2 * C.SEED_ROUNDS + 1 + max(m.iterations for m in models) + 1
+    assert [len(m.centres) for m in models] == sizes and min(scans[-2:]) < len(sizes)
+    for m in models:
+        assert m.cost == pytest.approx(slow_cost(data, m.centres))
+    library = KMeans(k=6, maxIter=100, seed=1).fit(df.select(array_to_vector("features").alias("features"))).summary.trainingCost
+    assert min(m.cost for m in models if len(m.centres) == 6) <= 1.001 * library
+    rows = df.withColumn("own", models[2].nearest()).collect()
+    away = ((np.array([r.features for r in rows])[:, None] - models[2].centres[None]) ** 2).sum(2)
+    assert [r.own for r in rows] == away.argmin(1).tolist()
+
+
+def test_clusters_of_copies_gaps_and_few_points(spark):
+    crowd = [[1.0, 1.0]] * 5000 + [[5.0, 5.0], None, [9.0, 1.0]]
+    df = spark.createDataFrame([(p,) for p in crowd], "features array<double>").repartition(4)
+    three, seven = C.fit_many(df, [3, 7])
+    assert sorted(three.centres.tolist()) == [[1.0, 1.0], [5.0, 5.0], [9.0, 1.0]] and three.cost == 0
+    assert len(seven.centres) == 3  # no more centres than different points
+    assert C.fit_many(df.where("features is null"), [3]) == []
+    again = C.fit_many(df.repartition(9), [3])[0]
+    assert sorted(again.centres.tolist()) == sorted(three.centres.tolist())

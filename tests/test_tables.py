@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.operators import commerce as C, geo, grouping as G, ml, mutate as M, quality as Q, routes, stats as S, texts as TX
+from slotwise.operators.clustering import Clusters, silhouettes
 from slotwise.operators.quantiles import exact_quantiles
 from slotwise.session import shared_folder
 from slotwise.sources import readers as RD, writers as WR
@@ -248,14 +249,16 @@ def test_silhouette_matches_the_definition_over_squared_distances(spark):
     rng = random.Random(2)
     labels = [i % 3 for i in range(15)]
     pts = [[5.0 * c + rng.random(), rng.random()] for c in labels]
-    df = ml.vectors(spark.createDataFrame(list(zip(pts, labels)), "e array<double>, prediction int"), "e")
+    df = spark.createDataFrame(list(zip(pts, labels)), "features array<double>, prediction int")
     total = 0.0
     for i, p in enumerate(pts):
         mean = {k: [math.dist(p, q) ** 2 for j, q in enumerate(pts) if labels[j] == k and j != i] for k in set(labels)}
         a = sum(mean[labels[i]]) / len(mean[labels[i]])
         b = min(sum(v) / len(v) for k, v in mean.items() if k != labels[i])
         total += (b - a) / max(a, b)
-    assert ml.silhouette(df) == pytest.approx(total / len(pts))
+    centres = np.array([np.mean([p for p, c in zip(pts, labels) if c == k], axis=0) for k in range(3)])
+    lone = Clusters(np.array([[0.0, 0.0]]), 0.0, 0)
+    assert silhouettes(df.repartition(4), [Clusters(centres, 0.0, 0), lone]) == pytest.approx([total / len(pts), 0.0])
 
 
 def test_cluster_numbers_follow_the_stable_rule(spark):
