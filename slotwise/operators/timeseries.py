@@ -33,44 +33,53 @@ def valid_readings(raw: DataFrame) -> DataFrame:
     return raw.where(keep & F.col("last_reported").try_cast("bigint").between(EPOCH_MIN, EPOCH_MAX))
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """Valid rows, one per (station, time): the one with the latest update.
-
-    Copies of a reading are reduced before the shuffle, and the key includes the
-    time, so neither a busy station nor a much repeated reading fills one task.
-    """
-    typed = valid_readings(raw).select(
+def typed_readings(raw: DataFrame) -> DataFrame:
+    """Valid rows as numbers, with the time of their update."""
+    return valid_readings(raw).select(
         F.col("station_id").try_cast("int").alias("station_id"),
         F.col("last_reported").try_cast("bigint").alias("last_reported"),
         F.col("num_bikes_available").try_cast("int").alias("bikes"),
         F.col("num_docks_available").try_cast("int").alias("docks"),
         F.col("last_updated").try_cast("bigint").alias("updated"),
     )
-    reading = F.struct("bikes", "docks")
+
+
+def latest_readings(typed: DataFrame) -> DataFrame:
+    """One row per (station, time): the one with the latest update. Of rows reduced in parts, the result is the same."""
+    reading = F.struct("bikes", "docks", "updated")
     order = F.when(F.col("updated").isNotNull(), F.struct("updated", "bikes", "docks"))
     latest = typed.groupBy("station_id", "last_reported").agg(F.max_by(reading, order).alias("r"))
-    return latest.select("station_id", "last_reported", "r.bikes", "r.docks")
+    return latest.select("station_id", "last_reported", "r.bikes", "r.docks", "r.updated")
 
 
-def with_delta(cleaned: DataFrame) -> DataFrame:
-    """Previous reading of the station, seconds since it and change in bikes.
+def clean(raw: DataFrame) -> DataFrame:
+    """Valid rows, one per (station, time): the one with the latest update.
 
-    Lags run inside (station, UTC day), which holds at most one reading per
-    second; the first reading of a day takes its predecessor from a small table of
-    last readings per day, so the history of one station is never in one task.
+    Copies of a reading are reduced before the shuffle, and the key includes the
+    time, so neither a busy station nor a much repeated reading fills one task.
     """
-    chunked = cleaned.withColumn("day_chunk", F.floor(F.col("last_reported") / SECONDS_PER_DAY).cast("int"))
-    within = Window.partitionBy("station_id", "day_chunk").orderBy("last_reported")
+    return latest_readings(typed_readings(raw)).drop("updated")
+
+
+def day_tails(chunked: DataFrame, chunk: str) -> DataFrame:
+    """The last reading (time t, bikes b) of each station and chunk of time."""
+    last = F.struct(F.col("last_reported").alias("t"), F.col("bikes").alias("b"))
+    return chunked.groupBy("station_id", chunk).agg(F.max_by(last, "last_reported").alias("tail"))
+
+
+def carried_tails(tails: DataFrame, chunk: str) -> DataFrame:
+    """For each station and chunk, the last reading of the station's chunk before it."""
+    across = Window.partitionBy("station_id").orderBy(chunk)
+    return tails.select("station_id", chunk, F.lag("tail").over(across).alias("carry"))
+
+
+def delta_within(chunked: DataFrame, carried: DataFrame, chunk: str) -> DataFrame:
+    """Previous reading, seconds since it and change in bikes; the first reading of a chunk goes on from ``carried``."""
+    within = Window.partitionBy("station_id", chunk).orderBy("last_reported")
     previous = F.struct(F.col("last_reported").alias("t"), F.col("bikes").alias("b"))
-    across = Window.partitionBy("station_id").orderBy("day_chunk")
-    carried = (
-        chunked.groupBy("station_id", "day_chunk")
-        .agg(F.max_by(previous, "last_reported").alias("tail"))
-        .select("station_id", "day_chunk", F.lag("tail").over(across).alias("carry"))
-    )
     return (
         chunked.withColumn("prev", F.lag(previous).over(within))
-        .join(carried, ["station_id", "day_chunk"], "left")
+        .join(carried, ["station_id", chunk], "left")
         .withColumn("prev", F.coalesce("prev", "carry"))
         .select(
             "station_id", "last_reported", "bikes", "docks",
@@ -82,6 +91,17 @@ def with_delta(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def with_delta(cleaned: DataFrame) -> DataFrame:
+    """Previous reading of the station, seconds since it and change in bikes.
+
+    Lags run inside (station, UTC day), which holds at most one reading per
+    second; the first reading of a day takes its predecessor from a small table of
+    last readings per day, so the history of one station is never in one task.
+    """
+    chunked = cleaned.withColumn("day_chunk", F.floor(F.col("last_reported") / SECONDS_PER_DAY).cast("int"))
+    return delta_within(chunked, carried_tails(day_tails(chunked, "day_chunk"), "day_chunk"), "day_chunk")
+
+
 def localize(readings: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """UTC and local time of each reading, with the local day and hour."""
     local = readings.withColumn("ts_utc", dates.epoch_to_utc(F.col("last_reported"))).withColumn(

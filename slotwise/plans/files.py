@@ -10,6 +10,7 @@ from slotwise.plans.tabular import match_lines, MATCH_SQL
 from slotwise.operators import texts as TX, mutate as M
 from slotwise.session import shared_folder
 from slotwise.sources import readers as RD, writers as WR
+from slotwise.sources.stored import StoredTable
 from slotwise.streaming.half_hour import replay_half_hours
 
 T = R.table
@@ -181,3 +182,42 @@ def _(s, sf):
     slots = replay_half_hours(R.cleaned(s, sf), shared_folder(s, "stream"))
     return slots.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n_slots"), F.min("min_bikes").alias("min_bikes"), F.max("max_docks").alias("max_docks"))
+
+
+# ---------------------------------------------------------------- stored tables
+def stored_orders(s, sf) -> StoredTable:
+    """Orders by year of their date, as a table that can be changed."""
+    rows = T(s, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("double").alias("total"), F.year("o_orderdate").alias("year"))
+    return StoredTable.create(rows, shared_folder(s, "orders"), ["year"])
+
+
+STORED_SQL = "orders_of as (select o_orderkey, o_orderstatus, o_orderpriority, o_totalprice::double as total, year(o_orderdate)::int as year from orders)"
+
+
+@query("mut_stored_update", f"""with {STORED_SQL} select o_orderkey, case when year = 1995 and o_orderstatus = 'F' then '0-NONE' else o_orderpriority end as o_orderpriority,
+ case when year = 1993 and total > 300000 then 1994 else year end as year from orders_of""")
+def _(s, sf):
+    """One update inside a partition, one that moves rows to another."""
+    orders = stored_orders(s, sf)
+    orders.update((F.col("year") == 1995) & (F.col("o_orderstatus") == "F"), o_orderpriority="0-NONE")
+    orders.update((F.col("year") == 1993) & (F.col("total") > 300_000), year=1994)
+    return orders.read().select("o_orderkey", "o_orderpriority", "year")
+
+
+@query("mut_stored_delete", f"with {STORED_SQL} select o_orderkey, total, year from orders_of where not (year = 1992 or year = 1996 and total < 100000)")
+def _(s, sf):
+    """A whole partition and a part of another one go."""
+    orders = stored_orders(s, sf)
+    orders.delete((F.col("year") == 1992) | (F.col("year") == 1996) & (F.col("total") < 100_000))
+    return orders.read().select("o_orderkey", "total", "year")
+
+
+@query("mut_stored_insert_missing", f"""with {STORED_SQL} select o_orderkey, o_orderstatus, total, year from orders_of
+ union all select -1 - l_orderkey, cast(null as varchar), cast(null as double), min(year(l_shipdate))::int from lineitem group by 1""")
+def _(s, sf):
+    """Orders again (all there) and the orders of the lines under new keys, in the year of their first shipment."""
+    orders = stored_orders(s, sf)
+    orders.insert_missing(orders.read().select("o_orderkey", "year"), "o_orderkey")
+    lines = T(s, sf, "lineitem").groupBy((-1 - F.col("l_orderkey")).alias("o_orderkey")).agg(F.min(F.year("l_shipdate")).alias("year"))
+    orders.insert_missing(lines, "o_orderkey")
+    return orders.read().select("o_orderkey", "o_orderstatus", "total", "year")

@@ -10,7 +10,7 @@ from slotwise.constants import STATE_COLOUR, WEEKDAYS
 from slotwise.functions import dates
 from slotwise.operators import baselines as B, evaluation as E, features as FT, ml, quality as Q, timeseries as TS
 from slotwise.operators.ranking import kept
-from slotwise.plans import roles as R
+from slotwise.plans import daily, roles as R
 from slotwise.plans.registry import query, rounded, with_double, with_text
 from slotwise.plans.tables import station_tables
 from slotwise.plans.tabular import _case_sql
@@ -466,3 +466,26 @@ def _(s, sf):
     raw = R.readings(s, sf)
     written = station_tables(raw, R.stations_of(raw), shared_folder(s, "chain"), R.TRAIN_END, R.TEST_START, R.TEST_END, R.SHORT_HISTORY_KEYS)
     return table_sizes(written).select(F.col("table_name").alias("name"), F.col("n_rows").alias("n"))
+
+
+# ---------------------------------------------------------------- stored days
+def stored_days(s, sf) -> daily.StationDays:
+    """The tables by day, made from two thirds of the readings (the newest, the oldest and scattered ones are missing) and refreshed with the rest."""
+    raw = R.readings(s, sf)
+    later = F.pmod(F.col("last_updated").cast("long"), F.lit(7)).isin(2, 5) | (F.dayofmonth(F.timestamp_seconds(F.col("last_reported").cast("long"))).isin(1, 30, 31))
+    tables = daily.StationDays(raw.where(~later), R.stations_of(raw), shared_folder(s, "days"))
+    tables.refresh(raw.where(later))
+    return tables
+
+
+@query("sink_stored_trips", TRIPS_SQL + "select station_id, day::varchar as day, hour::int as hour, district, trips from trips")
+def _(s, sf):
+    """Trips of the stored tables after a refresh, equal to the chain over all readings."""
+    return with_text(stored_days(s, sf).trips.read(), "day").select("station_id", "day", "hour", "district", "trips")
+
+
+@query("sink_stored_grid", GRID + "select station_id, district, day::varchar as day, hour::int as hour, half, state, min_bikes::double as min_bikes, avg_docks::double as avg_docks from grid")
+def _(s, sf):
+    """The dense grid of the stored tables after a refresh."""
+    rows = with_text(with_double(stored_days(s, sf).grid.read(), "min_bikes", "avg_docks"), "day")
+    return rows.select("station_id", "district", "day", "hour", "half", "state", "min_bikes", "avg_docks")

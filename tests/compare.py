@@ -46,8 +46,9 @@ def compare(spark, name, fn, sql, sf_dir, con) -> str:
     a, b = canonical(got), canonical(want)
     if a == b:
         return f"ok {len(a)}" if a else "ok 0"
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:3]
+    only_b = [r for r in b if r not in in_a][:3]
     return f"DIFF {len(a)} vs {len(b)}; spark only {only_a}; sql only {only_b}"
 
 
