@@ -79,7 +79,7 @@ def pivot_with_margins(
 def invert_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
     """Swap keys and values: rows ``value, key``, flagged where a value has several keys."""
     sizes = df.groupBy(value).agg((F.count(F.lit(1)) > 1).alias("duplicated"))
-    return df.select(value, key).join(sizes, value)
+    return salted_join(df.select(value, key), sizes, [value])
 
 
 def last_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

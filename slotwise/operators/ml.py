@@ -16,6 +16,7 @@ from slotwise.operators.clustering import TOLERANCE, Clusters, fit_many, silhoue
 from slotwise.operators.grouping import modal_value
 from slotwise.operators.quality import drop_sparse, impute_median
 from slotwise.operators.ranking import kept
+from slotwise.operators.sampling import threshold_sample
 
 #: Bound on the rows a forest is fitted on, as published for the original model.
 FIT_ROWS = 1_500_000
@@ -144,11 +145,6 @@ def cluster_summary(df: DataFrame, columns: Sequence[str], district: str, cluste
     return cluster_means(df, columns, cluster).join(modal_value(df, [cluster], district, "top_district"), cluster)
 
 
-def sample_to(df: DataFrame, target_rows: int, rows: int, seed: int = 42) -> DataFrame:
-    """Bernoulli sample of about ``target_rows`` of ``rows`` rows; everything when there are no more."""
-    return df if rows <= target_rows else df.sample(target_rows / rows, seed)
-
-
 def class_index(state: str = "state"):
     labels = F.array(*[F.lit(c) for c in MODEL_CLASSES])
     return (F.array_position(labels, F.col(state)) - 1).cast("double")
@@ -173,10 +169,10 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 def fit_forest(
     train: DataFrame, columns: Sequence[str], trees: int = 100, depth: int = 20, min_leaf: int = 20,
-    seed: int = 42, bins: int = 64, memory_mb: int = 1024, fit_rows: int = FIT_ROWS,
+    seed: int = 42, bins: int = 64, memory_mb: int = 1024, fit_rows: int = FIT_ROWS, keys: Sequence[str] | None = None,
 ) -> RandomForestClassificationModel:
-    """Class-balanced random forest on the modelled states, fitted on a sample of about ``fit_rows`` rows."""
-    train = sample_to(train, fit_rows, train.count(), seed)
+    """Class-balanced random forest on the modelled states, fitted on a sample of about ``fit_rows`` rows drawn by their ``keys`` (or all columns)."""
+    train = threshold_sample(train, keys or train.columns, fit_rows, train.count(), seed)
     rows = balanced_weights(fill_zero_float(train, columns).withColumn("label", class_index()), "label")
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", seed=seed,

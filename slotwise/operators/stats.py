@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from slotwise.operators.grouping import salted_join, value_counts
 from slotwise.operators.quantiles import exact_quantiles
 from slotwise.operators.ranking import numbered
+from slotwise.operators.sampling import smallest_draws
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -116,11 +117,13 @@ def regression(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, hue: str | None = None, fraction: float | None = None, seed: int = 42
+    df: DataFrame, x: str, y: str, hue: str | None = None, keys: Sequence[str] = (), per_hue: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Complete pairs for a scatter plot, optionally a seeded sample of them."""
-    points = df.select(x, y, *([hue] if hue else [])).na.drop(subset=[x, y])
-    return points if fraction is None else points.sample(fraction, seed)
+    """Complete pairs for a scatter plot; with ``per_hue`` a sample of so many rows of each hue, drawn by ``keys``."""
+    points = df.na.drop(subset=[x, y])
+    if per_hue is not None:
+        points = smallest_draws(points, keys, [hue] if hue else [], per_hue, seed)
+    return points.select(x, y, *([hue] if hue else []))
 
 
 def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:

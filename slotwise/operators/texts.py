@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slotwise.functions import text
 
@@ -28,15 +28,23 @@ NAME = r"\S"
 
 
 def parse_matches(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped. A line is cut once at its tabs, its score at the dash."""
-    fields = lines.select(F.split(F.regexp_replace(column, r"^\s+|\s+\z", ""), "\t", -1).alias("f")).where(F.size("f") == 3)
-    parts = fields.select("f", F.split(F.get("f", F.lit(1)), "-", -1).alias("g")).where(F.size("g") == 2)
-    name, goals = (lambda i: F.get("f", F.lit(i))), (lambda i: F.get("g", F.lit(i)))
-    valid = goals(0).rlike(GOALS) & goals(1).rlike(GOALS) & name(0).rlike(NAME) & name(2).rlike(NAME)
-    number = lambda i: F.regexp_replace(goals(i), r"\s", "").cast("bigint")
-    return parts.where(valid).select(
-        F.trim(name(0)).alias("home"), number(0).alias("home_goals"), F.trim(name(2)).alias("away"), number(1).alias("away_goals")
-    )
+    """``home<TAB>g1-g2<TAB>away`` lines; malformed lines are skipped.
+
+    A line is cut once at its tabs and its score once at the dash: both cuts are lambda variables, and the match is one struct that is
+    made in a generator, which later filters and projections don't copy.
+    """
+    number = lambda goals: F.regexp_replace(goals, r"\s", "").cast("bigint")
+
+    def match(f: Column, g: Column) -> Column:
+        home, away, scored, conceded = F.get(f, F.lit(0)), F.get(f, F.lit(2)), F.get(g, F.lit(0)), F.get(g, F.lit(1))
+        valid = (F.size(f) == 3) & (F.size(g) == 2) & scored.rlike(GOALS) & conceded.rlike(GOALS) & home.rlike(NAME) & away.rlike(NAME)
+        return F.when(valid, F.struct(
+            F.trim(home).alias("home"), number(scored).alias("home_goals"), F.trim(away).alias("away"), number(conceded).alias("away_goals")
+        ))
+
+    cut = F.split(F.regexp_replace(column, r"^\s+|\s+\z", ""), "\t", -1)
+    found = F.transform(F.array(cut), lambda f: F.get(F.transform(F.array(F.split(F.get(f, F.lit(1)), "-", -1)), lambda g: match(f, g)), F.lit(0)))
+    return lines.select(F.explode(F.array(F.get(found, F.lit(0)))).alias("match")).where("match is not null").select("match.*")
 
 
 def team_rows(matches: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def write_reading_tree(s, sf) -> str:
     rows = R.readings(s, sf)
     third = F.pmod(F.col("station_id").try_cast("int"), F.lit(3))
     extra = rows.withColumn("num_bikes_available_types.mechanical", F.lit("1"))
-    WR.write_csv(rows.where(third == 0), f"{base}/a/2024_01")
-    WR.write_csv(extra.where(third == 1), f"{base}/b/2024_01")
-    WR.write_csv(rows.drop("is_renting").where(third == 2), f"{base}/c/2024_02")
+    parts = {"a/2024_01": (rows.where(third == 0), 2), "b/2024_01": (extra.where(third == 1), 3), "c/2024_02": (rows.drop("is_renting").where(third == 2), 4)}
+    for folder, (part, n_files) in parts.items():
+        WR.write_csv(part.repartition(n_files), f"{base}/{folder}")
     return base
 
 
@@ -56,12 +56,12 @@ TREE_SQL = R.STATION + """, tree as (select station_id, num_bikes_available, cas
  last_reported, status, case when station_id::int % 3 != 2 then is_renting end as is_renting from readings) """
 
 
-@query("src_header_fingerprint", """select sha1(h) as fingerprint, h as header from (values
- ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status,is_renting'),
- ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status,is_renting,num_bikes_available_types.mechanical'),
- ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status')) v(h)""")
+@query("src_header_fingerprint", """select sha1(h) as fingerprint, h as header, n::bigint as n_files from (values
+ ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status,is_renting', 2),
+ ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status,is_renting,num_bikes_available_types.mechanical', 3),
+ ('station_id,last_reported,last_updated,num_bikes_available,num_docks_available,status', 4)) v(h, n)""")
 def _(s, sf):
-    return RD.header_groups(s, write_reading_tree(s, sf)).drop("n_files")
+    return RD.header_groups(s, write_reading_tree(s, sf))
 
 
 @query("src_union_header_groups", TREE_SQL + "select * from tree")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.functions import numbers as N
-from slotwise.operators import baselines as B, evaluation as E, features as FT, geo, grouping as G, ml, quality as Q, routes, stats as S, timeseries as TS
+from slotwise.operators import baselines as B, evaluation as E, features as FT, geo, grouping as G, ml, quality as Q, routes, sampling as SM, stats as S, timeseries as TS
 from slotwise.operators.ranking import kept
 from slotwise.plans import roles as R, station as ST
 from slotwise.plans.registry import query, rounded, with_double, with_text
@@ -240,12 +240,13 @@ def _(s, sf):
 
 
 # ---------------------------------------------------------------- classifier
-@query("ml_sample")
+@query("ml_sample", """select l_orderkey, l_linenumber from lineitem, (select count(*) as n from lineitem) where n <= 1
+ or ('0x' || md5('42:' || l_orderkey || ':' || l_linenumber)[1:8])::ubigint < (greatest(1, n // 10)::hugeint * 4294967296) // n""")
 def _(s, sf):
-    """Seeded Bernoulli sample of about a tenth of the lines (a sampling operator)."""
+    """About a tenth of the lines (a sampling operator), drawn by their keys."""
     lines = T(s, sf, "lineitem").select("l_orderkey", "l_linenumber")
     n = lines.count()
-    return ml.sample_to(lines, max(1, n // 10), n)
+    return SM.threshold_sample(lines, ["l_orderkey", "l_linenumber"], max(1, n // 10), n)
 
 
 @query("ml_fillna0_cast", "select l_orderkey, l_linenumber, round(coalesce(nullif(l_discount, 0.0), 0)::float::double, 6) as a, round(coalesce(nullif(l_tax, 0.0), 0)::float::double, 6) as b from lineitem")
@@ -264,7 +265,7 @@ def _(s, sf):
 def fit_and_predict(s, sf):
     """The forest at its full size (100 trees of depth 20, leaves of 20), and its predictions of the test period."""
     train, test = ST.model_tables(s, sf)
-    model = ml.fit_forest(train, FT.MODEL_FEATURES)
+    model = ml.fit_forest(train, FT.MODEL_FEATURES, keys=TS.SLOT)
     return model, ml.predict_state(model, test, FT.MODEL_FEATURES)
 
 

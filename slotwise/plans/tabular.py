@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from slotwise.functions import dates, numbers as N, text as X
 from slotwise.operators import commerce as C, mutate as M, people as P, quality as Q, stats as S, texts as TX
 from slotwise.plans import roles as R
 from slotwise.plans.registry import query, rounded, sql_mean_money, with_double, with_text
-from slotwise.plans.relational import paid
+from slotwise.plans.relational import REPORT_SQL, paid
 
 T = R.table
 
@@ -430,9 +431,11 @@ def _(s, sf):
     return rounded(rounded(rounded(line, "slope", digits=4), "intercept", digits=3), "r")
 
 
-@query("st_scatter_sample", R.COMMERCE + "select lat, amount::double as amount, declined from tx")
+@query("st_scatter_sample", R.COMMERCE + """select lat, amount::double as amount, declined from
+ (select *, row_number() over (partition by declined order by ('0x' || md5('42:' || id)[1:8])::ubigint, id) as place from tx where lat is not null and amount is not null) where place <= 500""")
 def _(s, sf):
-    return with_double(S.scatter_points(R.transactions(s, sf), "lat", "amount", "declined"), "amount")
+    """Five hundred points of each hue (a sampling operator)."""
+    return with_double(S.scatter_points(R.transactions(s, sf), "lat", "amount", "declined", ["id"], 500), "amount")
 
 
 @query("st_cat_codes", R.COMMERCE + "select id, country, (dense_rank() over (order by country) - 1)::int as code from company")
@@ -500,14 +503,16 @@ def _(s, sf):
 
 @query("view_marketing", R.COMMERCE + f"select company_name, phone, country, {sql_mean_money()} as average_purchases from tx join company c on tx.company_id = c.id where declined = 0 group by all")
 def _(s, sf):
-    C.marketing_view(R.transactions(s, sf), R.company(s, sf)).createOrReplaceTempView("marketing_view")
-    return with_double(s.table("marketing_view"), "average_purchases")
+    C.marketing_view(R.transactions(s, sf), R.company(s, sf)).createOrReplaceTempView(name := f"marketing_view_{uuid4().hex[:12]}")
+    return with_double(s.table(name), "average_purchases")
 
 
-@query("view_report", R.COMMERCE + "select tx.id as transaction_id, iban as card_iban, c.country as company_country from tx join company c on c.id = company_id join cards k on k.id = card_id")
+@query("view_report", REPORT_SQL)
 def _(s, sf):
-    C.technical_report(R.transactions(s, sf), R.company(s, sf), R.users(s, sf), R.cards(s, sf)).createOrReplaceTempView("technical_report")
-    return s.table("technical_report").select("transaction_id", "card_iban", "company_country")
+    """All columns of the technical report, read from a view."""
+    name = f"technical_report_{uuid4().hex[:12]}"
+    C.technical_report(R.transactions(s, sf), R.company(s, sf), R.users(s, sf), R.cards(s, sf)).createOrReplaceTempView(name)
+    return with_text(with_double(s.table(name), "amount"), "transaction_date")
 
 
 CARDS_SQL = R.COMMERCE + """select card_id, case when count(*) = 3 and min(declined) = 1 then 'inactive' else 'active' end as status from

@@ -90,8 +90,8 @@ def test_calendar_helpers(spark):
 
 
 def test_words(spark):
-    texts = ["Luna ¡qué sol!", "", "123 ... 4", "Niño niño, ÁRBOL"]
-    assert column(spark, texts, X.mean_word_length) == pytest.approx([10 / 3, 0.0, 0.0, 13 / 3])
+    texts = ["The meter stopped. Nobody saw it; the log has 3 gaps.", "", "123 ... 4", "Niño niño, ÁRBOL"]
+    assert column(spark, texts, X.mean_word_length) == pytest.approx([39 / 10, 0.0, 0.0, 13 / 3])
     assert column(spark, texts[3:], X.words) == [["niño", "niño", "árbol"]]
 
 
@@ -103,10 +103,9 @@ def test_list_items(spark):
 
 
 def test_float_strings(spark):
-    texts = ["2.75", "two", "4e7", "blue", "9-5/8", "1d", "1f", "1_0", "1__0", " 7 ", ".5", "5.", "inf", "-Infinity", "", None]
+    texts = ["1d", "1f", "1_0", "1__0", " 7 ", ".5", "5.", "inf", "-Infinity", "", None]
     got = column(spark, texts, X.to_float_or_null)
-    assert got[:13] == [2.75, None, 4e7, None, None, None, None, 10.0, None, 7.0, 0.5, 5.0, float("inf")]
-    assert got[13:] == [float("-inf"), None, None]
+    assert got == [None, None, 10.0, None, 7.0, 0.5, 5.0, float("inf"), float("-inf"), None, None]
 
 
 def test_people_labels(spark):

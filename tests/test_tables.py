@@ -305,3 +305,37 @@ def test_rename_and_drop_table(spark):
     assert spark.table("t_new").count() == 3 and RD.missing_tables(spark, ["t_old", "t_new"]) == ["t_old"]
     M.drop_table(spark, "t_new")
     assert not spark.catalog.tableExists("t_new")
+
+
+# ---------------------------------------------------------------- samples
+def test_samples_are_the_same_at_every_partitioning(spark):
+    import hashlib
+
+    from slotwise.operators import sampling as SM
+
+    df = spark.range(5000).select((F.col("id") % 2500).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("hue"), F.lit("x").alias("row"))
+    draw = lambda k: int(hashlib.md5(f"7:{k}".encode()).hexdigest()[:8], 16)
+    want = sorted(k for k in [*range(2500)] * 2 if draw(k) < 500 * 2**32 // 5000)
+    for parts in (1, 7):
+        assert sorted(r.k for r in SM.threshold_sample(df.repartition(parts), ["k"], 500, 5000, 7).collect()) == want
+    assert 400 < len(want) < 600 and SM.threshold_sample(df, ["k"], 5000, 5000).count() == 5000
+    one = spark.range(600).select(F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("hue"))
+    hue = lambda k: k % 3 if k % 5 else None
+    want = sorted((str(h), k) for h in (0, 1, 2, None) for k in sorted((k for k in range(600) if hue(k) == h), key=draw)[:9])
+    for parts in (1, 6):
+        assert sorted((str(r.hue), r.k) for r in SM.smallest_draws(one.repartition(parts), ["k"], ["hue"], 9, 7).collect()) == want
+
+
+def test_a_match_line_is_cut_once(spark, sf):
+    from tests.test_plans import plan_of
+
+    lines = spark.createDataFrame([("a\t1-0\tb",), ("c\t1-0-2\td",), (None,), ("e\t1-\tf",), (" g \t 2 - 2 \t h ",), ("one",)], "value string")
+    matches = TX.parse_matches(lines)
+    assert sorted(tuple(r) for r in matches.collect()) == [("a", 1, "b", 0), ("g", 2, "h", 2)]
+    assert plan_of(TX.league_table(matches)).count("split(") == 2
+
+
+def test_inverse_of_a_hot_value_is_salted(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("v"))
+    rows = G.invert_mapping(df, "k", "v")
+    assert rows.count() == 3000 and rows.where("duplicated").select("v").distinct().collect() == [("hot",)]
