@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slotwise.operators.grouping import drop_null_keys, salted_join
 from slotwise.operators.ranking import kept
 
-CELLS = 1_024
+CELLS = 4_096
 INFINITE = float("inf")
 
 
@@ -46,11 +46,10 @@ def _holding(rank: Column, cells: Column) -> Column:
 
 def refined(rows: DataFrame, group: Sequence[str], targets: DataFrame, cells: int = CELLS) -> DataFrame:
     """One round: ``rows`` has the group and _v, ``targets`` the group, _rank (inside the bracket), _low and _high."""
-    open_ones = targets.where("_low < _high")
-    brackets = open_ones.groupBy(*group).agg(F.collect_set(F.struct("_low", "_high")).alias("_brackets"))
+    brackets = targets.where("_low < _high").select(*group, "_low", "_high").distinct()
     v = F.col("_v")
-    met = salted_join(rows, brackets, group).select(*group, "_v", F.inline(F.filter("_brackets", lambda b: v.between(b["_low"], b["_high"]))))
-    counts = met.groupBy(*group, "_low", "_high", _cell(v, F.col("_low"), F.col("_high"), cells).alias("cell")).agg(
+    counts = salted_join(rows, brackets, group).where(v.between(F.col("_low"), F.col("_high")))
+    counts = counts.groupBy(*group, "_low", "_high", _cell(v, F.col("_low"), F.col("_high"), cells).alias("cell")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high")
     )
     lists = counts.groupBy(*group, "_low", "_high").agg(F.array_sort(F.collect_list(F.struct("cell", "rows", "low", "high"))).alias("_cells"))
