@@ -84,6 +84,7 @@ def classes(docs: DataFrame, **carried: Column) -> DataFrame:
         state = state.where(F.col("size") > stop)
     ended = ended.withColumn("rank", F.struct("order.*", "id"))
     firsts = ended.groupBy("place", "part").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("group_size"))
+    firsts = kept(firsts, "copies-firsts")
     found = ended.join(firsts, ["place", "part"]).select("id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first.id") == F.col("id")).alias("kept"))
     found = kept(found, "copies-found")
     alone = opened.where("members = 1").select("carried.*", F.col("order.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
