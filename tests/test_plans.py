@@ -56,12 +56,14 @@ def test_one_lag_replaces_the_weekly_self_join(spark, sf):
 
 
 def raw_exchanges(plan, keys):
-    """Exchanges on exactly these keys that don't stand on a partial aggregate."""
+    """Exchanges on exactly these keys that don't stand on a partial aggregate; the written ranks of quantiles, some rows per group, don't count."""
     lines = plan.splitlines()
     found = []
     for i, line in enumerate(lines):
         if re.search(rf"Exchange hashpartitioning\({keys}, \d+\)", line) and "Aggregate" not in lines[i + 1] + (lines[i + 2] if "Sort" in lines[i + 1] else ""):
-            found.append(line)
+            scan = next((x for x in lines[i:] if "FileScan" in x), "")
+            if "_name:string" not in scan:
+                found.append(line)
     return found
 
 
