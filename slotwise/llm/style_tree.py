@@ -1,36 +1,41 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree: element nodes that agree in tag and style (tag, class,
-id and role, from the root down) are one node, however often and in how many pages they occur. For
-each node two entropies are taken over the pages that hold it: presentation, how varied its child
-layouts are, and content, how varied its own text is; both are normalised by the number of pages, and
-children count into their parents with their share of the text. A node whose importance is low looks
-and reads the same all over the site, and is removed from each page.
-
-Entropy alone can't tell an advert that changes with every page from an article, nor an article that
-was copied over a whole site from a menu. So what a page says about itself is heard too: elements that
-are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by tag,
-role, class or id are removed at any importance; inside an ``article`` or ``main`` nothing is removed
-for being repeated, and where a page has such an element, branches beside it are of low importance.
-
-Statistics are counts, summed per task before they are shuffled and again by (host, node), so a host
-with a third of all pages is no hot spot; the removed nodes of a host (a few style paths) meet its
-pages in one equi-join, and only pages that need them take part in it.
-
-Defined cases: a null or empty html, and one without text, gives an empty text; a page of a host with
-fewer than ``LEAST_PAGES`` pages holding a node keeps that node; unclosed tags end with their parent; a
-null url is a host of its own; repeated rows are separate pages; extra columns are ignored.
+id and role, from the root down) are one node, however often and in how many pages they occur. Marks
+that differ from page to page are left out of the style: digits, long hexadecimal words, and whatever
+class or id ``html``, ``body``, ``main`` and ``article`` carry. The texts right in a node are its content nodes.
+
+* Content importance: over the m pages that hold a node, a text that occurs in k of them has the normalised
+  entropy log k / log m, and the importance 1 - log k / log m: 1 for a text of one page, 0 for one of all.
+* Presentation importance: the normalised entropy of a node's child layouts over the same pages; where
+  layouts vary, the node is not a template's fixed part. It counts ``LAYOUT_SHARE``, the content the rest.
+* Prior: what a page says about itself is added. In ``article`` and ``main`` a text gains ``KEPT_PRIOR``;
+  beside them, on a page that has text in such an element, it loses ``BESIDE_PRIOR``.
+
+A content node whose importance is low is removed from each page, so a branch goes when all its texts go.
+Pages count once per distinct main text: copies of an article over a whole site are one page of the tree and
+don't turn into a menu. Elements that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments by tag, role, class or id go at any importance, since adverts that change with
+every page look like content to an entropy.
+
+A node is a 64-bit hash of its parent's hash and its style, so a page yields one number per block and its
+work is linear in its length. Statistics are DataFrame aggregations keyed by (host, node, value), so a host with a third of all pages
+is no hot spot. The removed content nodes of a host (texts of at least m ** 0.7 pages each, so few) meet its pages in one equi-join.
+
+Defined cases: a null or empty html, and one without text, gives an empty text; a text in a node held by fewer
+than ``LEAST_PAGES`` distinct pages of a host stays; unclosed tags end with their parent; elements nested deeper than
+``DEEPEST`` are siblings; a null url is a host of its own; repeated rows get equal texts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.llm.common import kept
@@ -38,7 +43,11 @@ from slotwise.llm.url_filter import host_of
 
 LEAST_PAGES = 5
 LEAST_IMPORTANCE = 0.3
-DECAY = 0.9
+LAYOUT_SHARE = 0.1
+KEPT_PRIOR = 0.2  # a text in an article goes only where about m ** 0.9 of its m pages hold it
+BESIDE_PRIOR = 1.0  # beside an article, even a text of its own is of low importance
+DEEPEST = 512
+ROOT = 0
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +75,7 @@ DROPPED_NAMES = frozenset(
     "discussion related recommended pagination pager toolbar copyright".split()
 )
 KEPT_TAGS = ("article", "main")
+PAGE_TAGS = frozenset(("html", "body", *KEPT_TAGS))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
@@ -75,18 +85,27 @@ RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>|\Z", re.I) for t in RAW}
 ATTRIBUTES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+|\d+")
+# What differs from page to page in a class or id: hexadecimal words with a digit, and digits.
+PAGE_MARK = re.compile(r"(?<![a-z0-9])(?=[a-f]*\d)[0-9a-f]{8,}(?![a-z0-9])|\d+")
 SPACE = re.compile(r"\s+")
 
 
+def hashed(value: str, seed: int = 0) -> int:
+    """64 bits, signed, as Spark's long."""
+    bits = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), seed & (1 << 64) - 1)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 class Page:
-    """Blocks of a page in order: (style path, text, inside a kept element, inside a dropped one)."""
+    """Blocks of a page in order: (node, text, inside a kept element, inside a dropped one); layouts: node -> hash of its children."""
 
-    __slots__ = ("blocks", "children")
+    __slots__ = ("blocks", "layouts")
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, bool, bool]] = []
-        self.children: dict[tuple[str, ...], list[str]] = {}
-        stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.layouts: dict[int, int] = {}
+        stack: list[tuple[str, int, bool, bool]] = [("", ROOT, False, False)]
+        opened: Counter[str] = Counter()
         parts: list[str] = []
         at, size = 0, len(source)
 
@@ -98,12 +117,18 @@ class Page:
                 if text:
                     self.blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
 
+        def end(depth: int):
+            if any(x[0] in BLOCK for x in stack[depth:]):
+                flush()
+            opened.subtract(x[0] for x in stack[depth:])
+            del stack[depth:]
+
         def close(tag: str, until: frozenset[str] | None = None):
+            if opened[tag] <= 0:
+                return
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
-                    if any(x[0] in BLOCK for x in stack[depth:]):
-                        flush()
-                    del stack[depth:]
+                    end(depth)
                     return
                 if until and stack[depth][0] in until:
                     return
@@ -119,9 +144,7 @@ class Page:
             closing, opening, attributes = found.groups()
             if closing:
                 tag = closing.lower()
-                if tag == "p" and not any(x[0] == "p" for x in stack):
-                    flush()
-                elif tag == "br":
+                if tag == "br" or tag == "p" and opened["p"] <= 0:
                     flush()
                 else:
                     close(tag)
@@ -139,32 +162,35 @@ class Page:
                 close("p", SCOPES)
             for alike in ENDS_ALIKE.get(tag, ()):
                 close(alike, SCOPES)
-            name, keeps, drops = self.style(tag, attributes, stack[-1])
             if attributes.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                end = RAW_END[tag].search(source, at)
-                at = end.end()
+                at = RAW_END[tag].search(source, at).end()
                 continue
-            path = (*stack[-1][1], name) if tag in BLOCK else stack[-1][1]
-            if tag in BLOCK:
-                self.children.setdefault(stack[-1][1], []).append(name)
-            if not (tag in BLOCK) and drops != stack[-1][3]:
+            if len(stack) > DEEPEST:
+                end(DEEPEST)
+            _, parent, *inside = stack[-1]
+            name, keeps, drops = self.style(tag, attributes, inside)
+            node = parent
+            if tag in BLOCK or drops != inside[1]:
                 flush()
-                path = (*stack[-1][1], name)
-            stack.append((tag, path, keeps, drops))
+                node = hashed(name, parent)
+                self.layouts[parent] = hashed(name, self.layouts.get(parent, 0))
+            stack.append((tag, node, keeps, drops))
+            opened[tag] += 1
         flush()
 
     @staticmethod
-    def style(tag: str, attributes: str, parent) -> tuple[str, bool, bool]:
+    def style(tag: str, attributes: str, inside) -> tuple[str, bool, bool]:
         """(tag with its classes, id and role; inside a kept element; inside a dropped one)."""
-        keeps, drops = parent[2] or tag in KEPT_TAGS, parent[3] or tag in DROPPED_TAGS
+        keeps, drops = inside[0] or tag in KEPT_TAGS, inside[1] or tag in DROPPED_TAGS
         if not attributes or attributes.isspace():
             return tag, keeps, drops
         marks = []
         for m in ATTRIBUTES.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            marks.append(f"{kind}={value}")
+            if kind == "role" or tag not in PAGE_TAGS:
+                marks.append(f"{kind}={PAGE_MARK.sub('#', value)}")
             if kind == "role":
                 keeps, drops = keeps or value in ("main", "article"), drops or value in DROPPED_ROLES
             elif tag not in ("html", "body") and not drops:
@@ -172,13 +198,25 @@ class Page:
         drops = drops or HIDDEN.search(attributes) is not None
         return f"{tag}[{' '.join(marks)}]" if marks else tag, keeps, drops
 
-    def main_text(self, removed: frozenset[str] = frozenset()) -> str:
-        """Kept elements where the page has any, else all that isn't removed for its role or its low importance."""
-        inside = [t for _, t, keeps, drops in self.blocks if keeps and not drops]
-        if inside:
-            return " ".join(inside)
-        return " ".join(t for path, t, _, drops in self.blocks if not drops and not (removed and low(path, removed)))
+    def candidates(self) -> list[tuple[int, int, str, int]]:
+        """(node, hash of the text, text, place) of the blocks that aren't dropped; place: 1 inside a kept element,
+        -1 beside one, 0 on a page without text in one."""
+        left = [(node, text, keeps) for node, text, keeps, drops in self.blocks if not drops]
+        beside = -1 if any(keeps for _, _, keeps in left) else 0
+        return [(node, hashed(text), text, 1 if keeps else beside) for node, text, keeps in left]
+
+    def main_text(self, removed: dict[tuple[int, int], float] | None = None) -> str:
+        """The blocks of enough importance; ``removed`` holds that of the content nodes the site repeats, all others have 1."""
+        prior = (0.0, KEPT_PRIOR, -BESIDE_PRIOR)
+        value = lambda node, text: (removed or {}).get((node, text), 1.0)
+        return " ".join(text for node, h, text, place in self.candidates() if value(node, h) + prior[place] >= LEAST_IMPORTANCE)
 
+    def main_id(self) -> int:
+        """Equal for pages of equal main text: that inside kept elements, or all where there are none."""
+        seed = 0
+        for _, _, text, place in self.candidates():
+            seed = hashed(text, seed) if place >= 0 else seed
+        return seed
 
 
 def dropped_name(word: str) -> bool:
@@ -187,117 +225,67 @@ def dropped_name(word: str) -> bool:
     return word in DROPPED_NAMES or bool(parts) and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES or len(parts) > 1 and parts[-1].isdigit() and parts[-2] in DROPPED_NAMES)
 
 
-def low(path: tuple[str, ...], removed: frozenset[str]) -> bool:
-    return any("/".join(path[:n]) in removed for n in range(1, len(path) + 1))
-
-
-def features(page: Page) -> Iterator[tuple[str, str, str, int]]:
-    """(node, kind, value, characters): for each node of the page its child layout and the text right in it."""
-    text: dict[tuple[str, ...], list[str]] = {}
-    for path, block, _, _ in page.blocks:
-        text.setdefault(path, []).append(block)
-    for path in {p[:n] for p in text for n in range(1, len(p) + 1)}:
-        yield "/".join(path), "layout", " ".join(page.children.get(path, ())), 0
-        if path in text:
-            own = " ".join(text[path])
-            yield "/".join(path), "text", own, len(own)
-
+def observations(pages: DataFrame) -> DataFrame:
+    """(host, page, node, value, layout): the content nodes of each distinct page, once each.
 
-def importance_of(nodes: dict[str, tuple[int, float, float, int]]) -> dict[str, float]:
-    """Composite importance per node of one host: (pages, layout entropy, text entropy, characters) from the leaves up.
-
-    A node is as important as its varied text and layout, or as its children weighted by their text.
-    """
-    below: dict[str, list[str]] = {}
-    for node in nodes:
-        below.setdefault(node.rpartition("/")[0], []).append(node)
-    result: dict[str, float] = {}
-    volume: dict[str, int] = {}
-    for node in sorted(nodes, key=lambda x: -x.count("/")):
-        pages, layout, text, size = nodes[node]
-        most = math.log(pages) if pages > 1 else 1.0
-        parts = [(text / most, size)] if size else []
-        parts += [(result[c], volume[c]) for c in below.get(node, ()) if c in result]
-        whole = sum(s for _, s in parts)
-        inner = sum(v * s for v, s in parts) / whole if whole else 0.0
-        result[node] = 1.0 if pages == 1 else max(min(1.0, inner), (1 - DECAY) * min(1.0, layout / most))
-        volume[node] = whole
-    return result
-
-
-NODE = "host string, node string, pages long, layout double, content double, chars long"
-
-
-def statistics(pages: DataFrame) -> DataFrame:
-    """Per host and node: pages that hold it, entropies of layout and text, and characters of text.
-
-    ``pages`` has host and html. Values travel as 64-bit hashes with their counts.
+    ``pages`` has host and html; ``page`` identifies the main text, so copies of a page are one.
     """
-    import hashlib
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-
-        def out():
-            rows = [(*k, n) for k, n in tally.items()]
-            tally.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "node", "kind", "value", "chars", "n"]
-            )
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "page", "node", "value", "layout"]
+        kinds = (pa.string(), *[pa.int64()] * 4)
         for batch in batches:
+            rows: set[tuple] = set()
             for host, source in zip(batch["host"].to_pylist(), batch["html"], strict=True):
                 page = Page(source.as_py() or "")
-                for node, kind, value, chars in features(page):
-                    hashed = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                    tally[(host, node, kind, hashed, chars)] += 1
-                if len(tally) > 200_000:
-                    yield out()
-        if tally:
-            yield out()
-
-    counted = pages.select("host", "html").mapInArrow(count, "host string, node string, kind string, value long, chars long, n long")
-    values = counted.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("chars")).alias("chars"))
-    per_kind = values.groupBy("host", "node", "kind").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("chars").alias("chars")
-    )
-    entropy = F.log("pages") - F.col("nlogn") / F.col("pages")
-    of = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, c)), F.lit(0))
-    return per_kind.groupBy("host", "node").agg(
-        of("layout", F.col("pages")).alias("pages"), of("layout", entropy).alias("layout"), of("text", entropy).alias("content"),
-        F.sum("chars").alias("chars"),
-    )
-
+                main = page.main_id()
+                rows.update((host, main, node, value, page.layouts.get(node, 0)) for node, value, _, place in page.candidates() if place >= 0)
+                if len(rows) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-def low_nodes(stats: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, removed): the style paths of each host whose importance is low; one small row per host."""
+    return pages.select("host", "html").mapInArrow(read, "host string, page long, node long, value long, layout long")
 
-    def judge(key, rows):
-        import pandas as pd
 
-        cells = {r.node: (int(r.pages), float(r.layout), float(r.content), int(r.chars)) for r in rows.itertuples()}
-        value = importance_of(cells)
-        removed = sorted(n for n, v in value.items() if v < least and cells[n][0] >= least_pages)
-        return pd.DataFrame({"host": [key[0]], "removed": [removed]}) if removed else pd.DataFrame({"host": pd.Series([], dtype=object), "removed": pd.Series([], dtype=object)})
+def low_nodes(seen: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, node, value, importance): content nodes of low importance, before priors.
 
-    return stats.groupBy("host").applyInPandas(judge, "host string, removed array<string>")
+    ``seen`` is what ``observations`` gives. All groups are counted by partial sums.
+    """
+    once = kept(seen.groupBy("host", "page", "node", "value").agg(F.min("layout").alias("layout")), "style-seen")
+    # Of a page's layouts in a node the smallest stands for all; copies of the page agree in it.
+    pages = once.groupBy("host", "page", "node").agg(F.min("layout").alias("layout"))
+    layouts = pages.groupBy("host", "node", "layout").agg(F.count(F.lit(1)).alias("n"))
+    nodes = layouts.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    most = F.log("m")
+    nodes = nodes.where(F.col("m") >= max(least_pages, 2)).select(
+        F.col("host").alias("of_host"), F.col("node").alias("of_node"), "m", ((most - F.col("nlogn") / F.col("m")) / most).alias("layout")
+    )
+    # A text of one page has importance 1 whatever its node: only repeated ones go on.
+    texts = once.groupBy("host", "node", "value").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    joined = texts.join(nodes, texts.host.eqNullSafe(F.col("of_host")) & (texts.node == F.col("of_node")))
+    importance = (1 - LAYOUT_SHARE) * (1 - F.log("k") / F.log("m")) + LAYOUT_SHARE * F.col("layout")
+    return joined.select("host", "node", "value", importance.alias("importance")).where(F.col("importance") < least)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    removed = kept(low_nodes(statistics(rows)), "style-low")
+    low = low_nodes(observations(rows)).groupBy("host").agg(F.collect_list(F.struct("node", "value", "importance")).alias("removed"))
+    removed = kept(low, "style-low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [
-                    Page(source.as_py() or "").main_text(frozenset(nodes or ()))
-                    for source, nodes in zip(batch["html"], batch["removed"].to_pylist(), strict=True)
-                ]
+                low_of = {}  # one table per host of the batch
+                texts = []
+                for host, source, nodes in zip(batch["host"].to_pylist(), batch["html"], batch["removed"], strict=True):
+                    if host not in low_of:
+                        low_of[host] = {(x["node"], x["value"]): x["importance"] for x in nodes.as_py() or ()}
+                    texts.append(Page(source.as_py() or "").main_text(low_of[host]))
                 yield pa.RecordBatch.from_arrays(
                     [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
@@ -305,4 +293,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     joined = rows.join(removed.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host"), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "removed").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "removed").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

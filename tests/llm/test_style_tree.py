@@ -1,7 +1,12 @@
 import html
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from slotwise.llm import style_tree as T
 
@@ -54,6 +59,55 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in T.extract(pages).collect()} == {"Same words"}
 
 
-def test_importance_of_varied_and_constant_nodes():
-    got = T.importance_of({"a": (10, 0.0, 0.0, 0), "a/x": (10, 0.0, 2.302585, 100), "a/y": (10, 0.0, 0.0, 100)})
-    assert got["a/x"] == pytest.approx(1, abs=1e-3) and got["a/y"] == 0 and got["a"] == pytest.approx(0.5, abs=1e-3)
+@pytest.mark.parametrize("frame", [
+    "<body><main><div><p>Story {i} about thing {i}</p></div><div class=more>Read our other stories</div></main></body>",
+    "<body class=postid-{i}><div class='x1 n{i}'><p>Welcome to our site</p></div><div id=post-{i}><p>Story {i} about thing {i}</p></div></body>",
+    "<body><article id=a-{i}><h1>Story {i} about thing {i}</h1><section><p>Write to us</p><p>Or call</p></section></article><div>Other news {i}</div></body>",
+    "<body><div id=deadbeef{i}00><p>Story {i} about thing {i}</p><span>Now</span></div><div>Same {k} for three</div></body>",
+])
+def test_importance_decides_inside_kept_elements_too(spark, frame):
+    rows = [(i, "http://a.b/%d" % i, frame.replace("{i}", str(i)).replace("{k}", str(i // 3 % 10))) for i in range(30)]
+    got = {r.page_id: r.text for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    more = " Now Same {k} for three" if "{k}" in frame else ""
+    if more:  # "Now" stands right in the div of all pages, a text shared by three pages of thirty stays
+        assert got == {i: f"Story {i} about thing {i} Same {i // 3 % 10} for three" for i in range(30)}
+    else:
+        assert got == {i: f"Story {i} about thing {i}" for i in range(30)}
+
+
+def test_low_nodes_match_brute_force(spark):
+    """Counts of distinct pages per content node, entropies of texts and layouts, in plain Python."""
+    rng = random.Random(3)
+    part = lambda i: "".join(f"<div class=c{c}-{i}>{'<p>' * rng.randrange(1, 3)}{rng.choice('aab')}{rng.choice(['', i])}</div>" for c in "xyz" if rng.random() < 0.8)
+    rows = [(f"http://h{i % 3}.net/{i}", "<body>" + part(i) + "</body>") for i in range(120)]
+    rows += rows[:40]
+    seen: dict = {}
+    for url, source in rows:
+        page = T.Page(source)
+        for node, value, _, place in page.candidates():
+            assert place == 0
+            seen.setdefault((url[7:9], node), {}).setdefault(page.main_id(), (set(), set()))
+            values, layouts = seen[url[7:9], node][page.main_id()]
+            values.add(value)
+            layouts.add(page.layouts.get(node, 0))
+    want = {}
+    for (host, node), held in seen.items():
+        m = len(held)
+        if m < T.LEAST_PAGES:
+            continue
+        layouts = Counter(min(x) for _, x in held.values())
+        varied = -sum(n / m * math.log(n / m) for n in layouts.values()) / math.log(m)
+        for value, k in Counter(v for values, _ in held.values() for v in values).items():
+            importance = (1 - T.LAYOUT_SHARE) * (1 - math.log(k) / math.log(m)) + T.LAYOUT_SHARE * varied
+            if k > 1 and importance < T.LEAST_IMPORTANCE:
+                want[host + ".net", node, value] = importance
+    pages = spark.createDataFrame(rows, "url string, html string").select(T.host_of(F.col("url")).alias("host"), "html")
+    got = {(r.host, r.node, r.value): r.importance for r in T.low_nodes(T.observations(pages)).collect()}
+    assert want and got.keys() == want.keys() and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("source", ["<div>" * 50_000 + "x", "<b>" * 50_000 + "<p>x</p>" * 50_000, "<div><i>" * 25_000 + "x" + "</u></p>" * 25_000, "<li><b>" * 50_000 + "x"])
+def test_time_is_linear_in_the_page(source):
+    began = time.process_time()
+    page = T.Page(source)
+    assert "x" in page.main_text() and time.process_time() - began < 3
