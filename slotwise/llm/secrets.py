@@ -4,15 +4,19 @@ Built-in SQL functions only. Spans come from cutting a text at a pattern: the le
 and of the matches, summed in turn, are the offsets (code points, end exclusive).
 
 * Base kinds: ``assign``, ``access`` and ``hex``, as fixed below.
-* ``markov``: unbroken runs of 16 or more of ``[A-Za-z0-9+/_=-]`` outside all base spans, scored by
-  the mean log-likelihood ratio per character step of two first-order character models.
+* ``markov``: unbroken runs of 12 or more of ``[A-Za-z0-9+/_=-]`` outside all base spans, scored by the
+  sum of the log-likelihood ratios of their character steps under two first-order character models.
+
+Both models are asked about a run within its own alphabet, the classes of characters that occur in it (lower case,
+upper case, digits, signs): a lower-case run is compared as random lower case with lower-case identifiers. The sum has
+to reach one threshold at every length, so a long run needs less evidence for each character than a short one.
 
 The models are trained from labelled samples. Random strings: the values of the base matches of the
-corpus (label given by the patterns), together with uniform pseudo-counts. Ordinary identifiers: words
-of 8 or more letters, digits and joiners outside the base spans that the models wouldn't be asked about.
-Both are taken from a bounded sample: about ``SAMPLE`` texts, by hash, of those with a base match, and
+corpus (label given by the patterns), together with uniform pseudo-counts. Ordinary identifiers: the runs of
+4 or more characters outside the base spans, long ones too, as they are, joined to their like by a sign or a
+capital, and, at ``CAPITALS`` of their weight, in capitals. Both are taken from a bounded sample: about ``SAMPLE`` texts, by hash, of those with a base match, and
 about ``SAMPLE`` of all; only the fit is bounded, every text is scanned whole. Counts are summed by Spark, and the
-ratio table (one number for each pair of 66 characters) travels as a literal.
+ratios (one number for each pair of 67 characters, one for each character and set of classes) travel as literals.
 
 Defined cases: null and empty texts have no span and the digest of the empty string; overlapping spans
 of different kinds are all reported; in ``redact`` they are merged; repeated rows get equal answers;
@@ -34,14 +38,15 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
-CANDIDATE = 16
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
-WORDLIKE = r"[A-Za-z0-9_-]{8,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+WORDLIKE = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")
 SAMPLE = 2000
-UNIFORM, PRIOR = 2000.0, 5.0
-THRESHOLD = 1.0  # mean log-likelihood ratio (natural log) per character step
-LEAST_CLASSES = 2  # of lower case, upper case and digits
+UNIFORM, PRIOR, CAPITALS = 2000.0, 5.0, 0.02
+PLAIN = 20.0  # pseudo-counts in identifiers for each pair of digits, as numbers have any, and for a sign repeated, as in rulers
+UNSEEN = 0.1  # share of any character whatever in identifiers, so a step can tell at most log 10
+THRESHOLD = 9.0  # sum of log-likelihood ratios (natural log): about one ordinary run in e ** 9 reaches it
 KINDS = ("assign", "access", "hex", "markov")
 
 EMPTY = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -116,31 +121,46 @@ def pair_counts(values: DataFrame) -> dict[int, int]:
     return {r.pair: r.n for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def ratio_table(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for each pair of neighbours.
+def class_of(place: int) -> int:
+    """Number of a character's class: 0 lower case, 1 upper case, 2 digits, 3 signs."""
+    c = ALPHABET[place]
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def ratio_tables(random: dict[int, int], ordinary: dict[int, int]) -> tuple[list[float], list[float]]:
+    """The ratios log P(b | a, random) - log P(b | a, ordinary) per pair, and what is taken off per (set of classes, a)
+    when both are asked within a run's own classes: the log ratio of the models' chances to stay in these.
 
     Random strings lean on the uniform distribution (``UNIFORM`` pseudo-counts for each first character, so the
     hex digits that prevail in the samples don't become a law); identifiers lean on how often each character
-    occurs in identifiers at all (``PRIOR`` pseudo-counts), so pairs they never show are unlikely, not unknown.
+    occurs in identifiers at all (``PRIOR`` pseudo-counts) and on any character (``UNSEEN``), so pairs they never
+    show are unlikely, not unknown. Numbers and rulers are ordinary (``PLAIN``).
     """
     k = len(ALPHABET)
-    ends = [sum(ordinary.get(a * k + b, 0) for a in range(k)) + 0.5 for b in range(k)]
-    whole = sum(ends)
-
-    row = lambda counts: [sum(counts.get(a * k + c, 0) for c in range(k)) for a in range(k)]
-    of_random, of_ordinary = row(random), row(ordinary)
-    table = []
+    known: dict[int, float] = dict(ordinary)
+    capital = [ALPHABET.index(c.upper()) for c in ALPHABET]
+    for pair, n in ordinary.items():
+        a, b = divmod(pair, k)
+        if class_of(a) == class_of(b) == 0:
+            loud = capital[a] * k + capital[b]
+            known[loud] = known.get(loud, 0) + CAPITALS * n
     for a in range(k):
         for b in range(k):
-            r = (random.get(a * k + b, 0) + UNIFORM / k) / (of_random[a] + UNIFORM)
-            o = (ordinary.get(a * k + b, 0) + PRIOR * ends[b] / whole) / (of_ordinary[a] + PRIOR)
-            table.append(round(math.log(r) - math.log(o), 6))
-    return table
-
-
-def is_candidate(value: Column) -> Column:
-    """Whether the models are asked about a run: long, and of more than one class of characters."""
-    return (F.length(value) >= CANDIDATE) & (classes(value) >= LEAST_CLASSES)
+            if class_of(a) == class_of(b) == 2 or a == b and class_of(a) == 3:
+                known[a * k + b] = known.get(a * k + b, 0) + PLAIN
+    ends = [sum(known.get(a * k + b, 0) for a in range(k)) + 0.5 for b in range(k)]
+    whole = sum(ends)
+    pairs, stays = [], [0.0] * (k << len(CLASSES))
+    for a in range(k):
+        of_random = sum(random.get(a * k + c, 0) for c in range(k)) + UNIFORM
+        of_known = sum(known.get(a * k + c, 0) for c in range(k)) + PRIOR
+        r = [(random.get(a * k + b, 0) + UNIFORM / k) / of_random for b in range(k)]
+        o = [UNSEEN / k + (1 - UNSEEN) * (known.get(a * k + b, 0) + PRIOR * ends[b] / whole) / of_known for b in range(k)]
+        pairs += [round(math.log(x) - math.log(y), 6) for x, y in zip(r, o, strict=True)]
+        for held in range(1, 1 << len(CLASSES)):
+            inside = [b for b in range(k) if held >> class_of(b) & 1]
+            stays[held * k + a] = round(math.log(sum(r[b] for b in inside)) - math.log(sum(o[b] for b in inside)), 6)
+    return pairs, stays
 
 
 def about(rows: DataFrame, n: int) -> DataFrame:
@@ -149,7 +169,13 @@ def about(rows: DataFrame, n: int) -> DataFrame:
     return rows if total <= n else rows.where(F.pmod("rank", F.lit(1 << 40)) < (n << 40) // total)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
+def joints(word: Column) -> Column:
+    """How the word meets its like in an identifier: by a sign, or by a capital."""
+    first, last = F.left(word, F.lit(1)), F.right(word, F.lit(1))
+    return F.array(*(F.concat(last, F.lit(c), first) for c in "_-/"), F.concat(last, F.upper(first)))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], list[float]]:
     """``docs`` has text. See the module's text for the two samples."""
     ranked = docs.select("text", F.xxhash64(F.lit("sample"), "text").alias("rank"))
     matched = kept(with_base(ranked).where(F.size("base") > 0).select("base", "rank"), "secrets-matched")
@@ -157,21 +183,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     random = about(matched, sample).select(F.explode(F.transform("base", value)).alias("value"))
     plain = with_base(about(ranked, sample))
     words = F.regexp_extract_all(outside(F.coalesce("text", F.lit("")), F.col("base")), F.lit(WORDLIKE), F.lit(0))
-    ordinary = plain.select(F.explode(F.filter(words, lambda w: ~is_candidate(w))).alias("value"))
-    return ratio_table(pair_counts(random), pair_counts(ordinary))
+    ordinary = plain.select(F.explode(F.concat(words, F.flatten(F.transform(words, joints)))).alias("value"))
+    return ratio_tables(pair_counts(random), pair_counts(ordinary))
 
 
 def classes(value: Column) -> Column:
-    """How many of lower case, upper case, digits a run holds."""
-    return sum((F.regexp_like(value, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
+    """The set of classes a run holds, one bit each."""
+    return sum((F.regexp_like(value, F.lit(p)).cast("int") * (1 << i) for i, p in enumerate(CLASSES)), F.lit(0))
+
+
+def score(value: Column, ratios: tuple[list[float], list[float]]) -> Column:
+    """Sum of the log-likelihood ratios of a run's steps, within its own classes."""
+    pairs, stays = (F.expr(f"array({', '.join(f'{x:f}D' for x in table)})") for table in ratios)
+    k = len(ALPHABET)
+    step = lambda s, p: F.struct((s["sum"] + F.get(pairs, p) - F.get(stays, s["held"] + F.floor(p / k).cast("int"))).alias("sum"), s["held"].alias("held"))
+    zero = F.struct(F.lit(0.0).alias("sum"), (classes(value) * k).alias("held"))
+    return F.aggregate(steps(value), zero, step, lambda s: s["sum"])
 
 
-def with_spans(found: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def with_spans(found: DataFrame, ratios: tuple[list[float], list[float]], threshold: float = THRESHOLD) -> DataFrame:
     """Adds spans: the base ones and the runs that the models call random."""
-    table = F.array(*(F.lit(x) for x in ratios))
-    score = lambda v: F.aggregate(steps(v), F.lit(0.0), lambda s, p: s + F.get(table, p)) / F.greatest(F.length(v) - 1, F.lit(1))
     free = outside(F.coalesce(F.col("text"), F.lit("")), F.col("base"))
-    runs = F.filter(spans_of(free, RUN, 3), lambda s: is_candidate(s["value"]) & (score(s["value"]) >= threshold))
+    runs = F.filter(spans_of(free, RUN, 3), lambda s: score(s["value"], ratios) >= threshold)
     return found.withColumn("spans", in_order(F.concat(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), runs)))
 
 

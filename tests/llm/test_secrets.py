@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import string
+
+from pyspark.sql import functions as F
 
 from slotwise.llm import secrets as S
 
@@ -53,6 +56,67 @@ def test_random_strings_are_told_from_identifiers(spark, docs):
     assert len([d for d in found if d < 10_000]) <= 2
 
 
+CLASSES = {
+    "lower": string.ascii_lowercase, "capitals": string.ascii_uppercase, "lower and digits": string.ascii_lowercase + string.digits,
+    "mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/",
+}
+
+
+def test_recall_per_class_and_length(spark, docs):
+    """Keys of one class and of 12 characters are found too; what the given documents say in words is left alone."""
+    rng = random.Random(11)
+    rows, kinds = [], {}
+    for kind, letters in CLASSES.items():
+        for n in (12, 14, 16, 24, 32):
+            for _ in range(60):
+                kinds[10_000 + len(rows)] = (kind, n)
+                rows.append((10_000 + len(rows), f"see {''.join(rng.choices(letters, k=n))} here"))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = S.with_spans(S.with_base(planted), S.fit(docs.select("text")))  # planted keys would be most of the sample of ordinary runs
+    found = {r.doc_id for r in scanned.collect() if r.spans}
+    for kind in CLASSES:
+        for n, least in ((12, 0.8), (14, 0.85), (16, 0.9), (24, 0.97), (32, 1)):
+            of_kind = [d for d, k in kinds.items() if k == (kind, n)]
+            assert sum(d in found for d in of_kind) >= least * len(of_kind), (kind, n)
+
+
+def test_ordinary_runs_are_left_alone(spark, docs):
+    """Each distinct long run of letters of the given documents, numbers, rulers, and names made of the documents' words."""
+    words = sorted({w for d in docs.collect() for w in re.findall("[A-Za-z]{12,}", d.text or "")})
+    short = sorted({w for d in docs.collect() for w in re.findall("[a-z]{4,9}", d.text or "")})
+    rng = random.Random(2)
+    names = ["_".join(rng.choices(short, k=4)) for _ in range(100)] + ["".join(w.capitalize() for w in rng.choices(short, k=4)) for _ in range(100)]
+    names += ["_".join(rng.choices(short, k=3)).upper() for _ in range(100)] + ["/".join(rng.choices(short, k=4)) for _ in range(100)]
+    numbers = ["".join(rng.choices("0123456789", k=13)) for _ in range(100)] + ["=" * 40, "-" * 13, "_" * 12, "0" * 12]
+    ratios = S.fit(docs.select("text"))
+    rows = spark.createDataFrame([(k, v) for k, of in (("words", words), ("names", names), ("numbers", numbers)) for v in of], "kind string, value string")
+    high = [(r.kind, r.value) for r in rows.where(S.score(F.col("value"), ratios) >= S.THRESHOLD).collect()]
+    assert len(words) > 200 and len(high) <= 2, high
+
+
+def test_scores_match_brute_force(spark, docs):
+    """The sum of log ratios, each model asked within the run's own classes of characters, in plain Python."""
+    counts = [{}, {}]
+    for at, values in enumerate((["aB3x", "9f8e7d", "Zz9+"], ["station", "The_end", "ab"])):
+        for v in values:
+            for a, b in zip(v, v[1:]):
+                pair = S.ALPHABET.index(a) * len(S.ALPHABET) + S.ALPHABET.index(b)
+                counts[at][pair] = counts[at].get(pair, 0) + 1
+    ratios = S.ratio_tables(*counts)
+    k = len(S.ALPHABET)
+    for value in ("station", "Qz7+x", "ABBA", "0011", "=", "==", "x_y"):
+        held = {S.class_of(S.ALPHABET.index(c)) for c in value}
+        mask = sum(1 << h for h in held)
+        want = 0.0
+        for a, b in zip(value, value[1:]):
+            i, j = S.ALPHABET.index(a), S.ALPHABET.index(b)
+            want += ratios[0][i * k + j] - ratios[1][mask * k + i]
+        [got] = spark.createDataFrame([(value,)], "value string").select(S.score(F.col("value"), ratios)).first()
+        assert abs(got - want) < 1e-9
+    everything = (1 << len(S.CLASSES)) - 1
+    assert all(abs(x) < 1e-5 for x in ratios[1][everything * k :])  # all classes: nothing is taken off
+
+
 def test_redaction(awkward, no_docs):
     out = S.redact(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
