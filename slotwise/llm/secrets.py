@@ -116,9 +116,9 @@ def outside(text: Column, spans: Column) -> Column:
 
 
 def pair_counts(values: DataFrame) -> dict[int, int]:
-    """Counts of character pairs of the column value: a bounded table, one row per pair."""
-    pairs = values.select(F.explode(steps(F.col("value"))).alias("pair")).where("pair >= 0")
-    return {r.pair: r.n for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Counts of character pairs of the column value, each value as often as ``n`` says: a bounded table, one row per pair."""
+    pairs = values.select("n", F.explode(steps(F.col("value"))).alias("pair")).where("pair >= 0")
+    return {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 def class_of(place: int) -> int:
@@ -183,8 +183,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[float], list[float]
     random = about(matched, sample).select(F.explode(F.transform("base", value)).alias("value"))
     plain = with_base(about(ranked, sample))
     words = F.regexp_extract_all(outside(F.coalesce("text", F.lit("")), F.col("base")), F.lit(WORDLIKE), F.lit(0))
-    ordinary = plain.select(F.explode(F.concat(words, F.flatten(F.transform(words, joints)))).alias("value"))
-    return ratio_tables(pair_counts(random), pair_counts(ordinary))
+    # Words are cut into pairs once per distinct word, not per occurrence.
+    counted = lambda values: values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ordinary = counted(plain.select(F.explode(words).alias("value")))
+    ordinary = ordinary.select("n", F.explode(F.concat(F.array("value"), joints(F.col("value")))).alias("value"))
+    return ratio_tables(pair_counts(counted(random)), pair_counts(ordinary))
 
 
 def classes(value: Column) -> Column:
