@@ -30,13 +30,19 @@ RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
-ATTRIBUTE = r"""\s*=\s*["']?"""
-# A tag that states its target before or after its kind.
-CANONICAL = r"""(?is)<link\b[^<>]*\brel""" + ATTRIBUTE + r"""canonical\b[^<>]*>"""
-REFRESH = r"""(?is)<meta\b[^<>]*\bhttp-equiv""" + ATTRIBUTE + r"""refresh\b[^<>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s<>]+)"""
-TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>]+)"""
-BASE = r"""(?is)<base\b[^<>]*\bhref\s*=\s*["']?([^"'\s<>]+)"""
+# Markup as a browser's tokenizer cuts it. Possessive quantifiers keep long tags off the regex stack; SQL takes the same patterns without.
+SPACE = r"[\t\n\f\r ]"
+REST = rf"""(?:[\t\n\f\r /](?:[^>=]++|={SPACE}*+"[^"]*+"|={SPACE}*+'[^']*+'|=)*+)?(?:>|\z)"""
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")  # elements that hold text, no tags
+# Comments, declarations and raw elements are passed over; group 1 is a tag that may state a link or the page's base.
+MARKUP = "(?is)" + "|".join((
+    r"<!--(?:-?>|.*?(?:--!?>|\z))", r"<[!?][^>]*+", *(rf"<{name}{REST}.*?(?:</{name}[\t\n\f\r />]|\z)" for name in RAW),
+    rf"(<(?:link|meta|base){REST})", rf"</?[a-z][^\t\n\f\r />]*+{REST}",
+))
+ATTRIBUTE = rf"""(?s)[^\t\n\f\r "'>/=][^\t\n\f\r >/=]*+(?:{SPACE}*+={SPACE}*+(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r "'>][^\t\n\f\r >]*+))?"""
+VALUE = rf"""(?s)^[^=]*={SPACE}*(?:"(.*)"|'(.*)'|([^"'].*))\z"""
+DELAYED = rf"""(?is)^{SPACE}*[0-9.]+(?:{SPACE}*[;,]{SPACE}*|{SPACE}+)(?:url{SPACE}*={SPACE}*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
+MAY_LINK = "(?i)canonical|refresh"
 SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"
 DOTS = r"(?s)/\.\.?(?:/|$)"
 
@@ -142,17 +148,54 @@ def _absolute(ref: Column, url: Column) -> Column:
     )
 
 
+def any_group(text: Column, pattern: str) -> Column:
+    """Whichever of a pattern's three alternative groups took part in its match."""
+    return F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))
+
+
+def link_tags(html: Column) -> Column:
+    """The ``link``, ``meta`` and ``base`` tags of a page, in order; none from comments, scripts, styles or quoted values."""
+    return F.filter(F.regexp_extract_all(html, F.lit(MARKUP), F.lit(1)), lambda t: F.endswith(t, F.lit(">")))
+
+
+def named(tag: Column, name: str) -> Column:
+    return F.regexp_like(tag, F.lit(rf"(?i)^<{name}[\t\n\f\r /]"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the tag's first attribute of that name, references decoded; null where it has none."""
+    own = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_like(a, F.lit(rf"(?i)^{name}{SPACE}*=")))
+    return bound(F.get(own, F.lit(0)), lambda a: decoded(any_group(a, VALUE)))
+
+
+def words_of(value: Column) -> Column:
+    return F.split(F.lower(value), rf"{SPACE}+", -1)
+
+
+def clean_target(target: Column) -> Column:
+    """A reference without the white space around it and the line breaks inside."""
+    return F.regexp_replace(F.regexp_replace(target, rf"^{SPACE}+|{SPACE}+\z", ""), r"[\t\n\r]", "")
+
+
+def stated_links(tags: Column) -> Column:
+    """Struct (base, targets): href of the first ``base`` that has one, and the references of canonical and refresh tags."""
+    based = F.get(F.filter(F.transform(F.filter(tags, lambda t: named(t, "base")), lambda t: attribute(t, "href")), lambda v: v.isNotNull()), F.lit(0))
+    canonical = F.filter(tags, lambda t: named(t, "link") & F.array_contains(words_of(attribute(t, "rel")), "canonical"))
+    refresh = F.filter(tags, lambda t: named(t, "meta") & F.array_contains(words_of(attribute(t, "http-equiv")), "refresh"))
+    targets = F.concat(
+        F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: any_group(attribute(t, "content"), DELAYED))
+    )
+    return F.struct(clean_target(based).alias("base"), F.transform(targets, clean_target).alias("targets"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Alias edges (a, b) between nodes that the pages' own canonical and refresh tags state; targets are resolved
-    against the page's first ``<base href>``, else against its URL."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
-    refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, TARGET, 1))
-    stated = pages.where(F.regexp_like(html, F.lit(CANONICAL)) | F.regexp_like(html, F.lit(REFRESH)))
-    based = F.regexp_extract(html, BASE, 1)
-    base = F.coalesce(F.when(based != "", absolute(decoded(based), F.col("url"))), F.col("url"))
-    links = stated.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
-    return links.select(node_of(F.col("url")).alias("a"), bound(absolute(decoded(F.col("target")), F.col("base")), node_of).alias("b")).where("a is not null and b is not null")
+    against the page's first ``<base href>``, else against its URL. Of equal attributes of a tag the first holds, ``rel`` is a
+    list of words, and an empty or missing target states nothing."""
+    said = pages.where(F.regexp_like("html", F.lit(MAY_LINK))).select("url", bound(link_tags(F.col("html")), stated_links).alias("said"))
+    base = F.coalesce(F.when(F.col("said.base") != "", absolute(F.col("said.base"), F.col("url"))), F.col("url"))
+    links = said.select("url", base.alias("base"), F.explode("said.targets").alias("target")).where("target <> ''")
+    return links.select(node_of(F.col("url")).alias("a"), bound(absolute(F.col("target"), F.col("base")), node_of).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -175,7 +218,24 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
-SQL = """
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("*+", "*").replace("++", "+").replace("'", "''") + "'"
+
+
+def _sql_group(text: str, pattern: str) -> str:
+    return "(" + " || ".join(f"regexp_extract({text}, {_literal(pattern)}, {i})" for i in (1, 2, 3)) + ")"
+
+
+def _sql_attribute(name: str) -> str:
+    own = f"list_filter(regexp_extract_all(tag, {_literal(ATTRIBUTE)}), lambda a: regexp_matches(a, {_literal(rf'(?i)^{name}{SPACE}*=')}))[1]"
+    return f"replace({_sql_group(own, VALUE)}, '&amp;', '&')"
+
+
+def _sql_words(name: str) -> str:
+    return f"string_split_regex(lower({_sql_attribute(name)}), {_literal(SPACE + '+')})"
+
+
+SQL = rf"""
 with cut as (
   select row_number() over () as n, page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages
 ), pages2 as (
@@ -190,10 +250,14 @@ with cut as (
   group by all
 ), nodes as (
   select *, case when contains(url, '://') then host || regexp_replace(substr(substr(url, strpos(url, '://') + 3), length(host) + 1), '(?s)#.*$', '') end as node from fits
+), tags as (
+  select node, unnest(regexp_extract_all(html, {_literal(MARKUP)}, 1)) as tag from nodes where regexp_matches(html, {_literal(MAY_LINK)})
 ), stated as (
-  select node, url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\\b[^<>]*\\brel\\s*=\\s*["'']?canonical\\b[^<>]*>')), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s<>]+)', 1) as target from nodes
+  select node, {_sql_attribute('href')} as target from tags
+  where regexp_matches(tag, '(?i)^<link[\t\n\f\r /]') and ends_with(tag, '>') and list_contains({_sql_words('rel')}, 'canonical')
   union all
-  select node, url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\\b[^<>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^<>]*>')), '(?is)\\bcontent\\s*=\\s*["'']?[^"''<>]*?\\burl\\s*=\\s*["'']?([^"''\\s<>;]+)', 1) from nodes
+  select node, {_sql_group(_sql_attribute('content'), DELAYED)} from tags
+  where regexp_matches(tag, '(?i)^<meta[\t\n\f\r /]') and ends_with(tag, '>') and list_contains({_sql_words('http-equiv')}, 'refresh')
 ), links as (
   select node as a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_replace(regexp_extract(target, '(?s)^.*?://[^/?#]*(.*)$', 1), '(?s)#.*$', '') as b

@@ -84,3 +84,35 @@ def test_relative_links_carry_blocks(spark):
     ]
     got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(1, 8)] == ["block"] * 5 + ["allow"] * 2
+
+
+# Where a canonical link does (True) or doesn't (False) state an edge.
+STATED = {
+    '<link rel="alternate canonical" href="{}">': True, '<link title="a>b" rel=canonical href={}>': True, '<link data-href="http://x.net/" rel="canonical" href="{}">': True,
+    "<LINK\nHREF = '{}'\nREL = 'Canonical\tnofollow'/>": True, '<link rel="canonical" href="{}" href="http://x.net/">': True, '<!-- a --><link href="  {}\n" rel=canonical>': True,
+    '<!--><link rel="canonical" href="{}">': True, "<script>var a = '<!--';</script><link rel=canonical href={}>": True, '<style>a > b</style ><link rel="canonical" href="{}">': True,
+    '<a title="<!--">x</a><link rel="canonical" href="{}">': True, '<meta content="3,url=\'{}\'" http-equiv=refresh>': True, "<meta http-equiv='refresh' content='0;{}'>": True,
+    '<!-- <link rel="canonical" href="{}"> -->': False, '<!-- <link rel="canonical" href="{}">': False, "<script>s = '<link rel=\"canonical\" href=\"{}\">';</script>": False,
+    '<style><link rel="canonical" href="{}">': False, '<a title=\'<link rel="canonical" href="{}">\'>x</a>': False, '<link rel="canonical" data-href="{}">': False,
+    '<link rel="canonicals" href="{}">': False, '<link title=\'rel="canonical"\' href="{}">': False, '<links rel="canonical" href="{}">': False, '<link rel="canonical" href="{}"': False,
+    '<link rel="icon" rel="canonical" href="{}">': False, '<textarea><link rel="canonical" href="{}"></textarea>': False, '<meta name="refresh" content="0;url={}">': False,
+    '<link rel="canonical" href="">{}': False, '<meta http-equiv="refresh" content="30">{}': False, '<link rel="canonical" title="href={}">': False,
+}
+
+
+def test_links_in_awkward_markup(spark):
+    """Tags are read as a browser reads them, in Spark and in SQL; very long tags, values and comments too."""
+    import duckdb
+
+    bad, long = "http://bad.com/de/x", "y" * 300_000
+    cases = list(STATED.items()) + [
+        (f'<p title="{long}">' + "<a b=c>" * 50_000 + f"<!--{long}--><link {'d=1 ' * 20_000}rel=canonical href={{}}>", True),
+        (f"<script>{long}<link rel=canonical href={{}}>", False),
+    ]
+    rows = [(i, f"http://p{i}.net/", html.format(bad)) for i, (html, _) in enumerate(cases)] + [(len(cases), bad, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "block" if stated else "allow" for i, (_, stated) in enumerate(cases)} | {len(cases): "block"}
+    assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == want
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert {r[0]: r[-1] for r in con.execute(U.SQL).fetchall()} == want
