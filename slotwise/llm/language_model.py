@@ -5,9 +5,11 @@ the hashes, so the vocabulary itself is one monotone sequence. The trie has a le
 holds the vocabulary, level k the children of every node of level k-1. Children of a node are found by
 two monotone pointers and a successor search for (node's place x vocabulary + word), which is relative
 to its context. Levels are cut into files by ranges of their nodes (all children of a node stay
-together; there are at most as many as words). Each file is built by one task in one pass over sorted
-rows, lies in the shared folder, and is memory-mapped by the tasks that use it: processes of a machine
-share its pages, and nothing of the model passes through the driver but the list of files.
+together; there are at most as many as words). N-grams are counted once per task, packed, and dealt by ranges
+of their contexts, which are cut from the counts of the level above, so the task that adds up a range holds
+it in order and writes its files at once. Files lie in the shared folder and are memory-mapped by the tasks
+that use them: processes of a machine share their pages. Through the driver pass the list of files and
+about four cut points for each range of ``BUCKET`` tokens.
 
 Probabilities are interpolated absolute discounting: for a context h with count N(h) and kept
 children c, p(w|h) = max(c - D, 0) / N(h) + (1 - sum(c - D) / N(h)) p(w|h'), down to the unigram
@@ -19,7 +21,7 @@ A text is words and one end token; the end token is also the context of the firs
 Defined cases: null and blank texts are the end token alone; unknown words have count 0; without
 training rows every token has probability 1 under the unigram formula (V = N = 0), so scores are 0;
 repeated rows count as often as they occur; a null doc_id hashes like the empty text; extra columns
-are ignored; two words with equal 64-bit hashes would be one word.
+are ignored; two words with equal 64-bit hashes would be one word; more than 3e9 distinct words are an error.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ ORDER = 3
 MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD = 1 << 20  # entries of a file, beyond the end of a node's children
-PAIRS = 1 << 19
-BUCKETS_PER_TASK = 4
+PAIRS = 1 << 19  # n-grams a task adds up at once
+BUCKET = 1 << 20  # training tokens of a range of contexts, but for single contexts that hold more
+MOST_WORDS = 3_000_000_000  # a context of two words is one signed 64-bit number
 SCALE = 2048.0
 END = "\x20"  # no word can hold a blank
 
@@ -144,12 +147,12 @@ class Level:
             scalars, arrays = load(self.files[k][2])
             self.open[k] = (
                 scalars["nodes"], sequence_of("pointer", scalars, arrays), sequence_of("key", scalars, arrays),
-                arrays["p"], arrays["backoff"], arrays["count"],
+                arrays["p"], arrays["backoff"], sequence_of("mass", scalars, arrays) if "mass" in scalars else None,
             )
         return self.open[k]
 
-    def look_up(self, node: np.ndarray, word: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(child's number or -1, its log10 p or count, log10 of the context's backoff weight).
+    def look_up(self, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(child's number or -1, its log10 p, log10 of the context's backoff weight).
 
         A node below 0 has no children and weight 1."""
         child, value, backoff = np.full(len(node), -1, np.int64), np.zeros(len(node)), np.zeros(len(node))
@@ -158,7 +161,7 @@ class Level:
         owner = np.searchsorted(self.firsts, node, side="right") - 1
         for k in np.unique(owner[owner >= 0]):
             mine = np.flatnonzero(owner == k)
-            nodes, pointer, key, p, weight, count = self._file(int(k))
+            nodes, pointer, key, p, weight, _ = self._file(int(k))
             local = node[mine] - self.firsts[k]
             mine, local = mine[local < nodes], local[local < nodes]
             lo, hi = pointer.get(local).astype(np.int64), pointer.get(local + 1).astype(np.int64)
@@ -170,21 +173,18 @@ class Level:
             at = key.find(local.astype(np.uint64) * np.uint64(self.vocabulary) + word[mine].astype(np.uint64), lo, hi)
             hit = at >= 0
             child[mine[hit]] = at[hit] + self.starts[k]
-            value[mine[hit]] = count[at[hit]] if counts else p[at[hit]] / -SCALE
+            value[mine[hit]] = p[at[hit]] / -SCALE
         return child, value, backoff
 
-
-    def entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(last word, count) of the n-grams with these numbers."""
-        word, n = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """How often the n-grams with these numbers occur; the last level doesn't keep this."""
+        n = np.zeros(len(numbers), np.int64)
         owner = np.searchsorted(self.starts, numbers, side="right") - 1
         for k in np.unique(owner):
             mine = np.flatnonzero(owner == k)
-            _, _, key, _, _, count = self._file(int(k))
-            at = numbers[mine] - self.starts[k]
-            word[mine] = (key.get(at) % np.uint64(self.vocabulary)).astype(np.int64)
-            n[mine] = count[at]
-        return word, n
+            mass, at = self._file(int(k))[5], numbers[mine] - self.starts[k]
+            n[mine] = mass.get(at + 1).astype(np.int64) - mass.get(at).astype(np.int64)
+        return n
 
 
 class Model:
@@ -205,19 +205,6 @@ class Model:
             cls._held[name] = cls(spec)
         return cls._held[name]
 
-    def contexts(self, ids: np.ndarray, fresh: np.ndarray, depth: int) -> list[np.ndarray]:
-        """Nodes of the words before each token, by length 1..depth; -1 where there is none. ``fresh`` marks first tokens."""
-        end = self.vocabulary.number(np.array([self.end], np.int64))[0][0]
-        one = np.r_[np.int64(-1), ids[:-1]]
-        one[fresh] = end
-        found = [one]
-        for level in self.levels[: depth - 1]:
-            shorter = np.r_[np.int64(-1), found[-1][:-1]]
-            shorter[fresh] = -1
-            node, _, _ = level.look_up(shorter, one)
-            found.append(node)
-        return found
-
     def log_p(self, ids: np.ndarray, counts: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """log10 p of each token, longest known context first, backing off as it must."""
         p = self.vocabulary.log_p(counts)
@@ -239,31 +226,53 @@ def tokens_of(text) -> object:
     return F.concat(F.transform(word_array(lower_ascii(text)), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
 
 
-def _files(rows: DataFrame) -> list[tuple[int, int, str]]:
-    """The list of files a build returns: one row for each ``SHARD`` entries or partition."""
-    return [(r["first"], r["n"], r["uri"]) for r in rows.select("first", "n", "uri").collect()]
-
+BUILT = "first decimal(20,0), n long, uri string, places array<long>, masses array<long>"
 
-BUILT = "first decimal(20,0), n long, uri string"
 
-
-def _built(first: int, n: int, uri: str) -> pa.RecordBatch:
+def _built(first: int, n: int, uri: str, places: np.ndarray, masses: np.ndarray) -> pa.RecordBatch:
     import decimal
 
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (places, masses)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([decimal.Decimal(first)], pa.decimal128(20, 0)), pa.array([n], pa.int64()), pa.array([uri], pa.string())], names=["first", "n", "uri"]
+        [pa.array([decimal.Decimal(first)], pa.decimal128(20, 0)), pa.array([n], pa.int64()), pa.array([uri], pa.string()), *lists],
+        names=["first", "n", "uri", "places", "masses"],
     )
 
 
-def build_vocabulary(counts: DataFrame, folder: str) -> list[tuple[int, int, str]]:
-    """``counts`` has token (hash) and n."""
+def pieces(n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and masses of runs of entries that hold about ``step`` tokens each."""
+    before = np.cumsum(n) - n
+    starts = np.flatnonzero(np.diff(before // step, prepend=-1)) if len(n) else np.empty(0, np.int64)
+    return starts, np.add.reduceat(n, starts) if len(n) else np.empty(0, np.int64)
+
+
+def ranges(places: np.ndarray, masses: np.ndarray, buckets: int) -> np.ndarray:
+    """The places at which ``buckets`` ranges of about equal mass begin, the first left out."""
+    before = np.cumsum(masses) - masses
+    bucket = before * buckets // max(int(masses.sum()), 1)
+    return places[1:][np.diff(bucket) > 0] if len(places) else places
+
+
+def _files(rows: DataFrame, counted: bool) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray]:
+    """What a build returns, in order: the list of files, and places and masses of their pieces."""
+    found = sorted(rows.collect(), key=lambda r: r["first"])
+    files = [(int(r["first"]), r["n"], r["uri"]) for r in found]
+    starts = np.cumsum([0] + [n for _, n, _ in files]) if counted else np.zeros(len(files) + 1, np.int64)
+    places = [np.array(r["places"], np.int64) + start for r, start in zip(found, starts, strict=False)]
+    masses = [np.array(r["masses"], np.int64) for r in found]
+    empty = [np.empty(0, np.int64)]
+    return files, np.concatenate(empty + places), np.concatenate(empty + masses)
+
+
+def build_vocabulary(counts: DataFrame, folder: str, step: int) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray]:
+    """``counts`` has token (hash) and n. Places are numbers of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, n = np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def write(h, c):
             scalars, arrays = sequence("hash", EliasFano.of(h, 1 << 64))
-            return _built(int(h[0]), len(h), save(folder, scalars, arrays | {"count": c}))
+            return _built(int(h[0]), len(h), save(folder, scalars, arrays | {"count": c}), *pieces(c, step))
 
         for batch in batches:
             hashes = np.concatenate([hashes, batch["token"].to_numpy(zero_copy_only=False).view(np.uint64)])
@@ -276,67 +285,77 @@ def build_vocabulary(counts: DataFrame, folder: str) -> list[tuple[int, int, str
 
     unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     ordered = counts.repartitionByRange(unsigned).sortWithinPartitions(unsigned)
-    files = kept(ordered.mapInArrow(run, BUILT), "lm-vocabulary-files")
-    return [(int(a), n, u) for a, n, u in _files(files)]
+    return _files(kept(ordered.mapInArrow(run, BUILT), "lm-vocabulary-files"), True)
+
 
+def build_level(
+    packs: DataFrame, spec: dict, folder: str, step: int, discount: float, min_count: int, last: bool
+) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray]:
+    """``packs`` has packed (context, word, n), each partition a range of contexts; spec holds the levels above.
 
-def build_level(grams: DataFrame, spec: dict, folder: str, discount: float) -> list[tuple[int, int, str]]:
-    """``grams`` has node (of the level above), word and n; spec holds the levels above."""
+    A context is the number of its one word, or first word x vocabulary + second word; both ascend as nodes do.
+    Places are contexts of the next order."""
     depth = len(spec["levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.held(spec)
         words = model.vocabulary
 
-        def write(node, word, n, parents, weights):
+        def write(context, word, n):
+            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            sizes = np.diff(np.r_[starts, len(context)])
+            lower = words.log_p(words.counts(word))
+            if depth == 0:
+                node, total = context[starts], words.counts(context[starts])
+            else:
+                above = model.levels[0]
+                node = above.look_up(*np.divmod(context[starts], words.size))[0]
+                total = above.counts(node)
+                found, value, backoff = above.look_up(context % words.size, word)
+                lower = np.where(found >= 0, value, backoff + lower)
             first = int(node[0])
             local = node - first
             nodes = int(local[-1]) + 1
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            pointer = np.searchsorted(local, np.arange(nodes + 1))
-            total = weights[starts].astype(float)
-            kept_mass = np.add.reduceat(n - discount, starts)
-            rest = np.maximum(1 - kept_mass / total, 1e-9)
-            per_row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
-            p = (n - discount) / total[per_row] + rest[per_row] * 10 ** parents
+            pointer = np.zeros(nodes + 1, np.int64)
+            pointer[local + 1] = sizes
+            rest = np.maximum(1 - np.add.reduceat(n - discount, starts) / total, 1e-9)
+            p = (n - discount) / np.repeat(total, sizes) + np.repeat(rest, sizes) * 10 ** lower
             backoff = np.zeros(nodes, np.uint16)
-            backoff[local[starts]] = quantised(np.log10(rest))
-            key = EliasFano.of(local.astype(np.uint64) * np.uint64(words.size) + word.astype(np.uint64), nodes * words.size)
-            s1, a1 = sequence("pointer", EliasFano.of(pointer.astype(np.uint64), len(node) + 1))
-            s2, a2 = sequence("key", key)
-            arrays = a1 | a2 | {"p": quantised(np.log10(p)), "backoff": backoff, "count": n.astype(np.int64)}
-            return _built(first, len(node), save(folder, {"nodes": nodes} | s1 | s2, arrays))
-
-        def lower(batch):
-            """log10 p of the lower order, and the context's own count, for each row."""
-            node, word = (batch[c].to_numpy(zero_copy_only=False) for c in ("node", "word"))
-            p = words.log_p(words.counts(word))
-            if depth == 0:
-                return p, words.counts(node)
-            context, count = model.levels[0].entries(node)
-            found, value, backoff = model.levels[0].look_up(context, word)
-            return np.where(found >= 0, value, backoff + p), count
-
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3 + [np.empty(0)] + [np.empty(0, np.int64)]
+            backoff[local] = quantised(np.log10(rest))
+            key = np.repeat(local, sizes).astype(np.uint64) * np.uint64(words.size) + word.astype(np.uint64)
+            s1, a1 = sequence("pointer", EliasFano.of(np.cumsum(pointer).astype(np.uint64), len(word) + 1))
+            s2, a2 = sequence("key", EliasFano.of(key, nodes * words.size))
+            s3, a3 = ({}, {}) if last else sequence("mass", EliasFano.of(np.cumsum(np.r_[0, n]).astype(np.uint64), int(n.sum()) + 1))
+            uri = save(folder, {"nodes": nodes} | s1 | s2 | s3, a1 | a2 | a3 | {"p": quantised(np.log10(p)), "backoff": backoff})
+            if last:
+                return _built(first, len(word), uri, np.empty(0, np.int64), np.empty(0, np.int64))
+            at, masses = pieces(n, step)
+            return _built(first, len(word), uri, context[at] * words.size + word[at], masses)
+
+        table, parts, size = np.empty((3, 0), np.int64), [], 0
         for batch in batches:
-            p, count = lower(batch)
-            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("node", "word", "n")] + [p, count]
-            held = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
-            while len(held[0]) > SHARD and held[0][-1] != held[0][SHARD]:
-                cut = int(np.searchsorted(held[0], held[0][SHARD], side="right"))
-                yield write(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield write(*held)
-
-    ordered = grams.repartitionByRange("node").sortWithinPartitions("node", "word")
-    files = kept(ordered.mapInArrow(run, BUILT), f"lm-level-{depth + 2}-files")
-    return [(int(a), n, u) for a, n, u in _files(files)]
+            for data in batch["grams"]:
+                parts.append(unpack(data.as_py()))
+                size += parts[-1].shape[1]
+                if size >= 2 * PAIRS + table.shape[1]:  # memory goes by the distinct n-grams of the range, not by the packs
+                    table, parts, size = np.stack(summed(*np.concatenate([table, *parts], axis=1))), [], 0
+        if size + table.shape[1]:
+            table = np.stack(summed(*np.concatenate([table, *parts], axis=1)))
+        table = table[:, table[2] >= min_count]
+        at, n = 0, table.shape[1]
+        while at < n:
+            end = min(at + SHARD, n)
+            end = int(np.searchsorted(table[0], table[0, end - 1], side="right"))
+            yield write(*table[:, at:end])
+            at = end
+
+    return _files(kept(packs.mapInArrow(run, BUILT), f"lm-level-{depth + 2}-files"), False)
 
 
 def coded(docs: DataFrame, spec: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and the word numbers of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    narrow = sum(n for _, n, _ in spec["vocabulary"]) < 1 << 31
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Model.held(spec).vocabulary
@@ -349,20 +368,20 @@ def coded(docs: DataFrame, spec: dict) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 base = np.add.reduceat(words.log_p(counts), starts)
                 known = np.add.reduceat((counts > 0).astype(np.int64), starts)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(numbers)]]).astype(np.int32)), pa.array(numbers))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(numbers)]]).astype(np.int32)), pa.array(numbers.astype(np.int32) if narrow else numbers))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"], batch["held_out"], pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), ids],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"],
                 )
 
     tokens = docs.select("doc_id", "held_out", tokens_of(F.col("text")).alias("tokens"))
-    return tokens.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids array<long>")
+    return tokens.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids array<{'int' if narrow else 'long'}>")
 
 
 def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all numbers, first places, marks of first places); lists are never empty, as each has an end token."""
     offsets = lists.offsets.to_numpy()
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     starts = (offsets[:-1] - offsets[0]).astype(np.int64)
     fresh = np.zeros(len(ids), bool)
     fresh[starts] = True
@@ -394,30 +413,22 @@ def summed(node: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return node[starts], word[starts], np.add.reduceat(n, starts)
 
 
-def grams_of(coded_rows: DataFrame, spec: dict, order: int, min_count: int) -> DataFrame:
-    """(node, word, n): all training n-grams of an order that occur ``min_count`` times.
-
-    Each task adds up what it reads and ships it packed, a few bytes for an n-gram, dealt by a hash of the
-    n-gram over ``BUCKETS_PER_TASK`` buckets for each shuffle partition; a bucket is unpacked and added up at
-    once, so its memory is set by the number of partitions.
-    """
-    buckets = BUCKETS_PER_TASK * int(coded_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def grams_of(coded_rows: DataFrame, spec: dict, order: int, cuts: np.ndarray) -> DataFrame:
+    """Packed (context, word, n) of all training n-grams of an order, partition k holding the contexts from
+    ``cuts[k - 1]`` up to ``cuts[k]``. Each task adds up what it reads and ships a few bytes for an n-gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.held(spec)
+        words = Model.held(spec).vocabulary
+        end = int(words.number(np.array([spec["end"]], np.int64))[0][0])
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            node, word, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)), np.ones(size, np.int64))
-            mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            node, word, n, bucket = node[by], word[by], n[by], bucket[by]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(bucket)]
-            packs = [pack(node[a:b], word[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packs, pa.binary())], names=["bucket", "grams"])
+            context, word, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)), np.ones(size, np.int64))
+            bounds = np.r_[0, np.searchsorted(context, cuts), len(context)]
+            full = np.flatnonzero(np.diff(bounds))
+            packs = [pack(*(x[bounds[k] : bounds[k + 1]] for x in (context, word, n))) for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "grams"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
@@ -425,13 +436,17 @@ def grams_of(coded_rows: DataFrame, spec: dict, order: int, min_count: int) -> D
                 for part in range(0, len(ids), PAIRS):
                     # a slice in the middle of a text keeps the words before it as context
                     back = min(part, order)
-                    some, marks = ids[part - back : part + PAIRS], fresh[part - back : part + PAIRS].copy()
-                    contexts = model.contexts(some, marks, order - 1)
-                    node, last, word = contexts[-1][back:], contexts[0][back:], some[back:]
-                    use = (node >= 0) & (word >= 0)
-                    if order > 2 and min_count > 1:  # an n-gram can't be frequent if its own end isn't
-                        use[use] = model.levels[0].look_up(last[use], word[use])[0] >= 0
-                    held.append((node[use], word[use]))
+                    word, marks = ids[part - back : part + PAIRS], fresh[part - back : part + PAIRS]
+                    before = np.r_[np.int64(-1), word[:-1]]
+                    before[marks] = end
+                    context = before
+                    if order > 2:
+                        context = np.r_[np.int64(-1), before[:-1]] * words.size + before
+                        context[marks] = -1
+                        context[:1] = -1
+                    context, word = context[back:], word[back:]
+                    use = context >= 0
+                    held.append((context[use], word[use]))
                     size += len(held[-1][0])
                     if size >= PAIRS:
                         yield out()
@@ -439,26 +454,8 @@ def grams_of(coded_rows: DataFrame, spec: dict, order: int, min_count: int) -> D
         if size:
             yield out()
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts = None, []
-
-        def out():
-            node, word, n = summed(*np.concatenate([unpack(x) for x in parts], axis=1))
-            often = n >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(c[often]) for c in (node, word, n)], names=["node", "word", "n"])
-
-        for batch in batches:
-            for bucket, data in zip(batch["bucket"].to_pylist(), batch["grams"], strict=True):
-                if bucket != current and parts:
-                    yield out()
-                    parts = []
-                current = bucket
-                parts.append(data.as_py())
-        if parts:
-            yield out()
-
-    packs = coded_rows.where("not held_out").select("ids").mapInArrow(count, "bucket long, grams binary")
-    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "node long, word long, n long")
+    packs = coded_rows.where("not held_out").select("ids").mapInArrow(count, "bucket int, grams binary")
+    return packs.repartitionById(len(cuts) + 1, "bucket").select("grams")
 
 
 def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> tuple[dict, DataFrame]:
@@ -474,11 +471,17 @@ def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discoun
     counts = kept(counts, "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
-    spec = {"vocabulary": build_vocabulary(counts, folder), "levels": [], "total": total, "end": end}
+    buckets = max(spark.sparkContext.defaultParallelism, total // BUCKET + 1)
+    step = max(1, total // (4 * buckets))
+    files, places, masses = build_vocabulary(counts, folder, step)
+    if sum(n for _, n, _ in files) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} distinct words")
+    spec = {"vocabulary": files, "levels": [], "total": total, "end": end}
     rows = kept(coded(docs, spec), "lm-coded")
     for k in range(2, order + 1):
-        grams = grams_of(rows, spec, k, min_count)
-        spec = spec | {"levels": [*spec["levels"], build_level(grams, spec, folder, discount)]}
+        packs = grams_of(rows, spec, k, ranges(places, masses, buckets))
+        files, places, masses = build_level(packs, spec, folder, step, discount, min_count, k == order)
+        spec = spec | {"levels": [*spec["levels"], files]}
     return spec, rows
 
 

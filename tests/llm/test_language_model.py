@@ -85,6 +85,7 @@ def test_many_small_files_give_the_same_scores(spark, docs, monkeypatch):
     some = docs.where("n_chars < 3000")
     monkeypatch.setattr(M, "SHARD", 300)
     monkeypatch.setattr(M, "PAIRS", 777)
+    monkeypatch.setattr(M, "BUCKET", 1000)
     check(M.report(some).collect(), {r.doc_id: r.text for r in some.collect()})
 
 
@@ -102,6 +103,16 @@ def test_packed_counts_come_back():
     assert all((a == b).all() for a, b in zip(M.unpack(M.pack(node, word, n)), (node, word, n)))
 
 
+def test_ranges_are_even_and_in_order():
+    n = np.r_[np.ones(1000, np.int64), 5000, np.ones(1000, np.int64)]
+    starts, masses = M.pieces(n, 50)
+    assert starts[0] == 0 and masses.sum() == n.sum() and (np.diff(starts) > 0).all()
+    cuts = M.ranges(starts, masses, 14)
+    sums = [part.sum() for part in np.split(n, cuts)]
+    assert (np.diff(cuts) > 0).all() and sum(x > 1100 for x in sums) == 1 and len(sums) >= 5
+    assert len(M.ranges(*M.pieces(np.empty(0, np.int64), 1), 8)) == 0
+
+
 def test_awkward_rows(awkward, no_docs):
     rows = M.report(awkward).collect()
     assert len(rows) == awkward.count() and all(r.n_tokens == 1 for r in rows if r.doc_id in (2, 3, 4))
