@@ -1,7 +1,7 @@
 """Elias-Fano sequences over numpy arrays: monotone numbers in about 2 + log2(range / count) bits each.
 
 A number is split into low bits, packed, and a high part, written in unary into a bit vector with a
-small directory. All queries take arrays of positions or values and work without a loop per element.
+directory of counts before each of its words. All queries take arrays of positions or values and work without a loop per element.
 """
 
 from __future__ import annotations
@@ -10,8 +10,34 @@ import numpy as np
 
 U = np.uint64
 LOW_MASKS = [U((1 << k) - 1) for k in range(65)]
-BLOCK = 8  # words of the bit vector per entry of its directory
 CHUNK = 1 << 15
+NEAR = 4  # a range of at most so many positions is compared value by value
+# Byte-wise arithmetic inside a 64-bit word: ones, high bits, and bit masks for the counts of bits.
+EACH, TOP = U(0x0101010101010101), U(0x8080808080808080)
+TWOS, FOURS, HALVES = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
+
+
+def _places_in_bytes() -> np.ndarray:
+    """[byte * 8 + k]: place of the k-th one in a byte (0 where it has fewer)."""
+    table = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        places = [i for i in range(8) if byte >> i & 1]
+        table[byte, : len(places)] = places
+    return table.ravel()
+
+
+IN_BYTE = _places_in_bytes()
+
+
+def _place_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each word: its byte by sums over the bytes before, then by table."""
+    sums = word - ((word >> U(1)) & TWOS)
+    sums = (sums & FOURS) + ((sums >> U(2)) & FOURS)
+    sums = ((sums + (sums >> U(4))) & HALVES) * EACH  # byte i: ones in bytes 0..i
+    k = k.astype(U)
+    byte = np.bitwise_count((((k * EACH) | TOP) - sums) & TOP).astype(U) << U(3)  # 8 x bytes whose sum is at most k
+    k -= ((sums << U(8)) >> byte) & U(255)
+    return byte.astype(np.int64) + IN_BYTE[((((word >> byte) & U(255)) << U(3)) | k).astype(np.int64)]
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,11 +70,11 @@ class EliasFano:
         top = (values >> U(width)) if width < 64 else np.zeros(n, U)
         at = top + np.arange(n, dtype=U)
         size = int(at[-1]) + 1 if n else 0
-        size = ((size + 1 + (universe >> width) - (int(top[-1]) if n else 0)) // 64 + 1 + BLOCK) // BLOCK * BLOCK + BLOCK
+        size = (size + 1 + (universe >> width) - (int(top[-1]) if n else 0)) // 64 + 2
         high = np.zeros(size, U)
         np.bitwise_or.at(high, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
-        counts = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(axis=1)
-        ones = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        ones = ones.astype(np.int32 if n < 1 << 31 and size < 1 << 25 else np.int64)
         return EliasFano(n, width, {"low": low, "high": high, "ones": ones})
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -70,33 +96,22 @@ class EliasFano:
             directory = self.ones
         else:
             if self.zeros is None:
-                self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK) - self.ones
+                self.zeros = (np.arange(len(self.ones), dtype=self.ones.dtype) << 6) - self.ones
             directory = self.zeros
-        block = np.searchsorted(directory, k, side="right") - 1
-        left = k - directory[block]
-        word = block * BLOCK
-        found = np.zeros(len(k), U)
-        open_ = np.arange(len(k))
-        for _ in range(BLOCK):
-            bits = self.high[word[open_]]
-            bits = bits if ones else ~bits
-            count = np.bitwise_count(bits).astype(np.int64)
-            here = left[open_] < count
-            found[open_[here]] = bits[here]
-            open_, count = open_[~here], count[~here]
-            if not len(open_):
-                break
-            left[open_] -= count
-            word[open_] += 1
-        place = word * 64
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(found & LOW_MASKS[half]).astype(np.int64)
-            over = left >= count
-            left -= np.where(over, count, 0)
-            step = np.where(over, half, 0)
-            found >>= step.astype(U)
-            place += step
-        return place
+        word = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
+        bits = self.high[word]
+        return word * 64 + _place_in_word(bits if ones else ~bits, k - directory[word])
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions i and i + 1: the second one bit is sought only where the word of the first holds no other."""
+        at = self._select(i, True)
+        word = at >> 6
+        rest = self.high[word] & ~((U(2) << (at & 63).astype(U)) - U(1))
+        after = (word << 6) + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, True)
+        low = [self._low(i), self._low(i + 1)]
+        return tuple((((a - b).astype(U) << U(self.width)) | x).astype(np.int64) for a, b, x in zip((at, after), (i, i + 1), low, strict=True))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions, as int64 where they fit."""
@@ -108,9 +123,21 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
-        for at in range(0, len(x), CHUNK):
-            part = slice(at, at + CHUNK)
-            out[part] = self._find(x[part].astype(U), None if lo is None else lo[part], None if hi is None else hi[part])
+        x = x.astype(U)
+        wide = np.arange(len(x))
+        if lo is not None:
+            small = hi - lo <= NEAR
+            for step in range(NEAR):
+                live = np.flatnonzero(small & (lo + step < hi) & (out < 0))
+                if not len(live):
+                    break
+                at = lo[live] + step
+                equal = self.get(at) == x[live]
+                out[live[equal]] = at[equal]
+            wide = np.flatnonzero(~small)
+        for at in range(0, len(wide), CHUNK):
+            part = wide[at : at + CHUNK]
+            out[part] = self._find(x[part], None if lo is None else lo[part], None if hi is None else hi[part])
         return out
 
     def _find(self, x, lo, hi):

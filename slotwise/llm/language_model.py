@@ -164,7 +164,7 @@ class Level:
             nodes, pointer, key, p, weight, _ = self._file(int(k))
             local = node[mine] - self.firsts[k]
             mine, local = mine[local < nodes], local[local < nodes]
-            lo, hi = pointer.get(local).astype(np.int64), pointer.get(local + 1).astype(np.int64)
+            lo, hi = pointer.pair(local)
             some = lo < hi
             mine, local, lo, hi = mine[some], local[some], lo[some], hi[some]
             backoff[mine] = weight[local] / -SCALE

@@ -20,6 +20,10 @@ def test_elias_fano_gets_and_finds(n, universe):
     values = np.sort(draw(n))
     s = EliasFano.of(values, universe)
     assert (s.get(np.arange(n)) == values).all()
+    if 1 < n and universe < 1 << 63:
+        some = rng.integers(0, n - 1, 500)
+        first, second = s.pair(some)
+        assert (first == values[some]).all() and (second == values[some + 1]).all()
     known = set(values.tolist())
     asked = np.concatenate([values, draw(300)])
     for x, i in zip(asked.tolist(), s.find(asked).tolist()):
@@ -29,6 +33,18 @@ def test_elias_fano_gets_and_finds(n, universe):
         assert all((i >= 0) == (v in set(values[: n // 2].tolist())) for v, i in zip(values.tolist(), half.tolist()))
 
 
+def test_elias_fano_finds_in_ranges_of_any_size():
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 5000, 2000, dtype=np.uint64))
+    s = EliasFano.of(values, 5000)
+    x, lo = rng.integers(0, 5000, 4000, dtype=np.uint64), rng.integers(0, len(values), 4000)
+    hi = np.minimum(lo + rng.integers(0, 12, 4000), len(values))
+    x[::2] = values[np.minimum(lo + rng.integers(0, 6, 4000), len(values) - 1)][::2]
+    got = s.find(x, lo, hi)
+    want = [next((i for i in range(a, b) if values[i] == v), -1) for v, a, b in zip(x, lo, hi, strict=True)]
+    assert got.tolist() == want and (got >= 0).sum() > 500
+
+
 def test_elias_fano_is_compact():
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 100_000, dtype=np.uint64))
     used = sum(a.nbytes for a in EliasFano.of(values, 1 << 40).arrays().values())
