@@ -80,10 +80,10 @@ def cluster_rows(
 def cluster_checks(clustered: DataFrame, model: Clusters) -> DataFrame:
     """One row: rows clustered, whether the sizes add up, whether each row's own centre is its nearest, and whether the
     model's cost is the sum of squared distances."""
-    away = model.distances("features")
-    own, least = F.get(F.array(*away), F.col("prediction")), F.array_min(F.array(*away))
+    own, least = F.get("_away", F.col("prediction")), F.array_min("_away")
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")).scalar()
-    return clustered.agg(
+    # A column of its own, so that the distances are worked out once a row.
+    return clustered.select("prediction", F.array(*model.distances("features")).alias("_away")).agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == sizes).alias("sizes_add_up"), F.min((own <= least + 1e-9)).alias("nearest"),
         (F.abs(F.sum(own) - F.lit(float(model.cost))) <= 1e-6 * F.greatest(F.sum(own), F.lit(1.0))).alias("cost"),
     )

@@ -181,7 +181,7 @@ def _(s, sf):
         checks = [
             ml.cluster_checks(rows, model).select(F.lit(k).alias("k"), "*", ml.centre_checks(rows, model).scalar().alias("centres_are_means"))
             for k, model in best.items()
-            for rows in [points.select("features", model.nearest().alias("prediction"), model.nearest().alias("cluster"))]
+            for rows in [points.select("features", model.nearest().alias("prediction")).withColumn("cluster", F.col("prediction"))]
         ]
         return kept(reduce(DataFrame.union, checks), "sweep-checks")
 
