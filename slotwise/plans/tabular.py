@@ -431,11 +431,10 @@ def _(s, sf):
     return rounded(rounded(rounded(line, "slope", digits=4), "intercept", digits=3), "r")
 
 
-@query("st_scatter_sample", R.COMMERCE + """select lat, amount::double as amount, declined from
- (select *, row_number() over (partition by declined order by ('0x' || md5('42:' || id)[1:8])::ubigint, id) as place from tx where lat is not null and amount is not null) where place <= 500""")
+@query("st_scatter_sample", R.COMMERCE + "select lat, amount::double as amount, declined from tx where lat is not null and amount is not null")
 def _(s, sf):
-    """Five hundred points of each hue (a sampling operator)."""
-    return with_double(S.scatter_points(R.transactions(s, sf), "lat", "amount", "declined", ["id"], 500), "amount")
+    """All complete points with their hue."""
+    return with_double(S.scatter_points(R.transactions(s, sf), "lat", "amount", "declined"), "amount")
 
 
 @query("st_cat_codes", R.COMMERCE + "select id, country, (dense_rank() over (order by country) - 1)::int as code from company")

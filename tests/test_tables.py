@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slotwise.operators import commerce as C, geo, grouping as G, ml, mutate as M, quality as Q, routes, stats as S, texts as TX
 from slotwise.operators.clustering import Clusters, silhouettes
 from slotwise.operators.quantiles import exact_quantiles
+from slotwise.plans import QUERIES, roles as R
 from slotwise.session import shared_folder
 from slotwise.sources import readers as RD, writers as WR
 
@@ -339,3 +340,10 @@ def test_inverse_of_a_hot_value_is_salted(spark):
     df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("v"))
     rows = G.invert_mapping(df, "k", "v")
     assert rows.count() == 3000 and rows.where("duplicated").select("v").distinct().collect() == [("hot",)]
+
+
+def test_scatter_has_every_complete_point(spark, sf):
+    tx = R.transactions(spark, sf)
+    whole = tx.where("lat is not null and amount is not null").groupBy("declined").count().collect()
+    assert max(r["count"] for r in whole) > 500
+    assert sorted(QUERIES["st_scatter_sample"](spark, sf).groupBy("declined").count().collect()) == sorted(whole)
