@@ -108,3 +108,28 @@ def test_awkward_and_empty(awkward, no_docs):
     found = rows.collect()
     assert {r.doc_id for r in found if r.text and "lazy" in r.text} == {1} and [r.doc_id for r in found if not (r.text or "").strip()] == [2]
     assert NC.keep_one(no_docs).count() == 0
+
+
+def test_simhashes_of_a_group_propose_its_pairs(spark):
+    """Without any shared min-hash key the stage still joins sets whose SimHashes differ in few bits, and only alike ones."""
+    texts = planted()
+    sets = {d: NC.shingles(t) for d, t in texts.items()}
+    prints = {d: NC.majority(x) for d, x in sets.items() if len(x)}
+    assert prints[5] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in sets[5]) > len(sets[5]))
+    near = {(a, b) for a in prints for b in prints if a < b and 0 < (prints[a] ^ prints[b]).bit_count() <= NC.DISTANCE and NC.alike(sets[a], sets[b])}
+    assert len(near) > 10
+    rows = [(d, len(sets[d]), prints[d] - (1 << 64) * (prints[d] >> 63)) for d in prints]
+    firsts = spark.createDataFrame(rows, "id long, n long, print long")
+    cells = {r.id: r.cell for r in NC.by_simhash(firsts).collect()}
+    assert cells.keys() == prints.keys() and all(cells[a] == cells[b] for a, b in near)
+    assert len(set(cells.values())) > len(cells) // 4
+
+
+def test_stage_asks_the_simhash_index(spark, monkeypatch):
+    asked = []
+    links = NC.links
+    monkeypatch.setattr(NC, "links", lambda prints, limit: asked.append((prints.count(), limit)) or links(prints, limit))
+    texts = planted()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    corpus_pipeline.drop_near_copies(spark, docs, "").count()
+    assert asked == [(len({NC.majority(NC.shingles(t)) for t in texts.values() if t.strip()}), NC.DISTANCE)]
