@@ -11,7 +11,7 @@ import numpy as np
 U = np.uint64
 LOW_MASKS = [U((1 << k) - 1) for k in range(65)]
 CHUNK = 1 << 15
-NEAR = 4  # a range of at most so many positions is compared value by value
+NEAR = 4  # a range of at most so many positions is compared value by value, low bits first
 # Byte-wise arithmetic inside a 64-bit word: ones, high bits, and bit masks for the counts of bits.
 EACH, TOP = U(0x0101010101010101), U(0x8080808080808080)
 TWOS, FOURS, HALVES = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
@@ -102,16 +102,23 @@ class EliasFano:
         bits = self.high[word]
         return word * 64 + _place_in_word(bits if ones else ~bits, k - directory[word])
 
-    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values at positions i and i + 1: the second one bit is sought only where the word of the first holds no other."""
-        at = self._select(i, True)
+    def _two(self, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k-th and the next one or zero: the second is sought only where the word of the first holds no other."""
+        at = self._select(k, ones)
         word = at >> 6
-        rest = self.high[word] & ~((U(2) << (at & 63).astype(U)) - U(1))
+        bits = self.high[word] if ones else ~self.high[word]
+        rest = bits & ~((U(2) << (at & 63).astype(U)) - U(1))
         after = (word << 6) + np.bitwise_count((rest & (~rest + U(1))) - U(1))
         far = np.flatnonzero(rest == 0)
-        after[far] = self._select(i[far] + 1, True)
+        if len(far):
+            after[far] = self._select(k[far] + 1, ones)
+        return at, after
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions i and i + 1."""
+        places = self._two(i, True)
         low = [self._low(i), self._low(i + 1)]
-        return tuple((((a - b).astype(U) << U(self.width)) | x).astype(np.int64) for a, b, x in zip((at, after), (i, i + 1), low, strict=True))
+        return tuple((((a - b).astype(U) << U(self.width)) | x).astype(np.int64) for a, b, x in zip(places, (i, i + 1), low, strict=True))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions, as int64 where they fit."""
@@ -132,6 +139,8 @@ class EliasFano:
                 if not len(live):
                     break
                 at = lo[live] + step
+                alike = np.flatnonzero(self._low(at) == x[live] & LOW_MASKS[self.width])
+                live, at = live[alike], at[alike]
                 equal = self.get(at) == x[live]
                 out[live[equal]] = at[equal]
             wide = np.flatnonzero(~small)
@@ -142,10 +151,10 @@ class EliasFano:
 
     def _find(self, x, lo, hi):
         top = (x >> U(self.width)).astype(np.int64) if self.width < 64 else np.zeros(len(x), np.int64)
-        end = self._select(top, False) - top
-        start = np.zeros(len(x), np.int64)
-        later = top > 0
-        start[later] = self._select(top[later] - 1, False) - (top[later] - 1)
+        # Values with this high part lie between two zeros; before the first high part there is none.
+        before, after = self._two(np.maximum(top - 1, 0), False)
+        first = top == 0
+        start, end = np.where(first, 0, before - (top - 1)), np.where(first, before, after - top)
         if lo is not None:
             start, end = np.maximum(start, lo), np.minimum(end, hi)
         start, stop, low = start, np.minimum(end, self.n), x & LOW_MASKS[self.width]

@@ -16,6 +16,9 @@ children c, p(w|h) = max(c - D, 0) / N(h) + (1 - sum(c - D) / N(h)) p(w|h'), dow
 (c + 1/2) / (N + (V + 1)/2). All n-grams of the training corpus are kept (``MIN_COUNT`` is 1; with a higher
 one the mass of the others goes to the lower order, so probabilities still sum to 1). Kept log10 values are quantised to 1/2048 of a decade.
 
+Texts are split in Arrow batches, and each distinct word of a slice is hashed once. Likewise the distinct n-grams of
+a slice are looked up, in the order of the files, so the cost of a file is shared by the n-grams of many texts.
+
 A text is words and one end token; the end token is also the context of the first word.
 
 Defined cases: null and blank texts are the end token alone; unknown words have count 0; without
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slotwise.llm.common import kept, lower_ascii, word_array
+from slotwise.llm.common import kept
 from slotwise.llm.elias_fano import EliasFano
 from slotwise.llm.languages import remainder
 from slotwise.llm.storage import NewFile, mapped
@@ -44,6 +47,8 @@ MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD = 1 << 20  # entries of a file, beyond the end of a node's children
 PAIRS = 1 << 19  # n-grams a task adds up at once
+SCORED = 1 << 20  # tokens a task scores at once, beyond the last text
+TEXTS = 1 << 23  # bytes of texts a task splits at once, beyond the last one
 BUCKET = 1 << 20  # training tokens of a range of contexts, but for single contexts that hold more
 MOST_WORDS = 3_000_000_000  # a context of two words is one signed 64-bit number
 SCALE = 2048.0
@@ -89,6 +94,18 @@ def sequence_of(name: str, scalars: dict, arrays: dict) -> EliasFano:
     return EliasFano(*scalars[name], {k: arrays[f"{name}.{k}"] for k in ("low", "high", "ones")})
 
 
+def in_order(node: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by node, then word; marks of the first of equal pairs in that order). Words are -1 up to ``words``."""
+    if int(node.max()) < (1 << 63) // (words + 1) - 1:
+        key = node * (words + 1) + (word + 1)
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.r_[True, key[1:] != key[:-1]]
+    order = np.lexsort((word, node))
+    node, word = node[order], word[order]
+    return order, np.r_[True, (node[1:] != node[:-1]) | (word[1:] != word[:-1])]
+
+
 class Vocabulary:
     """Level 1: hashes (as unsigned in order), counts. Files are opened when first needed."""
 
@@ -154,26 +171,39 @@ class Level:
     def look_up(self, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(child's number or -1, its log10 p, log10 of the context's backoff weight).
 
-        A node below 0 has no children and weight 1."""
+        A node below 0 has no children and weight 1. Equal questions are asked once, in the order of the files: a
+        context's pointers are read once, and each file and its directories from front to back."""
         child, value, backoff = np.full(len(node), -1, np.int64), np.zeros(len(node)), np.zeros(len(node))
-        if not self.files:
+        asked = np.flatnonzero(node >= 0)
+        if not self.files or not len(asked):
             return child, value, backoff
-        owner = np.searchsorted(self.firsts, node, side="right") - 1
-        for k in np.unique(owner[owner >= 0]):
-            mine = np.flatnonzero(owner == k)
+        order, fresh = in_order(node[asked], word[asked], self.vocabulary)
+        asked = asked[order]
+        node, word = node[asked[fresh]], word[asked[fresh]]
+        found, log10, weights = np.full(len(node), -1, np.int64), np.zeros(len(node)), np.zeros(len(node))
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        contexts, sizes = node[starts], np.diff(np.r_[starts, len(node)])
+        cuts = np.r_[np.searchsorted(contexts, self.firsts), len(contexts)]
+        for k in np.flatnonzero(np.diff(cuts)):
+            mine = slice(cuts[k], cuts[k + 1])
             nodes, pointer, key, p, weight, _ = self._file(int(k))
-            local = node[mine] - self.firsts[k]
-            mine, local = mine[local < nodes], local[local < nodes]
+            local = contexts[mine] - self.firsts[k]
+            local = local[: np.searchsorted(local, nodes)]  # what lies beyond the last node has no children
+            if not len(local):
+                continue
+            at, size = int(starts[mine.start]), sizes[mine][: len(local)]
             lo, hi = pointer.pair(local)
-            some = lo < hi
-            mine, local, lo, hi = mine[some], local[some], lo[some], hi[some]
-            backoff[mine] = weight[local] / -SCALE
-            known = word[mine] >= 0
-            mine, local, lo, hi = mine[known], local[known], lo[known], hi[known]
-            at = key.find(local.astype(np.uint64) * np.uint64(self.vocabulary) + word[mine].astype(np.uint64), lo, hi)
-            hit = at >= 0
-            child[mine[hit]] = at[hit] + self.starts[k]
-            value[mine[hit]] = p[at[hit]] / -SCALE
+            weights[at : at + int(size.sum())] = np.repeat(np.where(lo < hi, weight[local], 0), size) / -SCALE
+            local, lo, hi = np.repeat(local, size), np.repeat(lo, size), np.repeat(hi, size)
+            known = np.flatnonzero((word[at : at + len(local)] >= 0) & (lo < hi))
+            x = local[known].astype(np.uint64) * np.uint64(self.vocabulary) + word[at + known].astype(np.uint64)
+            place = key.find(x, lo[known], hi[known])
+            hit = place >= 0
+            known, place = at + known[hit], place[hit]
+            found[known] = place + self.starts[k]
+            log10[known] = p[place] / -SCALE
+        back = np.cumsum(fresh) - 1
+        child[asked], value[asked], backoff[asked] = found[back], log10[back], weights[back]
         return child, value, backoff
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
@@ -205,25 +235,80 @@ class Model:
             cls._held[name] = cls(spec)
         return cls._held[name]
 
-    def log_p(self, ids: np.ndarray, counts: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    def log_p(self, ids: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """log10 p of each token, longest known context first, backing off as it must."""
-        p = self.vocabulary.log_p(counts)
-        context = np.r_[np.int64(-1), ids[:-1]]
+        p, open = np.zeros(len(ids)), np.ones(len(ids), bool)
+        context, found = np.r_[np.int64(-1), ids[:-1]], []
         context[fresh] = self.vocabulary.number(np.array([self.end], np.int64))[0][0]
         for level in self.levels:
-            node, value, backoff = level.look_up(context, ids)
-            p = np.where(node >= 0, value, backoff + p)
-            context = np.r_[np.int64(-1), node[:-1]]
+            found.append(level.look_up(context, ids))
+            open &= found[-1][0] < 0
+            context = np.r_[np.int64(-1), found[-1][0][:-1]]
             context[fresh] = -1
+        # only tokens that no level holds come down to the base
+        distinct, place = np.unique(ids[open], return_inverse=True)
+        p[open] = self.vocabulary.log_p(self.vocabulary.counts(distinct))[place]
+        for node, value, backoff in found:
+            p = np.where(node >= 0, value, backoff + p)
         return p
 
 
 # ---- building ---------------------------------------------------------------------------------
 
 
-def tokens_of(text) -> object:
-    """Hashes of the words and of the end token."""
-    return F.concat(F.transform(word_array(lower_ascii(text)), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words by their bytes, as signed numbers."""
+    import pandas as pd
+
+    words = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(words, categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words and, last, of the end token; place there of each token; tokens of each text)."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    flat = lists.flatten()
+    words = flat.filter(pc.not_equal(flat, ""))  # a blank text splits into one empty word
+    offsets = lists.offsets.to_numpy()
+    empty = np.r_[0, np.cumsum(pc.equal(flat, "").to_numpy(zero_copy_only=False))]
+    offsets = offsets - offsets[0]
+    sizes = np.diff(offsets - empty[offsets]) + 1
+    coded = words.dictionary_encode()
+    place = np.full(len(words) + len(texts), len(coded.dictionary), np.int64)
+    word = np.ones(len(place), bool)
+    word[np.cumsum(sizes) - 1] = False
+    place[word] = coded.indices.to_numpy()
+    return np.r_[hashes_of(coded.dictionary), hashes_of(pa.array([END]))], place, sizes
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows that hold about ``most`` together, or are one row."""
+    before = np.cumsum(sizes) - sizes
+    starts = np.flatnonzero(np.diff(before // most, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(np.r_[starts, len(sizes)]).tolist(), strict=True)
+
+
+def texts_of(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``TEXTS`` bytes."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(whole["text"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield from (whole.slice(*part) for part in slices(sizes, TEXTS))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """token (hash) and n of every distinct token; each task counts slice by slice before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in texts_of(whole):
+                hashes, place, _ = tokens_of(batch["text"])
+                n = np.bincount(place, minlength=len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 BUILT = "first decimal(20,0), n long, uri string, places array<long>, masses array<long>"
@@ -360,13 +445,12 @@ def coded(docs: DataFrame, spec: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Model.held(spec).vocabulary
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                lists = batch["tokens"]
-                sizes = np.diff(lists.offsets.to_numpy())
-                numbers, counts = words.number(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)))
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                base = np.add.reduceat(words.log_p(counts), starts)
+            for batch in texts_of(whole):
+                hashes, place, sizes = tokens_of(batch["text"])
+                distinct, n = words.number(hashes)
+                numbers, counts, base_p = distinct[place], n[place], words.log_p(n)[place]
+                starts = np.cumsum(sizes) - sizes
+                base = np.add.reduceat(base_p, starts)
                 known = np.add.reduceat((counts > 0).astype(np.int64), starts)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(numbers)]]).astype(np.int32)), pa.array(numbers.astype(np.int32) if narrow else numbers))
                 yield pa.RecordBatch.from_arrays(
@@ -374,8 +458,7 @@ def coded(docs: DataFrame, spec: dict) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"],
                 )
 
-    tokens = docs.select("doc_id", "held_out", tokens_of(F.col("text")).alias("tokens"))
-    return tokens.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids array<{'int' if narrow else 'long'}>")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids array<{'int' if narrow else 'long'}>")
 
 
 def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -463,14 +546,11 @@ def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discoun
     spark = docs.sparkSession
     if order > 3:
         raise ValueError("orders 1 to 3 are built")
+    docs = docs.select("doc_id", "held_out", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     folder = shared_folder(spark, "lm-trie")
-    counts = (
-        docs.where("not held_out").select(F.explode(tokens_of(F.col("text"))).alias("token"))
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = kept(counts, "lm-words")
+    counts = kept(word_counts(docs.where("not held_out")), "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
+    end = int(hashes_of(pa.array([END]))[0])
     buckets = max(spark.sparkContext.defaultParallelism, total // BUCKET + 1)
     step = max(1, total // (4 * buckets))
     files, places, masses = build_vocabulary(counts, folder, step)
@@ -493,12 +573,11 @@ def score(rows: DataFrame, spec: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.held(spec)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            sizes = whole["n_tokens"].to_numpy(zero_copy_only=False)
+            for part in slices(sizes, SCORED):
+                batch = whole.slice(*part)
                 ids, starts, fresh = flat(batch["ids"])
-                distinct, place = np.unique(ids, return_inverse=True)
-                counts = model.vocabulary.counts(distinct)[place]
-                total = np.add.reduceat(model.log_p(ids, counts, fresh), starts)
+                total = np.add.reduceat(model.log_p(ids, fresh), starts)
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(total)], names=[*names, "score"])
 
     fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zlib
 
@@ -159,3 +160,44 @@ def test_n_grams_seen_once_count(spark):
         s = [END, *tokens[d]]
         want = math.log10(p2(END, s[1])) + sum(math.log10(p3(*g)) for g in zip(s, s[1:], s[2:]))
         assert scored[d].score == pytest.approx(want, abs=len(s) / 2000)
+
+
+def test_tokens_are_the_words_and_an_end():
+    every = "".join(map(chr, range(1, 0x250)))
+    texts = ["", " \t\n\x0b\x0c\r ", "Ab\x0bCD\x0ce ab", every, f" {every.lower()}", "\x00 a\u2003b \x1c\x85\xa0 ÄB", "A"]
+    hashes, place, sizes = M.tokens_of(pa.array(["dropped", *texts]).slice(1))
+    want = [[*re.findall(r"[^\x20\x09-\x0D]+", t.translate(FOLD)), END] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    got, flat = hashes[place].tolist(), [w for words in want for w in words]
+    assert len(set(got)) == len(hashes) == len(set(flat)) == len(set(zip(got, flat, strict=True)))
+    assert [len(x) for x in M.tokens_of(pa.array([], pa.string()))] == [1, 0, 0]
+
+
+def test_pairs_come_in_order_at_any_size():
+    rng = np.random.default_rng(8)
+    for words, most in ((50, 40), (M.MOST_WORDS, 1 << 60)):
+        node, word = rng.integers(0, most, 300), rng.integers(-1, words, 300)
+        node, word = np.r_[node, node], np.r_[word, word]
+        order, fresh = M.in_order(node, word, words)
+        pairs = list(zip(node[order].tolist(), word[order].tolist(), strict=True))
+        assert pairs == sorted(pairs) and [p for p, f in zip(pairs, fresh, strict=True) if f] == sorted(set(pairs))
+
+
+def test_slices_hold_every_row():
+    sizes = np.array([3, 0, 9, 100, 1, 1, 0])
+    got = list(M.slices(sizes, 10))
+    assert got[0][0] == 0 and [at + n for at, n in got] == [at for at, _ in got[1:]] + [len(sizes)]
+    assert all(sizes[at : at + n - 1].sum() < 20 for at, n in got) and list(M.slices(sizes[:0], 10)) == []
+
+
+def test_equal_n_grams_are_looked_up_once(spark, monkeypatch):
+    some = [(d, f"one two three four five w{d}") for d in range(30)]
+    rows = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "false held_out")
+    model = M.Model(M.fit(rows)[0])
+    asked, find = [], EliasFano.find
+    monkeypatch.setattr(EliasFano, "find", lambda self, x, *r: (asked.append(len(x)), find(self, x, *r))[1])
+    a, b = model.vocabulary.number(M.hashes_of(pa.array(["one", "two"])))[0]
+    asked.clear()
+    child, value, _ = model.levels[0].look_up(np.tile([a, b, -1], 400), np.tile([b, a, a], 400))
+    assert sum(asked) == 2 and (child[::3] == child[0]).all() and child[0] >= 0 and (child[1::3] < 0).all()
+    assert (value[::3] == value[0]).all() and value[0] < 0
