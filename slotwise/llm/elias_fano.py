@@ -12,6 +12,7 @@ U = np.uint64
 LOW_MASKS = [U((1 << k) - 1) for k in range(65)]
 CHUNK = 1 << 15
 NEAR = 4  # a range of at most so many positions is compared value by value, low bits first
+FEW = 1024  # so many questions cost less in one general search than in several passes over short ranges
 # Byte-wise arithmetic inside a 64-bit word: ones, high bits, and bit masks for the counts of bits.
 EACH, TOP = U(0x0101010101010101), U(0x8080808080808080)
 TWOS, FOURS, HALVES = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
@@ -86,7 +87,7 @@ class EliasFano:
         at = i.astype(U) * U(self.width)
         word, shift = (at >> U(6)).astype(np.int64), at & U(63)
         value = self.low[word] >> shift
-        over = np.flatnonzero(shift + U(self.width) > 64)
+        over = (shift + U(self.width) > 64).nonzero()[0]
         value[over] |= self.low[word[over] + 1] << (U(64) - shift[over])
         return value & LOW_MASKS[self.width]
 
@@ -98,7 +99,7 @@ class EliasFano:
             if self.zeros is None:
                 self.zeros = (np.arange(len(self.ones), dtype=self.ones.dtype) << 6) - self.ones
             directory = self.zeros
-        word = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
+        word = directory.searchsorted(k.astype(directory.dtype), side="right") - 1
         bits = self.high[word]
         return word * 64 + _place_in_word(bits if ones else ~bits, k - directory[word])
 
@@ -109,7 +110,7 @@ class EliasFano:
         bits = self.high[word] if ones else ~self.high[word]
         rest = bits & ~((U(2) << (at & 63).astype(U)) - U(1))
         after = (word << 6) + np.bitwise_count((rest & (~rest + U(1))) - U(1))
-        far = np.flatnonzero(rest == 0)
+        far = (rest == 0).nonzero()[0]
         if len(far):
             after[far] = self._select(k[far] + 1, ones)
         return at, after
@@ -133,17 +134,17 @@ class EliasFano:
         x = x.astype(U)
         wide = np.arange(len(x))
         if lo is not None:
-            small = hi - lo <= NEAR
+            small = (hi - lo <= NEAR) & (len(x) > FEW)
             for step in range(NEAR):
-                live = np.flatnonzero(small & (lo + step < hi) & (out < 0))
+                live = (small & (lo + step < hi) & (out < 0)).nonzero()[0]
                 if not len(live):
                     break
                 at = lo[live] + step
-                alike = np.flatnonzero(self._low(at) == x[live] & LOW_MASKS[self.width])
+                alike = (self._low(at) == x[live] & LOW_MASKS[self.width]).nonzero()[0]
                 live, at = live[alike], at[alike]
                 equal = self.get(at) == x[live]
                 out[live[equal]] = at[equal]
-            wide = np.flatnonzero(~small)
+            wide = (~small).nonzero()[0]
         for at in range(0, len(wide), CHUNK):
             part = wide[at : at + CHUNK]
             out[part] = self._find(x[part], None if lo is None else lo[part], None if hi is None else hi[part])
@@ -159,14 +160,14 @@ class EliasFano:
             start, end = np.maximum(start, lo), np.minimum(end, hi)
         start, stop, low = start, np.minimum(end, self.n), x & LOW_MASKS[self.width]
         limit = stop.copy()
-        live = np.flatnonzero(start < stop)
+        live = (start < stop).nonzero()[0]
         while len(live):
             middle = (start[live] + stop[live]) >> 1
             less = self._low(middle) < low[live]
             start[live[less]] = middle[less] + 1
             stop[live[~less]] = middle[~less]
             live = live[start[live] < stop[live]]
-        found = np.flatnonzero(start < limit)
+        found = (start < limit).nonzero()[0]
         hit = self._low(start[found]) == low[found]
         out = np.full(len(x), -1, np.int64)
         out[found[hit]] = start[found[hit]]

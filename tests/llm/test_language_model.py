@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import zlib
 
-from slotwise.llm import language_model as M
+from slotwise.llm import elias_fano as E, language_model as M
 from slotwise.llm.elias_fano import EliasFano
 
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -34,6 +34,12 @@ def test_elias_fano_gets_and_finds(n, universe):
         assert all((i >= 0) == (v in set(values[: n // 2].tolist())) for v, i in zip(values.tolist(), half.tolist()))
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_elias_fano_finds_alike_by_both_searches(few, monkeypatch):
+    monkeypatch.setattr(E, "FEW", few)
+    test_elias_fano_finds_in_ranges_of_any_size()
+
+
 def test_elias_fano_finds_in_ranges_of_any_size():
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 5000, 2000, dtype=np.uint64))
