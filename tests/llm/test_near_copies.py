@@ -97,6 +97,48 @@ def test_recall_in_crowds(spark):
     assert want <= exact <= got
 
 
+def pairs_in_a_crowd():
+    """Texts that share most of what they say but aren't alike, and 150 pairs among them that are, all of one length."""
+    rng = random.Random(3)
+    word = lambda: f"u{rng.randrange(9000)}"
+    passage = [word() for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        both = [word() for _ in range(6)]
+        texts += [" ".join(passage + both + [word() for _ in range(22)]) for _ in range(2)]
+    texts += [" ".join(passage + [word() for _ in range(28)]) for _ in range(100)]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_every_alike_pair_of_a_crowd_is_found(spark):
+    """Leads alone miss fourteen of the pairs."""
+    texts = pairs_in_a_crowd()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = slow_kept(texts)
+    assert len(want) == len(texts) - 150
+    assert {r.doc_id for r in NC.keep_one(docs).collect()} == want
+
+
+def test_unmet_pairs_hold_all_alike_ones(spark):
+    """Sets on both sides of likeness 0.8, in parts of one to many: no alike pair of two parts is left out, none within a part listed."""
+    rng = random.Random(8)
+    common = rng.sample(range(1 << 62), 60)
+    sets = []
+    for k in range(120):
+        own = rng.sample(common, rng.randrange(24, 60)) if k % 2 else common[: rng.randrange(36, 60)]
+        sets.append(NC.np.array(sorted(own + rng.sample(range(1 << 62), rng.randrange(6))), NC.np.uint64))
+    sets += [NC.np.arange(1, 10, dtype="u8"), NC.np.arange(2, 11, dtype="u8"), NC.np.arange(1, 6, dtype="u8"), NC.np.arange(1, 5, dtype="u8")]
+    part = [k if k % 3 else 0 for k in range(len(sets))]
+    both = {(a, b) for b in range(len(sets)) for a in range(b) if part[a] != part[b]}
+    near = {(a, b) for a, b in both if NC.alike(sets[a], sets[b])}
+    assert {(120, 121), (122, 123)} <= near and len(near) > 100
+    unsettled = spark.createDataFrame([(k, len(x), part[k]) for k, x in enumerate(sets)], "id long, n long, part long")
+    stored = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, set binary")
+    got = {tuple(sorted((r.a, r.b))) for r in NC._unmet(unsettled, stored).collect()}
+    assert near <= got <= both and len(got) < len(both)
+
+
 def test_whole_documents(docs):
     got = {r.doc_id for r in NC.keep_one(docs).collect()}
     assert got == slow_kept({r.doc_id: r.text for r in docs.collect()})
